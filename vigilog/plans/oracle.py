@@ -181,7 +181,25 @@ FROM (
   FROM enriched)
 """
 
+# The log with other channels and program columns, so that many events miss the catalogue.
+MIXED_LOG = """
+SELECT * REPLACE (CASE WHEN record_id % 2 = 0 THEN 'Windows PowerShell' ELSE Channel END AS Channel),
+       CASE WHEN record_id % 10 = 0 THEN 'whoami' END AS CommandLine,
+       CASE record_id % 10 WHEN 1 THEN 'wscript.exe' WHEN 2 THEN 'System' END AS ProcessName,
+       ['lsass', 'Certificate store', 'registry', 'file', NULL][1 + record_id % 5] AS ObjectName,
+       CASE WHEN record_id % 3 = 0 THEN 'C:\\Windows\\lsass.exe' END AS TargetImage
+FROM seclog
+"""
+
+
+def over(table: str, old: str, new: str) -> str:
+    return table.replace(f"FROM {old}", f"FROM {new}")
+
+
 TABLES = {
+    "mixed_log": (MIXED_LOG, ["seclog"]),
+    "mixed_feats": (over(FEATS, "seclog", "mixed_log"), ["mixed_log"]),
+    "mixed": (over(ENRICHED, "feats", "mixed_feats"), ["mixed_feats", "catalog"]),
     "seclog": (SECLOG, []),
     "catalog": (CATALOG, []),
     "tactics": (TACTICS, []),

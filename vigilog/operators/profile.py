@@ -17,8 +17,8 @@ DISTINCT_COLUMNS = {"EventID": "UniqueEventIDsInWindow", "ExecutionProcessID": "
 MINUTE = 60
 WINDOW = 300
 MAX_GAP = 3600
-# Seconds are cut into buckets of one hour; a window never reaches further back.
-BUCKET = 3600
+# Time is cut into hours; no window reaches further back.
+HOUR = 3600
 
 
 def key_profile(log: DataFrame) -> DataFrame:
@@ -34,55 +34,66 @@ def key_profile(log: DataFrame) -> DataFrame:
     )
 
 
-def bucket_of(second: Column) -> Column:
-    return F.floor(second / BUCKET)
+def hour_of(second: Column) -> Column:
+    return F.floor(second / HOUR)
 
 
-def distinct_deltas(log: DataFrame) -> DataFrame:
-    """Per second, the change of the number of values seen in the last 300 seconds.
+def hours_of(second: Column, also: Column, when: Column) -> Column:
+    """The hour of a second as an owned row, and a copy for another hour where needed."""
+    own = F.struct(hour_of(second).alias("hour"), F.lit(True).alias("own"))
+    copy = F.struct(also.alias("hour"), F.lit(False).alias("own"))
+    return F.inline(F.array_compact(F.array(own, F.when(when, copy))))
 
-    A value seen at second t counts on ``[t, min(t + 301, next sighting))``. The
-    interval is cut at the hour boundary so that every hour sums up on its own.
+
+def sightings(log: DataFrame) -> DataFrame:
+    """Spans of seconds ``[start, stop)`` on which a value counts as seen.
+
+    A value seen at second t counts up to t + 300, or up to its next sighting.
     """
     kinds = [c for c in DISTINCT_COLUMNS if c in log.columns]
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in kinds]))
     seen = log.select(F.col("EpochSeconds").alias("second"), pairs).filter("value is not null").distinct()
-    seen = seen.withColumn("bucket", bucket_of(F.col("second")))
     # The first seconds of an hour are visible to the hour before, to find the next sighting.
-    ahead = seen.filter(F.col("second") - F.col("bucket") * BUCKET < WINDOW).withColumn("bucket", F.col("bucket") - 1)
-    both = seen.withColumn("own", F.lit(True)).unionByName(ahead.withColumn("own", F.lit(False)))
-    following = F.lead("second").over(Window.partitionBy("kind", "value", "bucket").orderBy("second"))
-    spans = (
+    hour = hour_of(F.col("second"))
+    both = seen.select("*", hours_of(F.col("second"), hour - 1, F.col("second") - hour * HOUR < WINDOW))
+    following = F.lead("second").over(Window.partitionBy("kind", "value", "hour").orderBy("second"))
+    return (
         both.withColumn("following", following)
         .filter("own")
         .select(
-            "kind",
             F.col("second").alias("start"),
             F.least(F.col("second") + WINDOW + 1, F.col("following")).alias("stop"),
-            ((F.col("bucket") + 1) * BUCKET).alias("hour_end"),
+            *[(F.col("kind") == c).cast("long").alias(DISTINCT_COLUMNS[c]) for c in kinds],
         )
     )
-    crosses = F.col("stop") > F.col("hour_end")
-    stays = F.col("stop") < F.col("hour_end")
 
-    def step(when: Column, second: str, amount: int) -> Column:
-        return F.when(when, F.struct(F.col(second).alias("second"), F.lit(amount).alias("step")))
 
-    steps = F.array(
-        step(F.lit(True), "start", 1), step(stays | crosses, "stop", -1), step(crosses, "hour_end", 1)
-    )
-    return (
-        spans.select("kind", F.inline(F.array_compact(steps)))
-        .groupBy("second")
-        .agg(*[F.sum(F.when(F.col("kind") == c, F.col("step")).otherwise(0)).alias("d_" + c) for c in kinds])
+def steps(start: Column, stop: Column, amounts: list[str], others: list[str] | None = None) -> Column:
+    """Rises and falls of the amounts of a span, so that a running sum inside each hour
+    is the sum of the spans that cover a second.
+
+    A span is at most an hour long; one that runs into the next hour falls there
+    and rises again at the start of that hour. ``others`` are further columns, null.
+    """
+    hour_end = (hour_of(start) + 1) * HOUR
+
+    def step(second: Column, sign: int) -> Column:
+        values = [(sign * F.col(a)).alias(a) for a in amounts]
+        return F.struct(second.alias("second"), *values, *[F.lit(None).cast("long").alias(o) for o in others or []])
+
+    falls, crosses = stop != hour_end, stop > hour_end
+    return F.array_compact(
+        F.array(step(start, 1), F.when(falls, step(stop, -1)), F.when(crosses, step(hour_end, 1)))
     )
 
 
 def second_profile(log: DataFrame) -> DataFrame:
     """One row per second that has events, with all trailing-window features.
 
-    Columns: EpochSeconds, n, first_record, TimeSincePrevEvent (of the first row of
-    the second), EventsPerMinute, FailedLoginRatio and the distinct counts.
+    Columns: EpochSeconds, n, first_record, gap (to the second before), EventsPerMinute,
+    FailedLoginRatio and the distinct counts. Every window is a running sum of steps
+    inside an hour, so the work is linear in the number of seconds and hours run in
+    parallel.
     """
     timed = log.filter("EpochSeconds is not null")
     has_ids = "EventID" in log.columns
@@ -94,48 +105,51 @@ def second_profile(log: DataFrame) -> DataFrame:
         F.count_if(failed).alias("failed"),
         F.count_if(login).alias("logins"),
     )
-    kinds = [c for c in DISTINCT_COLUMNS if c in log.columns]
-    if kinds:
-        seconds = (
-            per_second.unionByName(distinct_deltas(timed), allowMissingColumns=True)
-            .groupBy("second")
-            .agg(*[F.sum(c).alias(c) for c in ["n", "first_record", "failed", "logins"] + ["d_" + k for k in kinds]])
-        )
-    else:
-        seconds = per_second
-    own = seconds.withColumn("bucket", bucket_of(F.col("second"))).withColumn("own", F.lit(True))
-    # Every hour sees the hour before it; a longer gap is capped anyway.
-    earlier = own.withColumn("bucket", F.col("bucket") + 1).withColumn("own", F.lit(False))
-    for k in kinds:
-        earlier = earlier.withColumn("d_" + k, F.lit(0).cast("long"))
-    frame = Window.partitionBy("bucket").orderBy("second")
-    minute = frame.rangeBetween(-MINUTE, 0)
-    window = frame.rangeBetween(-WINDOW, 0)
-    before = frame.rowsBetween(Window.unboundedPreceding, -1)
-    running = frame.rowsBetween(Window.unboundedPreceding, 0)
-    columns = [
-        F.sum("n").over(minute).alias("EventsPerMinute"),
-        F.max(F.when(F.col("n") > 0, F.col("second"))).over(before).alias("previous"),
-        F.sum("failed").over(window).alias("failed_window"),
-        F.sum("logins").over(window).alias("logins_window"),
-    ] + [F.sum("d_" + k).over(running).alias(DISTINCT_COLUMNS[k]) for k in kinds]
+    sums = ["EventsPerMinute", "failed", "logins"]
+    second = F.col("second")
+    itself = F.array(
+        F.struct("second", *[F.lit(None).cast("long").alias(c) for c in sums], "n", "first_record")
+    )
+
+    def only(amounts: list[str], length: int) -> Column:
+        """Steps of some of the sums, the others null, in the order of all columns."""
+        span = steps(second, second + length + 1, amounts, [c for c in [*sums, "n", "first_record"] if c not in amounts])
+        return F.transform(span, lambda x: F.struct(x["second"], *[x[c].alias(c) for c in [*sums, "n", "first_record"]]))
+
+    changes = per_second.withColumn("EventsPerMinute", F.col("n")).select(
+        F.inline(F.concat(itself, only(["EventsPerMinute"], MINUTE), only(["failed", "logins"], WINDOW)))
+    )
+    counts = [name for c, name in DISTINCT_COLUMNS.items() if c in log.columns]
+    if counts:
+        spans = sightings(timed).select(F.inline(steps(F.col("start"), F.col("stop"), counts)))
+        changes = changes.unionByName(spans, allowMissingColumns=True)
+    sums += counts
+    seconds = changes.groupBy("second").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *sums]], F.max("first_record").alias("first_record")
+    )
+    # Every hour sees the events of the hour before it; a longer gap is capped anyway.
+    shown = seconds.select("*", hours_of(second, hour_of(second) + 1, F.col("n") > 0))
+    running = Window.partitionBy("hour").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("hour").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.max(F.when(F.col("n") > 0, second)).over(before)
     origin = log.agg(F.min("EpochSeconds")).scalar()
-    gap = (
-        F.when(F.col("second") == origin, 0)
-        .otherwise(F.least(F.col("second") - F.col("previous"), F.lit(MAX_GAP)))
+    gap = F.when(second == origin, 0).otherwise(
+        F.coalesce(F.least(second - F.col("previous"), F.lit(MAX_GAP)), F.lit(MAX_GAP))
     )
     return (
-        own.unionByName(earlier)
-        .select("second", "n", "first_record", "own", *columns)
+        shown.select(
+            "second", "n", "first_record", "own", previous.alias("previous"),
+            *[F.sum(F.when(F.col("own"), F.col(c))).over(running).alias(c) for c in sums],
+        )
         .filter("own and n > 0")
         .select(
-            F.col("second").alias("EpochSeconds"),
+            second.alias("EpochSeconds"),
             "n",
             "first_record",
-            F.coalesce(gap, F.lit(MAX_GAP)).cast("long").alias("gap"),
+            gap.cast("long").alias("gap"),
             "EventsPerMinute",
-            F.coalesce(F.try_divide(F.col("failed_window"), F.col("logins_window")), F.lit(0.0)).alias("FailedLoginRatio"),
-            *[DISTINCT_COLUMNS[k] for k in kinds],
+            F.coalesce(F.try_divide(F.col("failed"), F.col("logins")), F.lit(0.0)).alias("FailedLoginRatio"),
+            *counts,
         )
     )
 

@@ -56,6 +56,7 @@ def level_severity(df: DataFrame) -> DataFrame:
 def frequencies(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Value counts of the key columns and the per-host spread of EventID."""
     present = [c for c in ["EventID", *COUNT_COLUMNS] if c in df.columns]
+    sizes = {r["kind"]: (r["size"], r["total"]) for r in keys.groupBy("kind").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).collect()}
     for column in present:
         name = COUNT_COLUMNS.get(column, "EventIDFrequency")
         table = keys.filter(F.col("kind") == column).select(
@@ -66,7 +67,7 @@ def frequencies(df: DataFrame, keys: DataFrame) -> DataFrame:
             wanted["EventIDStdPerComputer"] = F.coalesce(F.col("id_std"), F.lit(0.0))
         if column == "EventID":
             wanted["EventIDRarity"] = 1 / (F.coalesce(F.col(name), F.lit(0)) + 1.0)
-        joined = attach(df.withColumn("_key", F.col(column).cast("string")), table, "_key", "_weight")
+        joined = attach(df.withColumn("_key", F.col(column).cast("string")), table, "_key", "_weight", measured=sizes.get(column, (0, 0)))
         df = joined.withColumns(wanted).drop("_key", "id_std")
     return df
 

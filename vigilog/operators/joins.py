@@ -17,15 +17,17 @@ def attach(
     weight: str,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
+    measured: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Left join of ``rows`` with ``table`` (pinned, one row per ``key``).
 
     ``weight`` is the column of ``table`` that counts the rows holding the key. A
     table of at most ``broadcast_rows`` rows is broadcast. A larger one is joined by
     shuffle, where a hot key is split: its rows are spread over ``ceil(weight /
-    hot_rows)`` salts and its table row is repeated for each of them.
+    hot_rows)`` salts and its table row is repeated for each of them. ``measured``
+    holds the rows of the table and the sum of the weights where they are known.
     """
-    size, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    size, total = measured or table.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if size <= broadcast_rows:
         return rows.join(F.broadcast(table.drop(weight)), key, "left")
     # The list of hot keys is bounded too: total / limit keys at most.

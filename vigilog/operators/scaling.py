@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigilog.operators.features import finite
 
 
+def matrix_row(features: list[str]) -> Column:
+    """The features of a row as one array; nulls, NaN and infinity become 0."""
+    return F.transform(F.array(*[F.col(f).cast("double") for f in features]), finite)
+
+
 @dataclass
 class Scaler:
     """Mean and spread of each feature; one number per feature, held by the driver."""
@@ -19,19 +27,26 @@ class Scaler:
     rows: int
 
     def columns(self) -> list[Column]:
-        """The scaled features, in order."""
+        """The scaled features as columns, in order."""
         return [(finite(F.col(f)) - m) / s for f, m, s in zip(self.features, self.means, self.spreads)]
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        """Rows of features, scaled."""
+        return (x - np.asarray(self.means)) / np.asarray(self.spreads)
+
+
+def fit_scaler(df: DataFrame, features: list[str], row: Column | None = None) -> Scaler:
+    """One aggregate over the features; a constant feature keeps spread 1.
 
-def fit_scaler(df: DataFrame, features: list[str]) -> Scaler:
-    """One aggregate over the features; a constant feature keeps spread 1."""
-    values = [finite(F.col(f)) for f in features]
-    row = df.agg(
-        F.count(F.lit(1)), *[F.avg(v) for v in values], *[F.stddev_pop(v) for v in values]
-    ).first()
-    if row[0] == 0:
+    ``row`` is the array of the features where ``df`` holds it already.
+    """
+    vector = array_to_vector(row if row is not None else matrix_row(features))
+    summary = df.agg(Summarizer.metrics("count", "mean", "variance").summary(vector).alias("s")).select("s.*").first()
+    rows = summary["count"]
+    if rows == 0:
         raise ValueError("no rows to fit")
-    count = len(features)
-    means = list(row[1 : count + 1])
-    spreads = [s if s and s > 1e-12 * max(1.0, abs(m)) else 1.0 for s, m in zip(row[count + 1 :], means)]
-    return Scaler(list(features), means, spreads, row[0])
+    means = summary["mean"].toArray()
+    # The summary has the sample variance.
+    spreads = np.sqrt(summary["variance"].toArray() * (rows - 1) / rows)
+    constant = spreads <= 1e-12 * np.maximum(1.0, np.abs(means))
+    return Scaler(list(features), means.tolist(), np.where(constant, 1.0, spreads).tolist(), rows)

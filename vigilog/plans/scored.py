@@ -1,7 +1,9 @@
-"""The security log with features, knowledge and verdicts from a given score.
+"""The security log with features, knowledge and verdicts.
 
-The score is the square root of the shared ``value`` column, so that SQL can state
-the same verdicts; a fitted model takes its place in a real run.
+The feature table is stored once per session and data folder, as a run would keep
+it, and the queries on results read it. The score of ``scored_features`` is the
+square root of the shared ``value`` column, so that SQL can state the same
+verdicts; a fitted model takes its place in a real run.
 """
 
 from __future__ import annotations
@@ -9,22 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vigilog.operators import features, knowledge, verdicts
-from vigilog.sources.shared_tables import read_table, security_log
+from vigilog.session import spread, stored
+from vigilog.sources.shared_tables import security_log
+
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def feature_table(spark, sf_dir) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        _tables[key] = stored(features.extract_features(spread(security_log(spark, sf_dir))))
+    return _tables[key]
+
+
+def model_features(df: DataFrame) -> list[str]:
+    """The model columns, without the score that the shared table gives."""
+    return [c for c in features.ml_features(df) if c != "value"]
 
 
 def scored_features(spark, sf_dir) -> DataFrame:
-    """All features, and verdicts whose cut is taken from the narrow score column."""
-    score = read_table(spark, sf_dir, "events").select(F.sqrt("value").alias("AnomalyScore"))
-    cut = verdicts.contamination_cut(score, "AnomalyScore", 0.1)
-    low, high = verdicts.score_range(score, "AnomalyScore")
-    df = features.extract_features(security_log(spark, sf_dir)).withColumn("AnomalyScore", F.sqrt("value"))
-    df = df.withColumns(
-        {
-            "Anomaly": (F.col("AnomalyScore") > cut).cast("int"),
-            "AnomalyScoreNormalized": verdicts.normalised(F.col("AnomalyScore"), low, high),
-        }
-    )
-    return df.withColumn("Confidence", verdicts.confidence(F.col("AnomalyScoreNormalized"), F.col("Anomaly")))
+    df = feature_table(spark, sf_dir).withColumn("AnomalyScore", F.sqrt("value"))
+    return verdicts.with_verdicts(df)
 
 
 def scored_log(spark, sf_dir) -> DataFrame:

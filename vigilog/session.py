@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,20 @@ def pinned(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for wide results that several
+    passes read: a pass reads the columns it needs and no earlier step runs again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(source: DataFrame) -> DataFrame:
+    """A source with at least one partition per core, for steps that are heavy per row.
+
+    Only a source of few files splits is redistributed; a large one has enough of them.
+    """
+    wanted = source.sparkSession.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= wanted else source.repartition(wanted)

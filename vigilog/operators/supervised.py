@@ -71,14 +71,23 @@ def classifier(model: str, label: str, features: str, weight: str | None = None,
     raise ValueError(f"unknown model type: {model}")
 
 
+# A training partition should hold at least this many rows.
+PARTITION_ROWS = 20_000
+
+
 def balanced(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Weights that give every class the same total."""
+    """Weights that give every class the same total.
+
+    Boosting runs several jobs per round, so small data is packed into few partitions.
+    """
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
     rows = sum(counts.values())
     weight = F.lit(1.0)
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, rows / (len(counts) * n)).otherwise(weight)
-    return df.withColumn(name, weight)
+    parts = max(1, rows // PARTITION_ROWS)
+    packed = df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
+    return packed.withColumn(name, weight)
 
 
 def assembled(features: list[str]) -> list:
@@ -149,13 +158,17 @@ def confidence_level(probability: Column, attack: Column) -> Column:
     return F.when((probability > 0.8) & (attack > 0.7), 3).when((probability > 0.6) & (attack > 0.5), 2).otherwise(1)
 
 
+def fit_anomaly_classifier(train: DataFrame, features: list[str], model: str) -> PipelineModel:
+    stages = [*assembled(features), classifier(model, "Label", "features", "weight")]
+    return Pipeline(stages=stages).fit(balanced(train, "Label"))
+
+
 def fit_supervised(train: DataFrame, features: list[str], model: str = "random_forest") -> SupervisedDetector:
     """Fit on ``labelled_frame`` rows. A class of attack that was not seen in training is
     kept as an own index by the indexer instead of failing."""
     if model not in MODELS:
         raise ValueError(f"unknown model type: {model}")
-    weighted = balanced(train, "Label")
-    anomaly = Pipeline(stages=[*assembled(features), classifier(model, "Label", "features", "weight")]).fit(weighted)
+    anomaly = fit_anomaly_classifier(train, features, model)
     attacks = train.filter("Label = 1")
     kinds = [r[0] for r in attacks.select("AttackType").distinct().orderBy("AttackType").collect()]
     if not kinds:
@@ -231,7 +244,8 @@ def cross_validation(df: DataFrame, features: list[str], model: str = "random_fo
     placed = stored(df.withColumn("_fold", (hash_order() % folds).cast("int")))
     scores = []
     for fold in range(folds):
-        detector = fit_supervised(placed.filter(F.col("_fold") != fold), features, model)
+        anomaly = fit_anomaly_classifier(placed.filter(F.col("_fold") != fold), features, model)
+        detector = SupervisedDetector(model, features, anomaly, None)
         held = detector.predict(placed.filter(F.col("_fold") == fold))
         scores.append(overall_metrics(confusion(held)).first()["f1_score"])
     return scores

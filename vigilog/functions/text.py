@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -32,6 +34,21 @@ def entropy(text: pd.Series) -> pd.Series:
     return text.map(bits)
 
 
+def mentions(text: Column, flag: str) -> Column:
+    """Does the text hold one of the words or the pattern of a flag, whatever the case?
+
+    Words are found by substring search; a word that contains another one is not
+    searched for. Only the two patterns need a regular expression.
+    """
+    lowered = F.lower(text)
+    words = events.TEXT_FLAGS[flag]
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    found = [lowered.contains(w) for w in needed]
+    if flag in events.TEXT_PATTERNS:
+        found.append(lowered.rlike(events.TEXT_PATTERNS[flag]))
+    return reduce(lambda a, b: a | b, found)
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a pattern, null when there is none."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -1,7 +1,7 @@
 """Density clustering of anomalies.
 
 The scaled features are projected on three fixed directions and cut into a grid
-whose cells follow Scott's rule, 3.49 * spread * n^(-1/7) per axis. Cells with enough rows are dense, adjacent dense cells belong
+whose cells follow Scott's rule for three axes, spread * n^(-1/7). Cells with enough rows are dense, adjacent dense cells belong
 together, other cells join the fullest dense cell next to them, and groups below
 the minimum size are noise (-1). It is a flat cut of the density.
 
@@ -53,9 +53,9 @@ def cluster_sizes(rows: int, minimum: int = 5) -> tuple[int, int]:
 
 
 def directions(width: int) -> np.ndarray:
-    """Fixed directions of equal length for a number of features."""
-    signs = np.random.default_rng(width).choice([-1.0, 1.0], size=(width, AXES))
-    return signs / np.sqrt(width)
+    """Fixed directions of length 1 for a number of features."""
+    drawn = np.random.default_rng(width).normal(size=(width, AXES))
+    return drawn / np.linalg.norm(drawn, axis=0)
 
 
 def projected(df: DataFrame, features: list[str]) -> DataFrame:
@@ -73,9 +73,9 @@ def projected(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cell_widths(points: DataFrame, rows: int) -> list[float]:
-    """Scott's rule for bins: 3.49 times the spread, shrinking with the number of rows."""
+    """Scott's rule: the spread of an axis, shrinking with the number of rows."""
     spreads = points.agg(*[F.stddev_pop(F.col("y")[i]) for i in range(AXES)]).first()
-    return [3.49 * s * rows ** (-1.0 / (AXES + 4)) if s and s > 1e-9 else 1.0 for s in spreads]
+    return [s * rows ** (-1.0 / (AXES + 4)) if s and s > 1e-9 else 1.0 for s in spreads]
 
 
 def cell_name(parts: list[Column]) -> Column:

@@ -102,7 +102,7 @@ def text_features(df: DataFrame, column: str = "RawLog") -> DataFrame:
         raw = F.coalesce(F.col(column), F.lit(""))
         columns["LogLength"] = F.length(raw)
         columns["LogWordCount"] = text.word_count(raw)
-        columns |= {name: raw.rlike("(?i)" + pattern).cast("int") for name, pattern in events.TEXT_FLAGS.items()}
+        columns |= {name: text.mentions(raw, name).cast("int") for name in events.TEXT_FLAGS}
         columns["LogEntropy"] = text.entropy(raw)
     if "EventData" in df.columns:
         columns["EventDataCount"] = F.coalesce(F.size(F.map_keys("EventData")), F.lit(0))

@@ -97,13 +97,15 @@ def correlations(df: DataFrame, features: list[str], top: int = 15) -> DataFrame
     """Pairwise correlation of the features with the largest variance."""
     variances = df.agg(*[F.var_samp(f).alias(f) for f in features]).first().asDict()
     chosen = sorted(features, key=lambda f: (-(variances[f] or 0.0), f))[:top]
-    pairs = [(a, b) for a in chosen for b in chosen]
-    # One pass: a row of all coefficients, turned into one row per pair.
-    row = df.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
-    entries = F.array(
-        *[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), F.col(f"`{a}~{b}`").alias("r")) for a, b in pairs]
-    )
-    return row.select(F.inline(entries))
+    # One pass over half of the matrix: a row of coefficients, turned into one row per pair.
+    half = {(a, b): f"r{i}_{j}" for i, a in enumerate(chosen) for j, b in enumerate(chosen) if i <= j}
+    row = df.agg(*[F.corr(a, b).alias(name) for (a, b), name in half.items()])
+    entries = [
+        F.struct(F.lit(x).alias("feature"), F.lit(y).alias("other"), F.col(name).alias("r"))
+        for (a, b), name in half.items()
+        for x, y in {(a, b), (b, a)}
+    ]
+    return row.select(F.inline(F.array(*entries)))
 
 
 def group_counts(df: DataFrame, column: str) -> DataFrame:

@@ -125,7 +125,7 @@ def text_flags(spark, sf_dir) -> DataFrame:
 
 @query(
     "F14_document_flags",
-    "SELECT doc_id, " + ", ".join(f"{text_flag('text', p)} AS {n}" for n, p in events.TEXT_FLAGS.items()) + " FROM documents",
+    "SELECT doc_id, " + ", ".join(f"{text_flag('text', n)} AS {n}" for n in events.TEXT_FLAGS) + " FROM documents",
 )
 def document_flags(spark, sf_dir) -> DataFrame:
     df = features.text_features(read_table(spark, sf_dir, "documents"), "text")

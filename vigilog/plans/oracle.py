@@ -95,7 +95,9 @@ def word_count(column: str) -> str:
     return f"len(regexp_extract_all(coalesce({column}, ''), '[^{BLANK}]+'))"
 
 
-def text_flag(column: str, pattern: str) -> str:
+def text_flag(column: str, flag: str) -> str:
+    words = [w.replace(".", "[.]") for w in events.TEXT_FLAGS[flag]]
+    pattern = "|".join(words + [p for f, p in events.TEXT_PATTERNS.items() if f == flag])
     return f"CAST(regexp_matches(coalesce({column}, ''), {text('(?i)' + pattern)}) AS INTEGER)"
 
 
@@ -125,7 +127,7 @@ SELECT *,
        count(DISTINCT IP) {window(300)} AS UniqueIPCount,
        length(RawLog) AS LogLength,
        {word_count("RawLog")} AS LogWordCount,
-       {", ".join(f"{text_flag('RawLog', pattern)} AS {name}" for name, pattern in events.TEXT_FLAGS.items())},
+       {", ".join(f"{text_flag('RawLog', name)} AS {name}" for name in events.TEXT_FLAGS)},
        {entropy("RawLog")} AS LogEntropy,
        coalesce(stddev_samp(EventID) OVER (PARTITION BY Computer), 0) AS EventIDStdPerComputer
 FROM seclog

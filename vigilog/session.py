@@ -57,10 +57,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(source: DataFrame) -> DataFrame:
+def spread(source: DataFrame, key: str = "record_id") -> DataFrame:
     """A source with at least one partition per core, for steps that are heavy per row.
 
     Only a source of few files splits is redistributed; a large one has enough of them.
     """
     wanted = source.sparkSession.sparkContext.defaultParallelism
-    return source if source.rdd.getNumPartitions() >= wanted else source.repartition(wanted)
+    return source if source.rdd.getNumPartitions() >= wanted else source.repartition(wanted, key)

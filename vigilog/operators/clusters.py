@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from vigilog.operators import labels
-from vigilog.operators.joins import attach
+from vigilog.operators.joins import BROADCAST_ROWS, attach
 from vigilog.operators.scaling import fit_scaler, matrix_row
 from vigilog.session import pinned
 
@@ -98,24 +98,23 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Every round takes the smallest label around a cell and then the label of that
     label, so chains shorten by half; the labels of a round are written to the
-    shared folder. The loop ends when no label changes.
+    shared folder. The loop ends when no label changes. A component may hold most
+    cells, so the second look-up is a broadcast while the cells are few; beyond
+    that the adaptive join splits the label that they share.
     """
     labelled = pinned(nodes.select("cell", F.col("cell").alias("label")))
+    few = labelled.count() <= BROADCAST_ROWS
     while True:
-        around = (
-            edges.join(labelled.select(F.col("cell").alias("other"), F.col("label").alias("theirs")), "other")
-            .groupBy("cell")
-            .agg(F.min("theirs").alias("theirs"))
-        )
-        lower = labelled.join(around, "cell", "left").select(
-            "cell", F.col("label").alias("old"), F.least("label", "theirs").alias("label")
-        )
-        jump = labelled.join(around, "cell", "left").select(
-            F.col("cell").alias("label"), F.least("label", "theirs").alias("further")
-        )
-        step = pinned(
-            lower.join(jump, "label", "left").select("cell", "old", F.least("label", "further").alias("label"))
+        theirs = labelled.select(F.col("cell").alias("other"), F.col("label").alias("theirs"))
+        around = edges.join(theirs, "other").groupBy("cell").agg(F.min("theirs").alias("theirs"))
+        lowered = pinned(
+            labelled.join(around, "cell", "left").select(
+                "cell", F.col("label").alias("old"), F.least("label", "theirs").alias("label")
+            )
         )
+        further = lowered.select(F.col("cell").alias("label"), F.col("label").alias("further"))
+        step = lowered.join(F.broadcast(further) if few else further, "label", "left")
+        step = pinned(step.select("cell", "old", F.least("label", "further").alias("label")))
         changed = step.filter("label <> old").limit(1).count()
         labelled = step.select("cell", "label")
         if not changed:

@@ -1,0 +1 @@
+"""Intentionally empty: the analysis reads complete logs, there is no streaming operator."""

@@ -14,7 +14,8 @@ from vigilog.rules import catalog, mitre
 
 CATALOG_SCHEMA = (
     "source string, event_id long, name string, category string, risk_score int, severity string, "
-    "mitre_tactics array<string>, mitre_techniques array<string>, suspicious_when array<string>"
+    "mitre_tactics array<string>, mitre_techniques array<string>, suspicious_when array<string>, "
+    "key_fields array<string>, states map<string,string>"
 )
 
 
@@ -23,10 +24,15 @@ def split(text: str, separator: str = ",") -> list[str]:
 
 
 def catalog_rows() -> list[tuple]:
+    key_fields = {event: split(fields) for event, fields in mitre.table(catalog.KEY_FIELDS)}
+    states: dict[str, dict[str, str]] = {}
+    for event, state, meaning in mitre.table(catalog.STATES):
+        states.setdefault(event, {})[state] = meaning
     return [
         (
             source, int(event_id), name, category, int(risk_score), severity,
             [mitre.TACTIC_NAMES[code] for code in split(tactics)], split(techniques), split(cues, ";"),
+            key_fields.get(event_id, []) if source == "Sysmon" else [], states.get(event_id, {}),
         )
         for source, text in catalog.SOURCES.items()
         for event_id, name, category, risk_score, severity, tactics, techniques, cues in mitre.table(text)

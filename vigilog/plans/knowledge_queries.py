@@ -40,11 +40,12 @@ OBSERVED = (
 
 @query(
     "E1_catalog_lookup",
-    using("seclog catalog", f"SELECT source, event_id, name, category, risk_score, severity, observed FROM {OBSERVED}"),
+    using("seclog catalog", f"SELECT source, event_id, name, category, risk_score, severity, array_to_string(key_fields, ',') AS key_fields, known_states, observed FROM {OBSERVED}"),
 )
 def catalog_lookup(spark, sf_dir) -> DataFrame:
     return observed_catalog(spark, sf_dir).select(
-        "source", "event_id", "name", "category", "risk_score", "severity", "observed"
+        "source", "event_id", "name", "category", "risk_score", "severity", F.array_join("key_fields", ",").alias("key_fields"),
+        F.size(F.map_keys("states")).alias("known_states"), "observed",
     )
 
 

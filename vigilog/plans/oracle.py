@@ -58,10 +58,10 @@ FROM (
 CATALOG = (
     "SELECT * FROM (VALUES "
     + ", ".join(
-        f"({text(s)}, {i}, {text(n)}, {text(c)}, {r}, {text(v)}, {items(ta)}::VARCHAR[], {items(te)}::VARCHAR[], {items(cu)}::VARCHAR[])"
-        for s, i, n, c, r, v, ta, te, cu in catalog_rows()
+        f"({text(s)}, {i}, {text(n)}, {text(c)}, {r}, {text(v)}, {items(ta)}::VARCHAR[], {items(te)}::VARCHAR[], {items(cu)}::VARCHAR[], {items(k)}::VARCHAR[], {len(st)})"
+        for s, i, n, c, r, v, ta, te, cu, k, st in catalog_rows()
     )
-    + ") t(source, event_id, name, category, risk_score, severity, mitre_tactics, mitre_techniques, suspicious_when)"
+    + ") t(source, event_id, name, category, risk_score, severity, mitre_tactics, mitre_techniques, suspicious_when, key_fields, known_states)"
 )
 
 TACTICS = (

@@ -141,3 +141,50 @@ SQL_SERVER = """
 """
 
 SOURCES = {"Security": SECURITY, "Sysmon": SYSMON, "System": SYSTEM, "SQL": SQL_SERVER}
+
+# The EventData fields to look at, for events of the Sysmon source.
+KEY_FIELDS = """
+1|CommandLine,ParentImage,User
+2|Image,TargetFilename,CreationUtcTime
+3|Image,DestinationIp,DestinationPort,DestinationHostname
+4|State
+5|Image,ProcessId
+6|ImageLoaded,Signed,Signature
+7|Image,ImageLoaded,Signed
+8|SourceImage,TargetImage,StartAddress
+9|Image,Device
+10|SourceImage,TargetImage,GrantedAccess
+11|Image,TargetFilename
+12|EventType,TargetObject,Image
+13|TargetObject,Details,Image
+14|TargetObject,NewName,Image
+15|TargetFilename,Contents,Hash
+16|State
+17|PipeName,Image
+18|PipeName,Image
+19|EventNamespace,Name,Query
+20|Name,Type,Destination
+21|Consumer,Filter
+22|QueryName,QueryResults,Image
+23|Image,TargetFilename,Archived
+24|Image,Session,ClientInfo
+25|Image,Type
+26|Image,TargetFilename
+27|Image,TargetFilename
+28|Image,TargetFilename
+29|Image,TargetFilename
+"""
+
+# Event | state code | meaning.
+STATES = """
+18456|2|Invalid username
+18456|5|Invalid username (Windows auth)
+18456|6|Windows account lockout
+18456|7|Account disabled
+18456|8|Wrong password
+18456|11|Valid login but server access failure
+18456|12|Valid login but server access failure
+18456|18|Password must be changed
+18456|38|Database not available
+18456|40|Database not available
+"""

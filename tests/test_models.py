@@ -10,7 +10,7 @@ from vigilog.session import stored
 NAMES = ["a", "b", "c"]
 
 
-def points(spark, n=300, outliers=6, parts=3):
+def points(spark, n=200, outliers=6, parts=3):
     draw = np.random.default_rng(7)
     x = draw.normal(size=(n, 3))
     x[:outliers] += draw.choice([-1, 1], size=(outliers, 3)) * 9
@@ -31,14 +31,14 @@ def test_planted_outliers_come_first(spark, algorithm):
 
 def test_contamination_and_partitions(spark):
     results = []
-    for parts in (1, 4, 16):
+    for parts in (1, 6):
         _, df = points(spark, parts=parts)
         detector = detection.fit_detector(df, NAMES, contamination=0.1)
         rows = sorted(detector.predict(df).select("record_id", "Anomaly", F.round("AnomalyScore", 9)).collect())
         results.append([tuple(r) for r in rows])
-        assert sum(r["Anomaly"] for r in rows) == 30
+        assert sum(r["Anomaly"] for r in rows) == 20
         assert all(0 < r[2] < 1 for r in rows)
-    assert results[0] == results[1] == results[2]
+    assert results[0] == results[1]
 
 
 def test_attributions_add_up(spark):
@@ -91,7 +91,7 @@ def test_metrics_row(spark):
     _, df = points(spark)
     detector = detection.fit_detector(df, NAMES)
     row = detector.metrics(detector.predict(df)).first()
-    assert (row["n_samples"], row["n_features"], row["n_anomalies"]) == (300, 3, 30)
+    assert (row["n_samples"], row["n_features"], row["n_anomalies"]) == (200, 3, 20)
 
 
 @pytest.mark.parametrize("rows,share", [(1, 0.3), (9, 0.3), (10, 0.2), (49, 0.2), (50, 0.15), (99, 0.15), (100, 0.1)])

@@ -256,8 +256,8 @@ def dataset_context(df: DataFrame, sample: int = 20) -> DataFrame:
     samples = first.agg(F.to_json(F.sort_array(F.collect_list("row"))).alias("x"))
 
     def ranked(column: str, k: int) -> Column:
-        entry = F.struct((-F.col("n")).alias("o"), F.col("value").cast("string").alias("value"), "n")
-        pairs = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws(": ", e["value"], e["n"].cast("string")))
+        entry = F.struct((-F.col("n")).alias("o"), "value", "n")
+        pairs = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws(": ", e["value"].cast("string"), e["n"].cast("string")))
         return top_values(found, column, k).agg(F.array_join(pairs, ", ").alias("x")).scalar()
 
     total, anomalies = F.count(F.lit(1)), F.count_if(F.col("Anomaly") == 1)

@@ -107,10 +107,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     while True:
         theirs = labelled.select(F.col("cell").alias("other"), F.col("label").alias("theirs"))
         around = edges.join(theirs, "other").groupBy("cell").agg(F.min("theirs").alias("theirs"))
-        lowered = pinned(
-            labelled.join(around, "cell", "left").select(
-                "cell", F.col("label").alias("old"), F.least("label", "theirs").alias("label")
-            )
+        lowered = labelled.join(around, "cell", "left").select(
+            "cell", F.col("label").alias("old"), F.least("label", "theirs").alias("label")
         )
         further = lowered.select(F.col("cell").alias("label"), F.col("label").alias("further"))
         step = lowered.join(F.broadcast(further) if few else further, "label", "left")

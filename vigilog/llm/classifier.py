@@ -158,7 +158,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows
     sample = texts_of(docs, id_column, text_column).join(F.broadcast(chosen), "doc_id")
     bounded = sample.orderBy(order, "doc_id", F.xxhash64("text")).limit(rows).select("text", "label")
     row = bounded.coalesce(1).mapInArrow(_trained, "vectors binary, output binary, bias binary").first()
-    return Model(*(bytes(x) for x in row))
+    return Model(*(bytes(x) for x in row or [x.astype(np.float32).tobytes() for x in _fit([])]))
 
 
 def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

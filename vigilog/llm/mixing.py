@@ -83,12 +83,12 @@ def thresholds(rows: DataFrame, goals: DataFrame, count: int) -> DataFrame:
         width = 1 << shift
         asked = state.filter("limit IS NULL").select("source", "low")
         inside = with_source(rows, asked, count).filter((F.col("place") >= F.col("low")) & (F.col("place") - F.col("low") < F.lit(width * (1 << LEVEL_BITS))))
-        bars = inside.groupBy("source", ((F.col("place") - F.col("low")) / F.lit(width)).cast("int").alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+        bars = inside.groupBy("source", ((F.col("place") - F.col("low")) / F.lit(width)).cast("long").alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
         running = bars.withColumn("until", F.sum("size").over(W.partitionBy("source").orderBy("bucket")))
         crossed = with_source(running, state.select("source", "missing"), count).filter((F.col("until") >= F.col("missing")) & (F.col("until") - F.col("size") < F.col("missing")))
         found = crossed.groupBy("source").agg(F.min(F.struct("bucket", "size", "rows", "until")).alias("b"))
         joined = state.join(found.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-        start = F.col("low") + F.col("b.bucket") * F.lit(width)
+        start = F.col("low") + F.col("b.bucket") * F.lit(width).cast("long")
         left = F.col("missing") - (F.col("b.until") - F.col("b.size"))
         last = (F.col("b.rows") == 1) | (F.lit(shift) == 0)
         limit = F.when(F.col("b.size") - left < left, start + width).otherwise(start)

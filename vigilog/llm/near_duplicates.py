@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilog.llm.batches import bounded_batches, grouped, slabs, texts_of
+from vigilog.llm.batches import bounded_batches, column, fresh, grouped, slabs, texts_of
 from vigilog.llm.components import components
 from vigilog.llm.hashing import U, mixed, shingles, words
 from vigilog.session import stored
@@ -247,7 +247,8 @@ def _in_blocks(rows: DataFrame, blocks) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``first``.
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``first`` and ``place``
+    (a hash of the text).
 
     ``component_id`` is the smallest id among all documents reachable by links (its own
     for a document without links). ``kept`` marks rows whose id it is, ``first`` exactly one
@@ -271,10 +272,35 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     labels = nodes.select("node", "class", "low").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = labels.groupBy("root").agg(F.min("low").alias("component_id"), F.min("node").alias("first_row"))
     labels = stored(labels.join(roots, "root").select("class", "component_id", "first_row"))
-    found = signed.filter("class is not null").select("doc_id", "n_shingles", "class", "row").join(labels, "class")
+    found = signed.filter("class is not null").select("doc_id", "n_shingles", "class", "row", "place").join(labels, "class")
     alone = signed.filter("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"), "place")
-    rows = found.select("doc_id", "n_shingles", "component_id", (F.col("row") == F.col("first_row")).alias("first")).unionAll(alone.drop("place"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first")
+    rows = found.select("doc_id", "n_shingles", "component_id", (F.col("row") == F.col("first_row")).alias("first"), "place").unionAll(alone)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "first", "place")
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the others unchanged.
+
+    Rows that repeat both id and text are one document. The rows that go are joined away,
+    the smaller side; only documents that stay and come repeatedly are grouped.
+    """
+    rows = near_duplicates(docs, id_column, text_column).groupBy("doc_id", "place").agg(F.bool_or("first").alias("stays"), F.count("*").alias("times"))
+    rows = stored(rows.filter("NOT stays OR times > 1"))
+    place = fresh(docs, "dedup_place")
+    marked = docs.withColumn(place, F.xxhash64(F.coalesce(column(docs, text_column).cast("string"), F.lit(""))))
+
+    def match(other):
+        return (marked[place] == other["place"]) & column(marked, id_column).eqNullSafe(other["doc_id"])
+
+    names = [column(marked, c) for c in docs.columns]
+    gone = rows.filter("NOT stays")
+    left = marked.join(gone, match(gone), "left_anti")
+    repeated = rows.filter("stays").select("doc_id", "place")
+    if repeated.isEmpty():
+        return left.select(*names)
+    once = left.join(repeated, match(repeated), "left_anti").select(*names)
+    several = left.join(repeated, match(repeated), "left_semi").dropDuplicates([id_column, place]).drop(place)
+    return once.unionByName(several)
 
 
 def _bucket_links(nodes: DataFrame) -> DataFrame:

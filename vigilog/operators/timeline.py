@@ -1,8 +1,8 @@
 """Events around an anomaly.
 
-Numbers for all rows come from running sums over seconds, without any pairs of
-events. Listings are made for a chosen few anomalies, whose time windows are
-broadcast to the log.
+Numbers, frequent event IDs and their modes come from running sums over seconds for
+all rows, without any pairs of events. Only the listing of the events themselves is made of
+pairs, for the anomalies that the caller chooses.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from vigilog.operators.profile import HOUR, hour_of, hours_of, steps
 from vigilog.session import pinned
 
 MINUTES = 10
-# Listings are made for at most this many anomalies at a time.
-CHOSEN = 10_000
+# Windows of at most this many anomalies are broadcast to the log; more are joined by shuffle.
+BROADCAST_WINDOWS = 10_000
 
 
 def covering_spans(seen: DataFrame, reach: int) -> DataFrame:
@@ -93,8 +93,9 @@ def occurrences(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
 
 
 def event_context(rows: DataFrame, log: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """Context of the event ID of every row with a time: frequency, occurrences nearby,
-    rarity, class and risk. Rows without a time have no context and are left out."""
+    """Context of the event ID of every row: frequency, occurrences nearby, rarity, class
+    and risk. Without a time nothing is known about the events around: only the frequency
+    and rarity are given, the rest is null."""
     totals = pinned(log.filter("EventID is not null").groupBy("EventID").agg(F.count(F.lit(1)).alias("event_frequency")))
     around = pinned(second_context(log, minutes).withColumnsRenamed({"second": "EpochSeconds", "n": "_weight"}))
     same = pinned(
@@ -103,10 +104,11 @@ def event_context(rows: DataFrame, log: DataFrame, minutes: int = MINUTES) -> Da
         )
     )
     total = totals.agg(F.coalesce(F.sum("event_frequency"), F.lit(0))).scalar()
-    df = attach(rows.filter("EpochSeconds is not null"), around, "EpochSeconds", "_weight")
-    df = attach(df.withColumn("_key", F.concat_ws(":", "EventID", "EpochSeconds")), same, "_key", "_weight").drop("_key")
+    df = attach(rows, around, "EpochSeconds", "_weight")
+    timed = F.col("EpochSeconds").isNotNull()
+    df = attach(df.withColumn("_key", F.when(timed, F.concat_ws(":", "EventID", "EpochSeconds"))), same, "_key", "_weight").drop("_key")
     df = attach(df, totals.withColumn("_weight", F.col("event_frequency")), "EventID", "_weight")
-    frequency, nearby = F.coalesce("event_frequency", F.lit(0)), F.coalesce("occurrences", F.lit(0))
+    frequency, nearby = F.coalesce("event_frequency", F.lit(0)), F.when(timed, F.coalesce("occurrences", F.lit(0)))
     share = F.coalesce(F.try_divide(frequency * 100.0, total), F.lit(0.0))
     rare, isolated = (frequency < 3) | (share < 2.0), nearby <= 1
     return df.withColumns(
@@ -116,31 +118,30 @@ def event_context(rows: DataFrame, log: DataFrame, minutes: int = MINUTES) -> Da
             "occurrences": nearby,
             "is_rare": rare,
             "is_isolated": isolated,
-            "classification": F.when(rare & isolated, "Truly Rare Event")
+            "classification": F.when(nearby.isNull(), F.lit(None).cast("string")).when(rare & isolated, "Truly Rare Event")
             .when(~rare & isolated, "Isolated But Common Event")
             .when(rare, "Rare Event with Context")
             .otherwise("Common Event in Context"),
-            "context_risk": F.when(rare & isolated, "High").when(rare | isolated, "Medium").otherwise("Low"),
+            "context_risk": F.when(nearby.isNull(), F.lit(None).cast("string")).when(rare & isolated, "High").when(rare | isolated, "Medium").otherwise("Low"),
         }
     )
 
 
 def windows_of(chosen: DataFrame, minutes: int) -> DataFrame:
-    """The chosen anomalies once per bucket that their window touches, for a broadcast."""
-    if chosen.limit(CHOSEN + 1).count() > CHOSEN:
-        raise ValueError(f"choose at most {CHOSEN} anomalies for a listing; event_context covers all rows")
+    """The chosen anomalies once per bucket that their window touches, for a join by bucket."""
     reach = 60 * minutes
     timed = chosen.filter("EpochSeconds is not null").select(
         F.col("record_id").alias("anomaly_id"), F.col("EpochSeconds").alias("anomaly_time")
     )
     first, last = (F.floor((F.col("anomaly_time") + d) / reach) for d in (-reach, reach))
-    return timed.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    windows = timed.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    return F.broadcast(windows) if chosen.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else windows
 
 
 def around_chosen(rows: DataFrame, time: str, chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
     """Rows within the given minutes of each chosen anomaly."""
     reach = 60 * minutes
-    windows = F.broadcast(windows_of(chosen, minutes))
+    windows = windows_of(chosen, minutes)
     near = F.abs(F.col(time) - F.col("anomaly_time")) <= reach
     bucketed = rows.filter(F.col(time).isNotNull()).withColumn("_bucket", F.floor(F.col(time) / reach))
     return bucketed.join(windows, "_bucket").filter(near).drop("_bucket")
@@ -158,30 +159,57 @@ def event_timeline(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) ->
 
 
 def nearby_events(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """``(anomaly_id, EventID, n)``: event IDs around each chosen anomaly.
+    """``(second, EventID, n)``: event IDs around every second in which a chosen anomaly lies.
 
-    The log is counted per second and event ID first, so that a crowded second is
-    a few rows in the join.
+    The counts of each event ID rise and fall with its events; they are read off at the
+    seconds of the anomalies, for the event IDs that occur in the hours next to them.
     """
-    counts = log.filter("EventID is not null").groupBy("EventID", "EpochSeconds").agg(F.count(F.lit(1)).alias("n"))
-    return around_chosen(counts, "EpochSeconds", chosen, minutes).groupBy("anomaly_id", "EventID").agg(F.sum("n").alias("n"))
+    reach = 60 * minutes
+    hours = -(-reach // HOUR)
+    counts = (
+        log.filter("EpochSeconds is not null and EventID is not null").groupBy("EventID", second_of()).agg(F.count(F.lit(1)).alias("n"))
+    )
+    hour = hour_of(F.col("second"))
+    seen = counts.select("EventID", F.explode(F.sequence(hour - hours, hour + hours)).alias("hour")).distinct()
+    asked = chosen.filter("EpochSeconds is not null").select(second_of()).distinct()
+    probes = asked.withColumn("hour", hour).join(seen, "hour").select("EventID", "second", F.lit(1).cast("long").alias("n"))
+    spans = counts.select("EventID", (F.col("second") - reach).alias("start"), (F.col("second") + reach + 1).alias("stop"), F.col("n").alias("nearby"))
+    changes = probes.unionByName(spans.select("EventID", F.inline(steps(F.col("start"), F.col("stop"), ["nearby"]))), allowMissingColumns=True)
+    return running_sums(changes, ["nearby"], "EventID").filter("nearby > 0").select("second", "EventID", F.col("nearby").alias("n"))
+
+
+def _of_anomalies(chosen: DataFrame, seconds: DataFrame, how: str = "inner") -> DataFrame:
+    """``anomaly_id`` of each chosen anomaly with the columns of its second."""
+    ids = chosen.select(F.col("record_id").alias("anomaly_id"), second_of())
+    return ids.join(seconds, "second", how).drop("second")
 
 
 def nearby_modes(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """The most frequent event IDs around each chosen anomaly, all that tie."""
+    """The most frequent event IDs around each chosen anomaly with a time, all that tie."""
     counts = nearby_events(log, chosen, minutes)
-    most = counts.groupBy("anomaly_id").agg(F.max("n").alias("most"))
-    # A group holds the distinct event IDs that tie, a subset of the known events.
-    return counts.join(most, "anomaly_id").filter("n = most").groupBy("anomaly_id").agg(
-        F.sort_array(F.collect_set("EventID")).alias("most_common")
-    )
+    entries = F.collect_list(F.struct("EventID", "n"))  # the distinct event IDs of one window
+    modes = counts.groupBy("second").agg(entries.alias("e"), F.max("n").alias("most"))
+    best = F.transform(F.filter("e", lambda x: x["n"] == F.col("most")), lambda x: x["EventID"])
+    return _of_anomalies(chosen, modes.select("second", F.sort_array(best).alias("most_common")))
 
 
 def top_nearby(log: DataFrame, chosen: DataFrame, k: int = 5, minutes: int = MINUTES) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("anomaly_id").orderBy(F.desc("n"), "EventID"))
+    """``(second, rank, EventID, n)``: the k most frequent event IDs around the seconds of anomalies."""
+    place = F.row_number().over(Window.partitionBy("second").orderBy(F.desc("n"), "EventID"))
     return nearby_events(log, chosen, minutes).withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def window_ends(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """Per second with events the first and last second with events within the given minutes."""
+    reach = 60 * minutes
+    second = F.col("second")
+    seconds = log.filter("EpochSeconds is not null").select(second_of()).distinct()
+    spread = seconds.withColumn("hour", F.explode(F.sequence(hour_of(second - reach), hour_of(second + reach))))
+    frame = Window.partitionBy("hour").orderBy("second").rangeBetween(-reach, reach)
+    ends = spread.withColumns({"earliest": F.min("second").over(frame), "latest": F.max("second").over(frame)})
+    return ends.filter(F.col("hour") == hour_of(second)).select("second", "earliest", "latest")
+
+
 def percentage(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.format_string("%.2f%%", part * 100.0 / whole)).otherwise("N/A")
 
@@ -192,21 +220,17 @@ def known(columns: list[str], name: str) -> Column:
 
 def anomaly_context(chosen: DataFrame, log: DataFrame, total_anomalies: Column, minutes: int = MINUTES) -> DataFrame:
     """One JSON text per chosen anomaly: details, window counts, frequent event IDs and
-    features, anomaly rate."""
-    # The log is counted per second first, so that a crowded second is one row.
-    counts = log.groupBy("EpochSeconds").agg(F.count(F.lit(1)).alias("n"))
-    seconds = F.col("EpochSeconds") - F.col("anomaly_time")
-
-    def events(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    window = around_chosen(counts, "EpochSeconds", chosen, minutes).groupBy("anomaly_id").agg(
-        events(seconds < 0).alias("events_before"),
-        events(seconds > 0).alias("events_after"),
-        F.sum("n").alias("total_events"),
-        F.concat(F.min(seconds).cast("string"), F.lit("s to "), F.max(seconds).cast("string"), F.lit("s")).alias("time_window"),
+    features, anomaly rate. Without a time, the timeline is empty."""
+    second = F.col("second")
+    sums = second_context(log, minutes).join(window_ends(log, minutes), "second")
+    window = sums.select(
+        "second",
+        "events_before",
+        "events_after",
+        (F.col("events_before") + F.col("n") + F.col("events_after")).alias("total_events"),
+        F.concat((F.col("earliest") - second).cast("string"), F.lit("s to "), (F.col("latest") - second).cast("string"), F.lit("s")).alias("time_window"),
     )
-    ids = top_nearby(log, chosen, 5, minutes).groupBy("anomaly_id").agg(
+    ids = top_nearby(log, chosen, 5, minutes).groupBy("second").agg(
         F.map_from_entries(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("rank", "EventID", "n"))),
@@ -223,9 +247,9 @@ def anomaly_context(chosen: DataFrame, log: DataFrame, total_anomalies: Column,
     features = F.slice("top_features", 1, 5) if "top_features" in c else F.array().cast("array<string>")
     rate = percentage(total_anomalies, F.col("total_events"))
     return (
-        chosen.withColumn("anomaly_id", F.col("record_id"))
-        .join(window, "anomaly_id")
-        .join(ids, "anomaly_id", "left")
+        chosen.withColumn("second", F.col("EpochSeconds"))
+        .join(window, "second", "left")
+        .join(ids, "second", "left")
         .select(
             "record_id",
             F.to_json(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vigilog.operators import explain, reports, timeline
-from vigilog.plans.oracle import STAGE, case, using
+from vigilog.plans.oracle import using
 from vigilog.plans.registry import query
 from vigilog.plans.scored import scored_log
 from vigilog.sources.shared_tables import read_table, security_log
@@ -29,7 +29,7 @@ ranked AS (SELECT vec_id, position, a, 'Feature_' || (position - 1) AS feature,
   FROM (SELECT vec_id, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS position FROM embeddings))
 """
 VALUE = "CASE WHEN abs(value) < 0.01 THEN printf('%.4f', value) WHEN abs(value) < 1 THEN printf('%.2f', value) ELSE printf('%.1f', value) END"
-LINE = f"'  • ' || replace(feature, '_', ' ') || ': ' || {VALUE} || ' (' || contribution || ' anomaly score)'"
+LINE = f"'  - ' || replace(feature, '_', ' ') || ': ' || {VALUE} || ', ' || contribution || ' the score'"
 TEXT = f"'{explain.OPENING}' || chr(10) || string_agg({LINE}, chr(10) ORDER BY place) FILTER (place <= 3)"
 
 
@@ -144,8 +144,8 @@ def event_id_context(spark, sf_dir) -> DataFrame:
     )
 
 
-NEARBY = f"""
-, {CHOSEN}
+NEARBY = """
+, chosen AS (SELECT * FROM verdicts WHERE Anomaly = 1)
 , nearby AS (SELECT c.record_id AS anomaly_id, v.EventID, count(*) AS n FROM chosen c JOIN verdicts v
              ON v.EpochSeconds BETWEEN c.EpochSeconds - 600 AND c.EpochSeconds + 600 GROUP BY ALL)
 """
@@ -159,7 +159,7 @@ NEARBY = f"""
 )
 def nearby_modes(spark, sf_dir) -> DataFrame:
     log = scored_log(spark, sf_dir)
-    df = timeline.nearby_modes(log.select("EventID", "EpochSeconds"), reports.top_anomalies(log, 100))
+    df = timeline.nearby_modes(log.select("EventID", "EpochSeconds"), reports.anomalies_of(log))
     texts = F.transform("most_common", lambda e: e.cast("string"))
     return df.select("anomaly_id", F.array_join(texts, ",").alias("most_common"))
 
@@ -171,19 +171,17 @@ TOLD = ["EventsPerMinute", "IsNightTime", "LogLength"]
     "J8_incident_narrative",
     using("verdicts", f"""
       SELECT record_id, concat_ws(chr(10),
-        'When: ' || strftime(event_ts, '%Y-%m-%d %H:%M:%S'),
-        CASE WHEN Hour < 6 OR Hour > 22 THEN '   Occurred during unusual hours (night time)' WHEN Hour BETWEEN 9 AND 17 THEN '   Occurred during business hours' END,
-        'What: Event ID ' || EventID, '   Type: ' || {case("EventID", explain.EVENT_TYPES)}, 'Where: ' || Computer, 'Who: ' || "User", 'Why Suspicious:',
-        '   • High event frequency: ' || printf('%.1f', CAST(EventsPerMinute AS DOUBLE)) || ' events/minute',
-        CASE WHEN IsNightTime > 0.5 THEN '   • Event occurred during night hours' ELSE '   • Isnighttime: 0.00 (decreases suspicion)' END,
-        '   • Loglength: ' || printf('%.2f', CAST(LogLength AS DOUBLE)) || ' (increases suspicion)',
-        'Risk Level: ' || printf('%.1f', AnomalyScoreNormalized * 100) || '%',
-        CASE WHEN AnomalyScoreNormalized > 0.9 THEN '   CRITICAL - Immediate investigation required' WHEN AnomalyScoreNormalized > 0.7 THEN '   HIGH - Should be investigated soon'
-             WHEN AnomalyScoreNormalized > 0.5 THEN '   MEDIUM - Review when possible' ELSE '   LOW - Minor anomaly' END,
-        'Attack Stage: ' || MITRE_Stage, 'EventID Context:', '   Classification: ' || classification,
-        '   Overall frequency: ' || printf('%.1f', event_percentage) || '% of all events',
-        CASE WHEN is_isolated THEN '   This EventID is isolated (no similar events nearby)' ELSE '   Found ' || occurrences || ' similar events in timeline' END,
-        CASE WHEN is_rare AND is_isolated THEN '   High priority: Rare and isolated event' WHEN is_isolated THEN '   Note: Common event appearing in unusual context' END) AS narrative
+        'Time: ' || strftime(event_ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN Hour < 6 OR Hour > 22 THEN ', at night' WHEN Hour BETWEEN 9 AND 17 THEN ', in office hours' ELSE '' END,
+        'Event: ' || EventID || ' ' || EventID_Name, 'Host: ' || Computer, 'Account: ' || "User", 'Reasons:',
+        '  - busy minute: ' || printf('%.1f', CAST(EventsPerMinute AS DOUBLE)) || ' events',
+        CASE WHEN IsNightTime > 0.5 THEN '  - logged at night' ELSE '  - isnighttime = 0.00, decreases the score' END,
+        '  - loglength = ' || printf('%.2f', CAST(LogLength AS DOUBLE)) || ', increases the score',
+        'Risk: ' || CASE WHEN AnomalyScoreNormalized > 0.9 THEN 'critical' WHEN AnomalyScoreNormalized > 0.7 THEN 'high'
+             WHEN AnomalyScoreNormalized > 0.5 THEN 'medium' ELSE 'low' END || ' (' || printf('%.1f', AnomalyScoreNormalized * 100) || '%)',
+        'Stage: ' || MITRE_Stage,
+        'Context: ' || classification || ', ' || printf('%.1f', event_percentage) || '% of the log, '
+          || CASE WHEN is_isolated THEN 'none like it nearby' ELSE occurrences || ' like it nearby' END
+          || CASE WHEN is_rare AND is_isolated THEN '; look at it first' WHEN is_isolated THEN '; known event in an odd place' ELSE '' END) AS narrative
       FROM ({CONTEXT}) WHERE Anomaly = 1"""),
 )
 def incident_narrative(spark, sf_dir) -> DataFrame:
@@ -233,7 +231,7 @@ def dataset_context(spark, sf_dir) -> DataFrame:
 def anomaly_context(spark, sf_dir) -> DataFrame:
     log = scored_log(spark, sf_dir)
     found = log.agg(F.count_if(F.col("Anomaly") == 1)).scalar()
-    df = timeline.anomaly_context(reports.top_anomalies(log, 100), log, found)
+    df = timeline.anomaly_context(reports.anomalies_of(log), log, found)
 
     def part(path: str, kind: str = "string"):
         return F.get_json_object("context", "$." + path).cast(kind)

@@ -59,6 +59,34 @@ def test_json_array_and_object(spark, tmp_path):
     assert rows[7045]["Minute"] == 30
 
 
+def test_json_lines_and_mixed_layouts(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n{"EventID": 1}\n{"EventID": 2}\n{"EventID": 3, "Level": "2"}\n')
+    (tmp_path / "b.json").write_text(json.dumps([{"EventID": 4}, {"EventID": 5}], indent=1))
+    (tmp_path / "c d.json").write_text(json.dumps({"EventID": 6, "EventData": {"a": "x"}}, indent=1))
+    paths = [str(tmp_path / n) for n in ("a.json", "b.json", "c d.json")]
+    assert sorted(r["EventID"] for r in readers.read_logs(spark, paths).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_csv_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("EventID,Computer\n1,A\n")
+    (tmp_path / "b.csv").write_text("Computer,EventID,Extra\nB,2,x\n")
+    (tmp_path / "c.csv").write_text("EventID,Computer\n")
+    rows = {r["EventID"]: r for r in readers.read_logs(spark, str(tmp_path), "csv").collect()}
+    assert sorted(rows) == [1, 2]
+    assert [(rows[i]["Computer"], rows[i]["Extra"]) for i in (1, 2)] == [("A", None), ("B", "x")]
+
+
+def test_datasets_keep_their_own_columns(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    first = spark.createDataFrame([(1, "anomaly", "a")], "id long, label string, HostName string")
+    second = spark.createDataFrame([(2, "normal", "b")], "id long, label string, CommandLine string")
+    results.append_samples(first, path, "01")
+    results.append_samples(second, path, "1 x:y")
+    loaded = results.load_samples(spark, path, "1 x:y")
+    assert "HostName" not in loaded.columns and loaded.first()["CommandLine"] == "b"
+    assert {r["dataset"] for r in results.list_datasets(spark, path).collect()} == {"01", "1 x:y"}
+
+
 EVENT = """<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Provider Name='P' Guid='{{g}}'/>
 <EventID Qualifiers='1'>{event}</EventID><Level>4</Level><TimeCreated SystemTime='2024-01-15T10:30:00.5Z'/><EventRecordID>9</EventRecordID>
 <Execution ProcessID='4' ThreadID='8'/><Channel>Security</Channel><Computer>H</Computer><Security UserID='S-1'/></System>

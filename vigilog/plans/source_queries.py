@@ -43,14 +43,38 @@ def csv_reader(spark, sf_dir) -> DataFrame:
     return back(readers.read_logs(spark, path, "csv"))
 
 
+@query(
+    "S2_mixed_headers",
+    using("seclog", """
+      SELECT record_id AS "row", EventID, CASE WHEN record_id % 3 = 0 THEN NULL ELSE Computer END AS Computer,
+             CASE WHEN record_id % 3 = 0 THEN "User" END AS Account, EpochSeconds FROM seclog"""),
+)
+def mixed_headers(spark, sf_dir) -> DataFrame:
+    """Two kinds of files in one folder: other columns, and common ones in another order."""
+    path = scratch(spark, "csv")
+    log = exported(spark, sf_dir)
+    results.write_csv(log.filter("row % 3 <> 0").select("row", "EventID", "Computer", "TimeCreated"), path + "/a")
+    results.write_csv(log.filter("row % 3 = 0").select("TimeCreated", F.col("User").alias("Account"), "EventID", "row"), path + "/b")
+    df = readers.read_logs(spark, [path + "/a", path + "/b"], "csv")
+    return df.select(F.col("row").cast("long").alias("row"), "EventID", "Computer", "Account", "EpochSeconds")
+
+
 @query("S3_json_reader", using("seclog", LOG_SQL))
 def json_reader(spark, sf_dir) -> DataFrame:
+    """The three layouts in one read: lines, an array, and single events over several lines."""
     path = scratch(spark, "json")
-    exported(spark, sf_dir).write.json(path)
-    raw = readers.read_json(spark, [path], lines=True)
-    from vigilog.operators.normalize import normalize
-
-    return back(normalize(readers.without_broken(raw)))
+    log = exported(spark, sf_dir)
+    log.filter("row % 2 = 0").write.json(path + "/lines.json")
+    single = F.col("row") % 100 == 1
+    event = F.to_json(F.struct(*log.columns))
+    odd = log.filter("row % 2 = 1")
+    # One array for each thousand rows and one file for each single event.
+    arrays = odd.filter(~single).groupBy(F.floor(F.col("row") / 1000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path + "/arrays.json")
+    ones = odd.filter(single).select("row", F.regexp_replace(event, "^[{]", "{\n").alias("value"))
+    ones.write.partitionBy("row").text(path + "/ones.json")
+    files = [path + "/lines.json", path + "/arrays.json/*/", path + "/ones.json/*/"]
+    return back(readers.read_logs(spark, files, "json"))
 
 
 TEXT_LINE = """strftime(event_ts, '%Y-%m-%dT%H:%M:%SZ') || ' ERROR user=' || "User" || ' from ' || IP || ' login on ' || Computer"""
@@ -249,6 +273,27 @@ def labelled_datasets(spark, sf_dir) -> DataFrame:
     return results.list_datasets(spark, path).select("dataset", "description", "samples")
 
 
+@query(
+    "S12_loaded_samples",
+    """SELECT 'one' AS dataset, 'HostName' AS columns, count(*) AS samples, sum(doc_id)::BIGINT AS ids FROM labels WHERE toxic = 1
+       UNION ALL SELECT 'two', 'CommandLine,Level', count(*), sum(doc_id)::BIGINT FROM labels WHERE toxic = 0""",
+)
+def loaded_samples(spark, sf_dir) -> DataFrame:
+    """Two datasets of different event data; the second one gets a further column later."""
+    path, samples = scratch(spark, "datasets"), samples_of(spark, sf_dir)
+    normal = samples.filter("label = 'normal'").withColumn("CommandLine", F.lit("whoami"))
+    results.append_samples(samples.filter("label = 'anomaly'").withColumn("HostName", F.lit("h")), path, "one")
+    results.append_samples(normal.filter("id % 2 = 0"), path, "two")
+    results.append_samples(normal.filter("id % 2 = 1").withColumn("Level", F.lit(3)), path, "two")
+    fixed = {*samples.columns, "description", "added_at", "dataset"}
+    frames = []
+    for name in ("one", "two"):
+        df = results.load_samples(spark, path, name)
+        own = ",".join(sorted(c for c in df.columns if c not in fixed))
+        frames.append(df.groupBy("dataset").agg(F.lit(own).alias("columns"), F.count(F.lit(1)).alias("samples"), F.sum("id").alias("ids")))
+    return frames[0].unionAll(frames[1])
+
+
 @query(
     "S13_labelled_csv",
     """SELECT doc_id AS row, CASE WHEN toxic = 1 THEN 'anomaly' ELSE 'normal' END AS label,

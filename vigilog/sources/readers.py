@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
@@ -28,12 +29,33 @@ _corrupt_record string
 """
 
 
-def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
-    """Header files, every column a string. ``multi_line`` allows line breaks in
-    quoted values, at the price of one task per file."""
-    return spark.read.csv(
-        paths, header=True, inferSchema=False, escape='"', multiLine=multi_line, enforceSchema=False
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The first line that is not blank of each file, and the files that begin with it.
+
+    One narrow pass whose result has a row per file, as the driver's list of files has.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
     )
+    heads = lines.filter((F.col("block") == 0) & (F.trim("value") != "")).groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        found.setdefault(row["head"], []).append(unquote(row["file"]))
+    return found
+
+
+def united(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
+    """Header files, every column a string, and ``source_file``. Files of different headers
+    are read apart and have the columns of all of them. ``multi_line`` allows line breaks
+    in quoted values, at the price of one task per file."""
+    groups = list(first_lines(spark, paths).values())
+    options = {"header": True, "inferSchema": False, "escape": '"', "multiLine": multi_line, "enforceSchema": False}
+    frames = [spark.read.csv(files, **options) for files in ([paths] if len(groups) < 2 else groups)]
+    return united([f.withColumn("source_file", F.col("_metadata.file_path")) for f in frames])
 
 
 def read_json(spark: SparkSession, paths: list[str], lines: bool = False, schema=None) -> DataFrame:
@@ -45,6 +67,15 @@ def read_json(spark: SparkSession, paths: list[str], lines: bool = False, schema
     return reader.json(paths)
 
 
+def read_any_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of any of the three layouts. A file whose first line is a whole object holds one
+    event per line and is split; the others are an array or one event over several lines."""
+    heads = first_lines(spark, paths)
+    whole = dict(spark.createDataFrame([(h,) for h in heads], "head string").select("head", F.get_json_object("head", "$").isNotNull() & F.startswith(F.trim("head"), F.lit("{"))).collect()) if heads else {}
+    groups = {lines: [f for h, files in heads.items() if whole[h] == lines for f in files] for lines in (True, False)}
+    return united([read_json(spark, files, lines) for lines, files in groups.items() if files] or [read_json(spark, paths)])
+
+
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(source_file, LineNumber, value)``: numbers start at 1 and count blank lines.
 
@@ -182,11 +213,9 @@ def format_of(path: str) -> str:
 
 
 def read_raw(spark: SparkSession, paths: list[str], fmt: str, counts: Observation | None = None) -> DataFrame:
-    readers = {"csv": read_csv, "json": read_json, "text": read_text, "xml": read_xml}
+    readers = {"csv": read_csv, "json": read_any_json, "text": read_text, "xml": read_xml}
     raw = readers[fmt](spark, paths)
-    if fmt == "csv":
-        return raw.withColumn("source_file", F.col("_metadata.file_path"))
-    return without_broken(raw, counts)
+    return raw if fmt == "csv" else without_broken(raw, counts)
 
 
 def read_logs(
@@ -204,5 +233,4 @@ def read_logs(
     frames = [normalize(read_raw(spark, members, name, counts)) for name, members in by_format.items()]
     if not frames:
         raise ValueError("no files given")
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return union.withColumn("record_id", F.monotonically_increasing_id())
+    return united(frames).withColumn("record_id", F.monotonically_increasing_id())

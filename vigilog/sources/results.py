@@ -42,8 +42,10 @@ def append_results(results: DataFrame, path: str, session_id: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, session_id: str, anomalies_only: bool = False) -> DataFrame:
-    """Results of one session, highest score first; other sessions are not read."""
-    rows = spark.read.parquet(path).filter(F.col("session_id") == session_id)
+    """Results of one session, highest score first; other sessions are not read. The
+    session is text also where it looks like a number."""
+    columns = ", ".join(f"{name} {kind}" for name, (_, kind) in RESULT_COLUMNS.items())
+    rows = spark.read.schema(f"{columns}, session_id string").parquet(path).filter(F.col("session_id") == session_id)
     if anomalies_only:
         rows = rows.filter("anomaly = 1")
     return rows.orderBy(F.desc("anomaly_score"))
@@ -61,12 +63,14 @@ def append_samples(samples: DataFrame, path: str, dataset: str, description: str
 
 
 def load_samples(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("dataset") == dataset)
+    """All samples of a dataset with the columns that any of its parts has, and no others."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
+    return spark.read.option("mergeSchema", True).parquet(f"{path}/dataset={escaped}").withColumn("dataset", F.lit(dataset))
 
 
 def list_datasets(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.parquet(path)
+        spark.read.schema("description string, added_at timestamp, dataset string").parquet(path)
         .groupBy("dataset")
         .agg(
             F.max("description").alias("description"),

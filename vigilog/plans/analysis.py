@@ -20,8 +20,7 @@ def analyse(log: DataFrame, algorithm: str = "isolation_forest", contamination:
 def analyse_features(table: DataFrame, algorithm: str = "isolation_forest", contamination: float = 0.1) -> DataFrame:
     """The same from a stored feature table."""
     names = model_features(table)
-    detector = detection.fit_detector(table, names, algorithm, contamination)
-    verdicts = stored(detector.predict(table))
+    _, verdicts = detection.fit_predict(table, names, algorithm, contamination)
     found = stored(labels.with_stage(reports.anomalies_of(verdicts)))
     grouped = clusters.grouped_anomalies(found, names)
     normal = verdicts.filter("Anomaly = 0")

@@ -7,8 +7,6 @@ from conftest import SF_DIR
 from vigilog.plans import load_queries
 
 QUERIES, ORACLE = load_queries()
-# Several models are fitted by these; they run in the comparison at larger scale.
-SLOW = {"M3_gradient_boosting", "M6_cross_validation"}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +23,6 @@ def test_same_rows_as_sql(spark, sql, name):
     assert compare.difference(spark, sql, name, QUERIES[name], ORACLE[name], SF_DIR) is None
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).limit(1).count() == 1

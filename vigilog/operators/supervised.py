@@ -123,6 +123,15 @@ class SupervisedDetector:
             "Confidence", confidence_level(F.col("AnomalyProbability"), F.col("AttackConfidence"))
         ).select(*[c for c in df.columns if c not in RESULTS], *RESULTS)
 
+    def attack_types(self, df: DataFrame) -> DataFrame:
+        """Column ``AttackType``: the attack classifier's answer for every row, whatever the
+        anomaly classifier says of it; null where no attack was seen in training."""
+        if self.attack is None:
+            return df.withColumn("AttackType", F.lit(None).cast("string"))
+        rows = df.withColumns({f: finite(F.col(f)) for f in self.features})
+        scaled = self.anomaly.stages[1].transform(self.anomaly.stages[0].transform(rows))
+        return self.attack.transform(scaled).select(*[c for c in df.columns if c != "AttackType"], F.col("attack_name").alias("AttackType"))
+
     def importances(self) -> list[tuple[str, float]]:
         """Features by importance, largest first."""
         weights = self.anomaly.stages[-1].featureImportances.toArray()
@@ -235,18 +244,35 @@ def overall_metrics(counts: DataFrame, positive: str = "1") -> DataFrame:
     )
 
 
+def stratified_folds(df: DataFrame, folds: int, label: str = "Label") -> DataFrame:
+    """Column ``fold``: each class is cut by hash order into parts whose sizes differ by one
+    at most. The cuts are order statistics, so no class is sorted in one task."""
+    ordered = df.withColumn("_order", hash_order())
+    fold = F.lit(0)
+    for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():
+        own = ordered.filter(F.col(label) == row[label])
+        for k in range(1, folds):
+            last = row["n"] * k // folds  # rows before the k-th cut
+            if last:
+                above = (F.col(label) == row[label]) & (F.col("_order") > order_statistic(own, "_order", last - 1))
+            else:
+                above = F.col(label) == row[label]
+            fold = fold + above.cast("int")
+    return ordered.withColumn("fold", fold).drop("_order")
+
+
 def cross_validation(df: DataFrame, features: list[str], model: str = "random_forest", folds: int = 5) -> list[float]:
-    """F1 of the positive class for each fold; the folds follow the hash order."""
+    """F1 of the positive class for each stratified fold of the rows, the training part."""
     rows = df.count()
     folds = min(folds, rows // 2)
     if rows <= 10 or folds < 2:
         return []
-    placed = stored(df.withColumn("_fold", (hash_order() % folds).cast("int")))
+    placed = stored(stratified_folds(df, folds))
     scores = []
     for fold in range(folds):
-        anomaly = fit_anomaly_classifier(placed.filter(F.col("_fold") != fold), features, model)
+        anomaly = fit_anomaly_classifier(placed.filter(F.col("fold") != fold), features, model)
         detector = SupervisedDetector(model, features, anomaly, None)
-        held = detector.predict(placed.filter(F.col("_fold") == fold))
+        held = detector.predict(placed.filter(F.col("fold") == fold))
         scores.append(overall_metrics(confusion(held)).first()["f1_score"])
     return scores
 
@@ -262,3 +288,29 @@ def train_from_samples(samples: DataFrame, features: list[str], model: str = "ra
     detector = fit_supervised(frame.filter("is_train"), features, model)
     tested = stored(detector.predict(frame.filter("not is_train").withColumnRenamed("AttackType", "TrueAttackType")))
     return detector, tested, overall_metrics(confusion(tested))
+
+
+def attack_report(detector: SupervisedDetector, tested: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of the attack types over the true anomalies of the
+    test rows (``Label`` and ``TrueAttackType``), found by the anomaly classifier or not."""
+    true = tested.filter("Label = 1")
+    return class_report(confusion(detector.attack_types(true), "TrueAttackType", "AttackType"))
+
+
+def train_from_dataset(spark: SparkSession, path: str, dataset: str, features: list[str], model: str = "random_forest"):
+    """From a stored labelled dataset (see ``sources.results``): the detector, its predictions
+    of the test part, and one row of metrics of both classifiers and of the cross-validation
+    inside the training part."""
+    from vigilog.sources.results import load_samples
+
+    samples = load_samples(spark, path, dataset)
+    detector, tested, metrics = train_from_samples(samples, features, model)
+    attacks = attack_report(detector, tested)
+    total = F.sum("support")
+    weighted = attacks.agg(
+        F.try_divide(F.sum("hit"), total).alias("attack_accuracy"), F.try_divide(F.sum(F.col("f1") * F.col("support")), total).alias("attack_f1_weighted"), total.alias("attack_samples")
+    )
+    train = stratified_split(labelled_frame(samples, features)).filter("is_train").drop("is_train")
+    folds = cross_validation_summary(spark, cross_validation(train, features, model))
+    found = weighted.first().asDict() | folds.first().asDict()
+    return detector, tested, metrics.select("*", *[F.lit(v).alias(k) for k, v in found.items()])

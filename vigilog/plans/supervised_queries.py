@@ -68,16 +68,58 @@ def random_forest(spark, sf_dir) -> DataFrame:
 
 @query("M3_gradient_boosting")
 def gradient_boosting(spark, sf_dir) -> DataFrame:
-    frame = stored(supervised.stratified_split(supervised.labelled_frame(samples(spark, sf_dir), FEATURES)))
-    anomaly = supervised.fit_anomaly_classifier(frame.filter("is_train"), FEATURES, "gradient_boosting")
-    detector = supervised.SupervisedDetector("gradient_boosting", FEATURES, anomaly, None)
-    return supervised.overall_metrics(supervised.confusion(detector.predict(frame.filter("not is_train"))))
+    """Both classifiers by boosting."""
+    return trained(spark, sf_dir, "gradient_boosting")[2]
 
 
-@query("M4_attack_types")
+SPLIT = f"""(SELECT *, row_number() OVER (PARTITION BY Label ORDER BY CAST('0x' || md5(CAST(id AS VARCHAR))[1:13] AS BIGINT)) AS place,
+  CAST(floor(0.8 * count(*) OVER (PARTITION BY Label)) AS BIGINT) AS train FROM {MARKED})"""
+REPORTED = f"SELECT AttackType AS class, count(*) AS support, true AS in_range FROM {SPLIT} WHERE place > train AND Label = 1 GROUP BY AttackType"
+
+
+def reported(spark, sf_dir, model: str) -> DataFrame:
+    """The attack report in the form that SQL can state: supports, and all rates within 0 and 1."""
+    detector, tested, _ = trained(spark, sf_dir, model)
+    rates = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1")]
+    report = supervised.attack_report(detector, tested).filter("support > 0")
+    return report.select("class", "support", (rates[0] & rates[1] & rates[2]).alias("in_range"))
+
+
+@query("M4_attack_types", REPORTED)
 def attack_types(spark, sf_dir) -> DataFrame:
-    tested = trained(spark, sf_dir, "random_forest")[1]
-    return supervised.class_report(supervised.confusion(tested.filter("Anomaly = 1"), "TrueAttackType", "AttackType"))
+    return reported(spark, sf_dir, "random_forest")
+
+
+@query("M4_boosted_attack_types", REPORTED)
+def boosted_attack_types(spark, sf_dir) -> DataFrame:
+    return reported(spark, sf_dir, "gradient_boosting")
+
+
+@query(
+    "M6_folds",
+    f"""SELECT fold, Label, count(*) AS n FROM (
+          SELECT Label, (place * 5 - 1) // n AS fold FROM (SELECT Label, place, count(*) OVER (PARTITION BY Label) AS n FROM {SPLIT} WHERE place <= train))
+        GROUP BY ALL""",
+)
+def folds(spark, sf_dir) -> DataFrame:
+    frame = supervised.stratified_split(supervised.labelled_frame(samples(spark, sf_dir), FEATURES))
+    placed = supervised.stratified_folds(frame.filter("is_train"), 5)
+    return placed.groupBy(F.col("fold").cast("long").alias("fold"), "Label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "M1_trained_dataset",
+    f"""SELECT count(*) FILTER (place > train) AS n_samples, count(*) FILTER (place > train AND Label = 1) AS attack_samples, 5::BIGINT AS folds, true AS in_range FROM {SPLIT}""",
+)
+def trained_dataset(spark, sf_dir) -> DataFrame:
+    """From a stored dataset to the metrics of both classifiers and the cross-validation."""
+    from vigilog.sources import results
+
+    path = f"{shared_folder(spark)}/datasets-{uuid.uuid4().hex}"
+    results.append_samples(samples(spark, sf_dir), path, "marked")
+    metrics = supervised.train_from_dataset(spark, path, "marked", FEATURES)[2]
+    rates = ["accuracy", "f1_score", "f1_weighted", "attack_accuracy", "attack_f1_weighted", "binary_cv_mean"]
+    return metrics.select("n_samples", "attack_samples", "folds", F.forall(F.array(*rates), lambda x: x.between(0, 1)).alias("in_range"))
 
 
 PREDICTED = "(SELECT CAST(toxic AS VARCHAR) AS label, CAST(CASE WHEN n_chars % 3 = 0 THEN 1 - toxic ELSE toxic END AS VARCHAR) AS predicted FROM labels JOIN documents USING (doc_id))"
@@ -124,7 +166,7 @@ def overall_metrics(spark, sf_dir) -> DataFrame:
 
 @query("M6_cross_validation")
 def cross_validation(spark, sf_dir) -> DataFrame:
-    df = supervised.labelled_frame(samples(spark, sf_dir), FEATURES)
+    df = supervised.stratified_split(supervised.labelled_frame(samples(spark, sf_dir), FEATURES)).filter("is_train").drop("is_train")
     return supervised.cross_validation_summary(spark, supervised.cross_validation(df, FEATURES))
 
 

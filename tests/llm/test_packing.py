@@ -25,7 +25,7 @@ def expected(doc_id, text, most=4096):
 def test_ids_of_words_are_ids_of_the_text(texts):
     ids_of = WordIds(PATH)
     for text in [*texts, "<|endoftext|> x"]:
-        assert ids_of(text.encode()) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert ids_of([text.encode()]) == [np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
 @settings(max_examples=60, deadline=None)

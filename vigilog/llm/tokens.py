@@ -1,13 +1,18 @@
 """Token ids of whole texts, cut into pieces of bounded length.
 
-The tokenizer drops white space and never joins characters across it, so the ids of a
-text are those of its words in a row. Words repeat, so each worker remembers the ids of
-the words that it has met (at most ``REMEMBERED``); long ones are not remembered.
+The tokenizer drops white space, never joins characters across it, lower-cases, and ends a
+token between a letter and a mark such as a full stop. So texts are lower-cased and parted
+there first, and the ids of a text are those of its parts in a row, which repeat far more
+often than words as they stand. Each worker remembers what it has met in two generations of
+bounded size, across its tasks.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,48 +21,112 @@ from pyspark.sql import DataFrame
 
 from vigilog.llm.batches import bounded_batches, slabs, texts_of
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONG_WORD = 64
+SLAB_BYTES = 8 << 20
+CLOSING = b".,;:!?"
+#: A letter before a closing mark; a blank between them changes no id.
+LETTER_BEFORE_MARK = re.compile(rb"([a-z])(?=[.,;:!?])")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary, where it is another one:
+    bytes without a visible Latin-1 character get those from 256 on, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in visible)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
+class _Memory:
+    """The newest entries: a full generation becomes the old one, the old one is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key: bytes, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.words = _Memory(REMEMBERED)
 
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+    def _encoded(self, parts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()  # bytes are split at ASCII white space only
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            own = dict(zip(new, self.encoded(new), strict=True))
-            known.update((w, ids) for w, ids in own.items() if len(w) <= LONG_WORD)
-            return b"".join([known[w] if w in known else own[w] for w in words])
-        return b"".join([known[w] for w in words])
+    def _letters(self, word: bytes) -> bytes:
+        """Ids of lower-case letters: one word for the tokenizer, so its model is asked at once."""
+        text = word.decode("latin-1")
+        found = self.model.tokenize(text if word.isascii() else text.translate(BYTE_CHARACTERS))
+        return array("I", [x.id for x in found]).tobytes()
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not remembered."""
+        out, parts, other = {}, {}, set()
+        for w in words:
+            if w.isalpha() and w.islower():  # of bytes: ASCII letters
+                out[w] = self._letters(w)
+                continue
+            stem = w.rstrip(CLOSING)
+            text = stem.decode("utf-8", "replace")
+            if not text.isalpha() or max(text) >= "\u0100":  # more than Latin letters and marks after them
+                parts[w] = b"", w
+            else:
+                parts[w] = self._letters(text.lower().encode()), w[len(stem) :]
+            other.add(parts[w][1])
+        other.discard(b"")
+        rests = list(other)
+        after = {b"": b""} | dict(zip(rests, self._encoded(rests), strict=True))
+        out.update((w, ids + after[rest]) for w, (ids, rest) in parts.items())
+        for w, ids in out.items():
+            if len(w) <= LONG_WORD:
+                self.words.put(w, ids)
+        return out
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        # The name of a special token would become one by lower-casing.
+        lists = [(t if b"<|" in t else LETTER_BEFORE_MARK.sub(rb"\1 ", t.lower())).split() for t in texts]
+        unique = set().union(*lists)  # bytes are split at ASCII white space only
+        new, old = self.words.new.get, self.words.old.get
+        known = {w: new(w) or old(w) for w in unique}
+        known.update(self._learn([w for w, ids in known.items() if ids is None]))
+        return [b"".join([known[w] for w in words]) for words in lists]
+
+
+_own: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """This worker's encoder of a tokenizer file."""
+    if path not in _own:
+        _own[path] = WordIds(path)
+    return _own[path]
 
 
 def _pieces(path: str, end_id: int, most: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
-            for part, data, offsets in slabs(batch, "text"):
+            for part, data, offsets in slabs(batch, "text", SLAB_BYTES):
                 whole = data.tobytes()
+                encoded = ids_of([whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
                 row, number, start, length, crc, ids = [], [], [], [], [], []
-                for i in range(part.num_rows):
-                    own = ids_of(whole[offsets[i] : offsets[i + 1]]) + end
+                for i, own in enumerate(encoded):
+                    own += end
                     for k, at in enumerate(range(0, len(own), 4 * most)):
                         cut = own[at : at + 4 * most]
                         row.append(i)

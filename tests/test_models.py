@@ -70,18 +70,58 @@ def test_local_outlier_factor_is_exact(spark):
         return 1 / (np.maximum(reach[near], np.take_along_axis(d, near, axis=1)).mean(1) + 1e-10)
 
     lrd = density(own, order)
-    assert np.allclose(model.training, lrd[order].mean(1) / lrd)
+    rows = df.select("record_id", F.array(*NAMES).alias("x"))
+    training = {r["record_id"]: r["factor"] for r in model.training(rows).collect()}
+    assert np.allclose([training[i] for i in range(len(x))], lrd[order].mean(1) / lrd)
     novel = np.argsort(distances, axis=1)[:, :k]
     expected = lrd[novel].mean(1) / density(distances, novel)
-    found = {r["record_id"]: r["s"] for r in df.select("record_id", model.score().alias("s")).collect()}
+    found = {r["record_id"]: r["_neighbours"] for r in model.scores(rows).collect()}
     assert np.allclose([found[i] for i in range(len(x))], expected)
+    shown = {r["record_id"]: r["attributions"] for r in model.attributions(rows.filter("record_id < 3")).collect()}
+    for i in range(3):
+        for j in range(3):
+            changed = scaled[i].copy()
+            changed[j] = 0
+            d = np.sqrt(((scaled - changed) ** 2).sum(1))
+            near = np.argsort(d)[:k]
+            fallen = lrd[near].mean() * (np.maximum(reach[near], d[near]).mean() + 1e-10)
+            assert shown[i][j] == pytest.approx(expected[i] - fallen, abs=1e-6)
+
+
+def test_equal_rows_count_as_many_neighbours(spark):
+    data = [(i, 0.0, 0.0, 0.0) for i in range(30)] + [(30 + i, float(i), 1.0, 2.0) for i in range(20)]
+    df = spark.createDataFrame(data, "record_id long, a double, b double, c double")
+    model = detection.fit_detector(df, NAMES, "lof").neighbours
+    factors = {r["record_id"]: r["factor"] for r in model.training(df.select("record_id", F.array(*NAMES).alias("x"))).collect()}
+    assert len(factors) == 50 and all(factors[i] == pytest.approx(1.0) for i in range(30))
+
+
+def test_neighbours_over_many_leaves(spark, monkeypatch):
+    """Every row finds most of its true neighbours, whatever the partitioning."""
+    from vigilog.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAF", 200)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 20)) * 6
+    x = (centres[rng.integers(0, 8, 1500)] + rng.normal(size=(1500, 20)) * 0.5).round(6)
+    lists = []
+    for parts in (1, 5):
+        df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long").repartition(parts)
+        leaves, levels = neighbours.grown(df, 20)
+        assert levels and leaves.groupBy("tree", "node").count().agg(F.max("count")).first()[0] <= 200
+        near = neighbours.neighbour_lists(leaves, leaves, 11).select("id", neighbours.counted(F.col("near"), 11).alias("n"))
+        lists.append({r["id"]: [e["nb"] for e in r["n"]] for r in near.collect()})
+    assert lists[0] == lists[1] and len(lists[0]) == 1500
+    order = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :11]
+    recall = np.mean([len(set(lists[0][i]) & set(order[i].tolist())) / 11 for i in range(1500)])
+    assert recall >= 0.9
 
 
-@pytest.mark.parametrize("algorithm", ["isolation_forest", "ensemble"])
+@pytest.mark.parametrize("algorithm", detection.ALGORITHMS)
 def test_saved_detector_predicts_the_same(spark, tmp_path, algorithm):
     _, df = points(spark, n=40)
     detector = detection.fit_detector(df, NAMES, algorithm)
-    assert detector.small_cut is not None
+    assert (detector.small_cut is not None) == (algorithm != "lof")
     detector.save(spark, str(tmp_path / "m"))
     again = detection.load_detector(spark, str(tmp_path / "m"))
     assert sorted(map(tuple, detector.predict(df).collect())) == sorted(map(tuple, again.predict(df).collect()))

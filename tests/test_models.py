@@ -164,6 +164,20 @@ def test_clusters_find_separate_groups(spark):
     assert not first & second and not second & third and not first & third
 
 
+def test_groups_in_many_dimensions(spark):
+    """Eight groups that only all 20 features keep apart."""
+    draw = np.random.default_rng(12)
+    centres = draw.normal(size=(8, 20)) * 4
+    group = draw.integers(0, 8, 2000)
+    x = centres[group] + draw.normal(size=(2000, 20))
+    names = [f"f{i}" for i in range(20)]
+    df = stored(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "record_id long, " + ", ".join(f"{n} double" for n in names)))
+    found = {r["record_id"]: r["Cluster"] for r in clusters.density_clusters(df, names).collect()}
+    pairs = {(int(group[i]), c) for i, c in found.items() if c != clusters.NOISE}
+    assert len(pairs) == 8 and len({c for _, c in pairs}) == 8
+    assert sum(c == clusters.NOISE for c in found.values()) < 100
+
+
 def test_components_match_brute_force(spark):
     draw = np.random.default_rng(11)
     pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 30, size=(20, 2)) if a != b] + [(f"n{i}", f"n{i + 1}") for i in range(95, 105)]

@@ -1,28 +1,26 @@
-"""Density clustering of anomalies.
-
-The scaled features are projected on three fixed directions and cut into a grid
-whose cells follow Scott's rule for three axes, spread * n^(-1/7). Cells with enough rows are dense, adjacent dense cells belong
-together, other cells join the fullest dense cell next to them, and groups below
-the minimum size are noise (-1). It is a flat cut of the density.
-
-All steps after the first aggregate work on cells: any number of equal or close
-rows is one cell with a weight, so hot groups cost nothing.
+"""Density clustering of anomalies on all chosen features.
+
+Equal rows are one weighted point. The nearest neighbours of every point (``neighbours``)
+give its core distance, the reach of its first few rows. Two neighbours belong together if
+their distance and both core distances stay below a limit that the core distances
+themselves set: the upper quartile plus three times the quartile distance, beyond which a
+point counts as thinly settled. Connected groups below the minimum size are noise (-1). It
+is a flat cut of the density; no step looks at pairs of points that are not neighbours.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from vigilog.operators import labels
+from vigilog.operators import labels, neighbours
 from vigilog.operators.joins import BROADCAST_ROWS, attach
+from vigilog.operators.quantile import quantile
 from vigilog.operators.scaling import fit_scaler, matrix_row
-from vigilog.session import pinned
+from vigilog.session import pinned, stored
 
-AXES = 3
+# Neighbours that a point can be joined with.
+JOINED = 15
 DIRECT = 10
 NOISE = -1
 
@@ -52,47 +50,6 @@ def cluster_sizes(rows: int, minimum: int = 5) -> tuple[int, int]:
     return size, max(1, min(3, size // 2))
 
 
-def directions(width: int) -> np.ndarray:
-    """Fixed directions of length 1 for a number of features."""
-    drawn = np.random.default_rng(width).normal(size=(width, AXES))
-    return drawn / np.linalg.norm(drawn, axis=0)
-
-
-def projected(df: DataFrame, features: list[str]) -> DataFrame:
-    """The rows with the array ``y`` of their places on the axes."""
-    scaler = fit_scaler(df, features)
-    axes = directions(len(features))
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def place(rows: pd.Series) -> pd.Series:
-        if len(rows) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(scaler.scaled(np.stack(rows.to_numpy())) @ axes))
-
-    return df.withColumn("y", place(matrix_row(features)))
-
-
-def cell_widths(points: DataFrame, rows: int) -> list[float]:
-    """Scott's rule: the spread of an axis, shrinking with the number of rows."""
-    spreads = points.agg(*[F.stddev_pop(F.col("y")[i]) for i in range(AXES)]).first()
-    return [s * rows ** (-1.0 / (AXES + 4)) if s and s > 1e-9 else 1.0 for s in spreads]
-
-
-def cell_name(parts: list[Column]) -> Column:
-    return F.concat_ws(":", *[p.cast("string") for p in parts])
-
-
-def offsets() -> list[tuple[int, ...]]:
-    return [o for o in itertools.product((-1, 0, 1), repeat=AXES) if any(o)]
-
-
-def neighbours(cells: DataFrame) -> DataFrame:
-    """``(cell, other)`` for the 26 places around each cell."""
-    parts = [F.col(f"c{i}") for i in range(AXES)]
-    names = F.array(*[cell_name([p + F.lit(d) for p, d in zip(parts, o)]) for o in offsets()])
-    return cells.select("cell", F.explode(names).alias("other"))
-
-
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(cell, label)``: the smallest cell name of each connected group.
 
@@ -132,44 +89,39 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     return joined.withColumn("number", F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
 
 
-def cell_clusters(cells: DataFrame, smallest: int, dense_from: int) -> DataFrame:
-    """``(cell, weight, Cluster)`` from ``(cell, c0, c1, c2, weight)``."""
-    dense = pinned(cells.filter(F.col("weight") >= dense_from))
-    sparse = cells.filter(F.col("weight") < dense_from)
-    others = dense.select(F.col("cell").alias("other"), F.col("weight").alias("other_weight"))
-    edges = pinned(neighbours(dense).join(others.select("other"), "other"))
-    labelled = components(edges, dense)
-    best = F.max_by("label", F.struct("other_weight", "label")).alias("label")
-    border = (
-        neighbours(sparse)
-        .join(others, "other")
-        .join(labelled.select(F.col("cell").alias("other"), "label"), "other")
-        .groupBy("cell")
-        .agg(best)
-    )
-    members = pinned(cells.join(labelled.unionByName(border), "cell", "left").select("cell", "weight", "label"))
+def point_clusters(points: DataFrame, width: int, smallest: int) -> DataFrame:
+    """``x``, ``weight`` and ``Cluster`` of weighted points ``id``, ``x``, ``w``."""
+    leaves, _ = neighbours.grown(points, width)
+    near = neighbours.neighbour_lists(leaves, leaves, JOINED + 1)
+    others = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["nb"].alias("nb"), (e["w"] - (e["nb"] == F.col("id")).cast("long")).alias("w")))
+    lists = stored(near.select("id", F.filter(others, lambda e: e["w"] > 0).alias("near")))
+    reach = F.array_max(F.transform(neighbours.counted(F.col("near"), smallest - 1), lambda e: e["d"]))
+    core = stored(lists.select("id", reach.alias("core")))
+    low, high = (quantile(core, "core", q) for q in (0.25, 0.75))
+    limit = max(high + 3 * (high - low), 1e-9)
+    close = core.filter(F.col("core") <= limit)
+    edges = lists.join(close.select("id"), "id").select("id", F.explode("near").alias("e")).filter((F.col("e.d") <= limit) & (F.col("e.nb") != F.col("id")))
+    edges = edges.select(F.col("id").alias("cell"), F.col("e.nb").alias("other")).join(close.select(F.col("id").alias("other")), "other").select("cell", "other")
+    both = pinned(edges.unionByName(edges.select(F.col("other").alias("cell"), F.col("cell").alias("other"))).distinct())
+    labelled = components(both, close.select(F.col("id").alias("cell"))).withColumnRenamed("cell", "id")
+    members = pinned(points.select("id", "x", F.col("w").alias("weight")).join(labelled, "id", "left"))
     sizes = members.filter("label is not null").groupBy("label").agg(F.sum("weight").alias("size"))
     numbers = numbered(sizes.filter(F.col("size") >= smallest), F.desc("size"), "label")
     found = members.join(numbers.select("label", "number"), "label", "left")
-    return found.select("cell", "weight", F.coalesce("number", F.lit(NOISE)).cast("int").alias("Cluster"))
+    return found.select("x", "weight", F.coalesce("number", F.lit(NOISE)).cast("int").alias("Cluster"))
 
 
 def density_clusters(anomalies: DataFrame, features: list[str], minimum: int = 5) -> DataFrame:
-    """Column ``Cluster`` for all rows; ``anomalies`` should be a stored table."""
+    """Column ``Cluster`` for all rows; ``anomalies`` should be a stored table with ``record_id``."""
     rows = anomalies.count()
-    smallest, dense_from = cluster_sizes(rows, minimum)
+    smallest, _ = cluster_sizes(rows, minimum)
     if rows < 2:
         return anomalies.withColumn("Cluster", F.lit(NOISE))
-    points = projected(anomalies, features)
-    widths = cell_widths(points, rows)
-    placed = points
-    for i, width in enumerate(widths):
-        placed = placed.withColumn(f"c{i}", F.floor(F.col("y")[i] / F.lit(width)))
-    placed = placed.withColumn("cell", cell_name([F.col(f"c{i}") for i in range(AXES)]))
-    axes = [f"c{i}" for i in range(AXES)]
-    cells = pinned(placed.groupBy("cell", *axes).agg(F.count(F.lit(1)).alias("weight")))
-    table = pinned(cell_clusters(cells, smallest, dense_from))
-    return attach(placed.drop("y", *axes), table, "cell", "weight").drop("cell")
+    scaler = fit_scaler(anomalies, features)
+    own = stored(anomalies.select("record_id", neighbours.scaled_row(scaler, matrix_row(features)).alias("x")))
+    found = point_clusters(stored(neighbours.points_of(own)), len(features), max(2, smallest))
+    clusters = own.join(found.select("x", "Cluster"), "x").select("record_id", "Cluster")
+    return anomalies.join(clusters, "record_id")
 
 
 def clean_name(feature: str) -> str:

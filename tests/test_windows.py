@@ -74,6 +74,8 @@ def test_event_context(spark, seed):
             sum(r[1] < t for r in near), sum(r[1] > t for r in near), len({r[2] for r in near} - {None}),
             sum(r[2] == event for r in near) if event is not None else 0,
         )
+    # Without a time nothing is known of the events around.
+    expected |= {r[0]: (None, None, None, None) for r in data if r[1] is None}
     assert found == expected
 
 
@@ -87,6 +89,22 @@ def test_attach_splits_hot_keys(spark):
     assert large.count() == len(keys)
 
 
+def test_rows_without_a_key_are_spread(spark):
+    """No task of the join holds most of the rows without a key."""
+    df = spark.createDataFrame([(i, i if i % 10 < 3 else None) for i in range(4000)], "record_id long, k long")
+    table = pinned(df.filter("k is not null").groupBy("k").agg(F.count("*").alias("w")))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = joins.attach(df, table, "k", "w", broadcast_rows=0)
+        sizes = [r["n"] for r in joined.filter("k is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert sum(sizes) == 2800 and max(sizes) < 1400
+
+
 @pytest.mark.parametrize("small", [5, 100_000])
 def test_exact_quantiles(spark, small, monkeypatch):
     monkeypatch.setattr(quantile, "SMALL", small)

@@ -43,7 +43,7 @@ def attach(
     own = F.xxhash64("record_id")
     salted_rows = rows.join(F.broadcast(hot), key, "left").withColumn(
         "_salt",
-        F.when(F.col(key).isNull(), own.cast("int")).when(F.col("_salts").isNull(), 0).otherwise(F.pmod(own, F.col("_salts")).cast("int")),
+        F.when(F.col(key).isNull(), F.pmod(own, F.lit(1 << 20)).cast("int")).when(F.col("_salts").isNull(), 0).otherwise(F.pmod(own, F.col("_salts")).cast("int")),
     )
     salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
     return salted_rows.join(salted_table.drop(weight), [key, "_salt"], "left").drop("_salt", "_salts")

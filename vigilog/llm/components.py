@@ -13,17 +13,18 @@ def components(links: DataFrame) -> DataFrame:
     ``component`` is the smallest node that can be reached. Rounds alternate between
     hanging the larger neighbours of each node under its smallest neighbour and doing
     so with the smaller ones, until nothing changes; their number grows with the
-    logarithm of the longest path. Every round is an aggregate and a join by node
-    whose result is written to the shared folder; a node with many links is an
+    logarithm of the longest path. Every round is two aggregates and two joins by node
+    whose results are written to the shared folder; a node with many links is an
     ordinary skewed key of an inner join, which Spark splits.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     state = None
     while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
-        lowest = larger.groupBy("hi").agg(F.min("lo").alias("m"))
+        # The aggregates are written too: a join right on top of one could not split a node with many links.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        larger = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct())
+        lowest = stored(larger.groupBy("hi").agg(F.min("lo").alias("m")))
         smaller = larger.join(lowest, "hi")
         edges = stored(
             smaller.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(smaller.select("hi", F.col("m").alias("lo"))).filter("hi <> lo").distinct()

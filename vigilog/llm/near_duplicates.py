@@ -44,6 +44,7 @@ COMPARE = 16  # minima compared before each look at the posterior
 MISS = 1e-6
 BUCKET_ROWS = 4096
 CLUSTER_ROWS = 4096
+BROADCAST_ROWS = 1_000_000
 CLUSTER_SHINGLES = 1 << 21
 
 FACTORS = (mixed(np.arange(1001, 1001 + HASHES, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
@@ -282,7 +283,8 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """``docs`` with one document of each component, the others unchanged.
 
     Rows that repeat both id and text are one document. The rows that go are joined away,
-    the smaller side; only documents that stay and come repeatedly are grouped.
+    the smaller side, by broadcast up to ``BROADCAST_ROWS`` of them (two numbers each) and by
+    shuffle beyond; only documents that stay and come repeatedly are grouped.
     """
     rows = near_duplicates(docs, id_column, text_column).groupBy("doc_id", "place").agg(F.bool_or("first").alias("stays"), F.count("*").alias("times"))
     rows = stored(rows.filter("NOT stays OR times > 1"))
@@ -292,10 +294,13 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def match(other):
         return (marked[place] == other["place"]) & column(marked, id_column).eqNullSafe(other["doc_id"])
 
+    def small(other):
+        return F.broadcast(other) if other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else other
+
     names = [column(marked, c) for c in docs.columns]
-    gone = rows.filter("NOT stays")
+    gone = small(rows.filter("NOT stays").select("doc_id", "place"))
     left = marked.join(gone, match(gone), "left_anti")
-    repeated = rows.filter("stays").select("doc_id", "place")
+    repeated = small(rows.filter("stays").select("doc_id", "place"))
     if repeated.isEmpty():
         return left.select(*names)
     once = left.join(repeated, match(repeated), "left_anti").select(*names)

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vigilog.llm.batches import SPACE, column, fresh
+from vigilog.llm.batches import SPACE, column
 from vigilog.session import stored
 
 FEATURES = ("word_length", "symbols", "capitals", "letters", "repeats", "lines")
@@ -63,10 +63,12 @@ def repeated_words(words: Column) -> Column:
     return F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """The counts of every whole text, with ``doc_id`` and ``team`` (language and source)."""
+def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source", whole: bool = False) -> DataFrame:
+    """The counts of every whole text, with ``doc_id`` and ``team`` (language and source), and
+    with ``whole`` the row itself as ``row``."""
     text = F.coalesce(column(docs, text_column).cast("string"), F.lit(""))
     rows = docs.select(
+        *([F.struct(*[column(docs, c) for c in docs.columns]).alias("row")] if whole else []),
         column(docs, id_column).alias("doc_id"),
         F.to_json(F.struct(column(docs, lang_column).alias("l"), column(docs, source_column).alias("s"))).alias("team"),
         F.to_json(F.struct(column(docs, lang_column).alias("l"))).alias("language"),
@@ -75,10 +77,10 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORDS))
     return rows.select(
+        *(["row"] if whole else []),
         "doc_id",
         "team",
         "language",
-        F.xxhash64("text", "team").alias("key"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -185,8 +187,9 @@ def scatter_estimates(rows: DataFrame, count: int) -> DataFrame:
     return stored(least.select("team", *[F.col(f"e.{n}").alias(n) for n in names]))
 
 
-def _teams(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with the team whose estimate judges them, and the rows of each such team."""
+def _teams(rows: DataFrame) -> tuple[DataFrame, int, DataFrame]:
+    """For each team the one whose estimate judges it (``team``, ``judge``), the number of
+    teams, and the rows of each judging team."""
     sizes = rows.groupBy("team", "language").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("language_n", F.sum("n").over(W.partitionBy("language"))).withColumn("all_n", F.sum("n").over(W.partitionBy()))
     of_language = F.concat(F.lit("l"), F.col("language"))
@@ -199,35 +202,48 @@ def _teams(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.unionByName(_with(rows.drop("team"), asked, count, "language").withColumn("team", of_language))
     if not sizes.filter("judge = 'all'").isEmpty():
         members = members.unionByName(rows.withColumn("team", F.lit("all")))
-    return own, members
+    return sizes.select("team", "judge"), count, members
 
 
-def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """One row per document: the counts, ``base_failed``, ``distance`` (squared), ``kept``, and
-    ``key``, a hash of text, language and source, on which all of these depend alone."""
-    counts = statistics(docs, id_column, text_column, lang_column, source_column)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stored(counts.withColumn("base_failed", failed))
-    passed = stored(rows.filter("NOT base_failed").select(*rows.columns, *_vector()))
-    own, members = _teams(passed)
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _estimated(passed: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+    """The judging teams of all teams and the estimates of those, each with its number of rows."""
+    judges, teams, members = _teams(passed)
     members = stored(members.select("team", *FEATURES))
     count = members.select("team").distinct().count()
-    names = ["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    sure = own.filter("team IS NOT NULL")
-    measured = _distances(sure.select(*names, "team", *FEATURES), scatter_estimates(members, count), count) if count else sure.withColumn("d2", F.lit(None).cast("double"))
-    without = lambda df: df.select(*names, F.lit(None).cast("double").alias("distance"), (~F.col("base_failed")).alias("kept"))
-    return (
-        measured.select(*names, F.col("d2").alias("distance"), (F.col("d2") <= CUTOFF).alias("kept"))
-        .unionAll(without(own.filter("team IS NULL")))
-        .unionAll(without(rows.filter("base_failed")))
-    )
+    return judges, teams, scatter_estimates(members, count) if count else None, count
+
+
+def _with_distance(passed: DataFrame, judges: DataFrame, teams: int, estimates: DataFrame | None, count: int) -> DataFrame:
+    """``passed`` with ``distance`` (squared); null in a table too small for any estimate."""
+    if estimates is None:
+        return passed.withColumn("distance", F.lit(None).cast("double"))
+    own = _with(passed, judges, teams).drop("team").withColumnRenamed("judge", "team")
+    return _distances(own, estimates, count).withColumnRenamed("d2", "distance")
+
+
+def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
+    """One row per document: the counts, ``base_failed``, ``distance`` (squared) and ``kept``."""
+    rows = stored(statistics(docs, id_column, text_column, lang_column, source_column).withColumn("base_failed", _failed()))
+    passed = stored(rows.filter("NOT base_failed").select(*rows.columns, *_vector()))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance"]
+    measured = _with_distance(passed, *_estimated(passed)).select(*names)
+    failed = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double")).select(*names)
+    kept = F.coalesce(F.col("distance") <= CUTOFF, ~F.col("base_failed"))
+    return measured.unionAll(failed).withColumn("kept", kept)
 
 
 def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", source_column: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with all their columns."""
-    verdicts = judged(docs, id_column, text_column, lang_column, source_column)
-    rejected = stored(verdicts.filter("NOT kept").select("key").distinct())
-    key = fresh(docs, "key")
-    text = F.coalesce(column(docs, text_column).cast("string"), F.lit(""))
-    team = F.to_json(F.struct(column(docs, lang_column).alias("l"), column(docs, source_column).alias("s")))
-    return docs.withColumn(key, F.xxhash64(text, team)).join(rejected.withColumnRenamed("key", key), key, "left_anti").select(*[column(docs, c) for c in docs.columns])
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns.
+
+    The estimates come from a first pass over the texts; a second one counts again and keeps
+    or drops each row as it passes, so that no text is shuffled.
+    """
+    counts = statistics(docs, id_column, text_column, lang_column, source_column).filter(~_failed())
+    found = _estimated(stored(counts.select("team", "language", *_vector())))
+    rows = statistics(docs, id_column, text_column, lang_column, source_column, whole=True).filter(~_failed())
+    measured = _with_distance(rows.select("row", "team", *_vector()), *found)
+    return measured.filter(F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).select("row.*")

@@ -93,7 +93,7 @@ def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def _vector() -> list[Column]:
-    words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
+    words, chars = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars"))
     return [
         F.log(chars / words).alias("word_length"),
         F.sqrt(F.col("n_symbols") / words).alias("symbols"),
@@ -242,8 +242,11 @@ def kept_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     The estimates come from a first pass over the texts; a second one counts again and keeps
     or drops each row as it passes, so that no text is shuffled.
     """
-    counts = statistics(docs, id_column, text_column, lang_column, source_column).filter(~_failed())
-    found = _estimated(stored(counts.select("team", "language", *_vector())))
-    rows = statistics(docs, id_column, text_column, lang_column, source_column, whole=True).filter(~_failed())
-    measured = _with_distance(rows.select("row", "team", *_vector()), *found)
-    return measured.filter(F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).select("row.*")
+    counts = stored(statistics(docs, id_column, text_column, lang_column, source_column).drop("doc_id"))
+    found = _estimated(stored(counts.filter(~_failed()).select("team", "language", *_vector())))
+    rows = statistics(docs, id_column, text_column, lang_column, source_column, whole=True)
+    # A filter right above the counts would move below them and count a second time; none
+    # moves below a generator, here one of a single struct.
+    once = rows.select("row", F.inline(F.array(F.struct("team", "n_words", "n_repeat_words", _failed().alias("base_failed"), F.struct(*_vector()).alias("vector")))))
+    measured = _with_distance(once.select("row", "team", "base_failed", "vector.*"), *found)
+    return measured.filter(~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).select("row.*")

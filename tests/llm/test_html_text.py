@@ -44,6 +44,35 @@ def test_article_text(page):
     assert main_text(page) == WANTED
 
 
+def text_of(n, letter="x"):
+    return ((letter * 9 + " ") * n)[: n - 1] + "."
+
+
+def test_whole_article_beside_its_densest_part():
+    heading, paragraph = text_of(40), text_of(400)
+    inner = "<div>" + paragraphs([paragraph] * 4) + "</div>"
+    wanted = "\n".join([heading] + [paragraph] * 4)
+    assert main_text(body(f"{NAV}<article><h1>{heading}</h1>{inner}</article>{SIDE}")) == wanted
+    assert main_text(body(f'<main><h1><a href="/t">{heading}</a></h1>{inner}</main>')) == wanted
+
+
+def test_sections_of_unlike_length():
+    first, second = [text_of(500)] * 5, [text_of(350, "y")] * 5
+    sections = f"<section>{paragraphs(first)}</section><section>{paragraphs(second)}</section>"
+    assert main_text(body(f"<article>{sections}</article>")) == "\n".join(first + second)
+
+
+def test_loose_text_beside_the_best_part():
+    paragraph = text_of(400)
+    inner = "<div>" + paragraphs([paragraph] * 4) + "</div>"
+    wanted = "\n".join(["Loose words before.", *[paragraph] * 4, "And after."])
+    assert main_text(body(f"<article>Loose words before.{inner}And after.</article>")) == wanted
+    assert main_text(body(f"<div>Loose words before.{inner}And after.</div>")) == wanted
+    assert main_text(body(f'<div>Loose words before.{inner}And after.<br><a href="/">All the other stories</a></div>')) == wanted
+    assert main_text(body(f"Home of the site.<article>{inner}</article>")) == "\n".join([paragraph] * 4)
+    assert main_text("<div>" * 3000 + "Loose words before." + inner + "And after.") == wanted
+
+
 def test_references():
     assert main_text("<article><p>a&amp;b &lt;i&gt; &#233;&nbsp;&copy 1 &am</p></article>") == "a&b <i> é © 1 &am"
 

@@ -6,7 +6,8 @@ and the like are no part of the tree. For every node the density is characters p
 adjusted by how much of it is link text; a node's sum is that of its children's densities.
 The node with the largest sum is the article, or the ``article`` or ``main`` element that
 it lies in. Next to the path from it to the body, a subtree belongs to the article too if
-its density reaches the least density on that path.
+its density reaches the least density on that path; so do the path's own runs of text that
+are not mostly links, unless the article is marked by such an element.
 
 Defined results: null, empty and tag-only pages have an empty text. Text is never cut.
 Repeated rows have equal texts; a table without rows gives none; other columns are ignored.
@@ -43,6 +44,12 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 PARTS = re.compile(r"[A-Za-z]+")
 
 
+class Run(str):
+    """A run of text and how many of its characters are in links."""
+
+    links = 0
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
@@ -75,7 +82,7 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def tree(page: str) -> Node:
-    """The body's blocks; children are nodes or runs of text ``[pieces, link characters]``."""
+    """The body's blocks; children are nodes or runs of text."""
     root = node = Node("body", None)
     at = links = 0
     article = 0  # open article and main elements
@@ -90,7 +97,9 @@ def tree(page: str) -> Node:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
                 linked = min(len(whole), len(" ".join(html.unescape("".join(link_pieces)).split())))
-                node.children.append(whole)
+                run = Run(whole)
+                run.links = linked
+                node.children.append(run)
                 node.chars += len(whole)
                 node.link_chars += linked
             text, link_pieces = [], []
@@ -227,24 +236,25 @@ def main_text(page: str | None) -> str:
         if node.tag in ("article", "main"):
             path = path[place:]
             break
+    whole = path[0]
+    loose = whole.tag not in ("article", "main")
     edge = min(n.density for n in path)
     inside = {id(n) for n in path[1:]}
     out: list[str] = []
-
-    def gather(node):
-        for child in node.children:
-            if child is path[0]:
-                _blocks(child, out)
-            elif isinstance(child, Node):
-                if id(child) in inside:
-                    gather(child)
-                elif child.density >= edge and child.link_chars * 2 <= child.chars:
-                    _blocks(child, out)
-
-    if len(path) == 1:
-        _blocks(path[0], out)
-    else:
-        gather(path[-1])
+    stack = [iter([path[-1]])]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif not isinstance(child, Node):
+            if loose and child.links * 2 <= len(child):
+                out.append(child)
+        elif child is whole:
+            _blocks(child, out)
+        elif id(child) in inside:
+            stack.append(iter(child.children))
+        elif child.density >= edge and child.link_chars * 2 <= child.chars:
+            _blocks(child, out)
     return "\n".join(out)
 
 

@@ -73,6 +73,28 @@ def test_loose_text_beside_the_best_part():
     assert main_text("<div>" * 3000 + "Loose words before." + inner + "And after.") == wanted
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        body(NAV + '<div class="content-sidebar-wrap"><article>' + paragraphs(PARAGRAPHS) + "</article>" + SIDE + "</div>"),
+        body(NAV + '<div class="site has-sidebar"><main>' + paragraphs(PARAGRAPHS) + "</main>" + SIDE + "</div>"),
+        body('<div class="site has-sidebar"><div class="content">' + paragraphs(PARAGRAPHS) + "</div></div>"),
+        body('<form id="aspnetForm" action="/"><input type="hidden" name="v"><div>' + paragraphs(PARAGRAPHS) + "</div>" + NAV + "</form>"),
+        body('<div class="alert-page"><form><div class="widget">' + paragraphs(PARAGRAPHS) + "</div></form></div>"),
+        body("<main><article>" + paragraphs(PARAGRAPHS) + "</article>" + COMMENTS * 40 + "</main>"),
+        body("<article>" + paragraphs(PARAGRAPHS) + '<section class="comments">' + f"<article><p>{LONG}</p></article>" * 2 + "</section></article>"),
+        body("<article>" + paragraphs(PARAGRAPHS) + FORM + "</article>" + f'<div class="related"><article class="teaser comment">{LONG}</article></div>'),
+    ],
+)
+def test_wrappers_are_no_noise(page):
+    assert main_text(page) == WANTED
+
+
+def test_code_keeps_its_comments():
+    code = '<pre><code><span class="hljs-comment"># sums</span> s = 0 <span class="token comment"># here</span></code></pre>'
+    assert main_text(body("<article>" + paragraphs([LONG]) + code + '<span class="x" hidden>no</span></article>')) == LONG + "\n# sums s = 0 # here"
+
+
 def test_references():
     assert main_text("<article><p>a&amp;b &lt;i&gt; &#233;&nbsp;&copy 1 &am</p></article>") == "a&b <i> é © 1 &am"
 

@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 Each page is read into a tree of block elements (inline tags only count as tags, missing
-end tags are closed as browsers do). Scripts, forms, menus, notices, adverts, comments
-and the like are no part of the tree. For every node the density is characters per tag,
+end tags are closed as browsers do). Scripts, menus, hidden parts and the like are no part of
+the tree; forms and blocks named as notices, adverts, comments and so on neither, unless they
+hold the article element or (where none is marked) most of the text, as wrappers of a page
+do. For every node the density is characters per tag,
 adjusted by how much of it is link text; a node's sum is that of its children's densities.
 The node with the largest sum is the article, or the ``article`` or ``main`` element that
 it lies in. Next to the path from it to the body, a subtree belongs to the article too if
@@ -32,7 +34,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-LEFT_OUT = set("head nav footer aside form button select dialog menu fieldset object audio video canvas map datalist".split())
+LEFT_OUT = set("head nav footer aside button select dialog menu fieldset object audio video canvas map datalist".split())
 NOISE = set(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
     notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations
@@ -51,34 +53,63 @@ class Run(str):
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubt")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, doubt: bool = False):
+        self.tag, self.parent, self.children, self.doubt = tag, parent, [], doubt
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _noise(tag: str, attributes: str, in_article: bool) -> str:
+    """``out`` for what is no part of the page's text, ``doubt`` for blocks that are left out unless
+    they hold the article."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
+        return "out"
+    doubt = "doubt" if tag == "form" else ""
     if not attributes or tag in {"html", "body", "main"}:
-        return False
+        return doubt
     for name, value, hidden in NAMED.findall(attributes):
         if hidden:
-            return True
+            return "out"
         value, name = value.strip("\"'").lower(), name.lower()
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
+                return "out"
         elif name == "aria-hidden":
             if value == "true":
-                return True
-        else:
+                return "out"
+        elif tag not in INLINE:
             words = set(PARTS.findall(value))
             if words & ({"comment", "comments", "reply"} if tag == "article" else NOISE) or ("header" in words and not in_article):
-                return True
-    return False
+                doubt = "doubt"
+    return doubt
+
+
+def _settled(root: Node) -> None:
+    """Takes out the doubtful blocks, except those that hold an article or main element that is
+    in no other article or, on pages without such an element, most of the body's characters
+    outside links."""
+    nodes = [root]
+    for node in nodes:
+        nodes += [c for c in node.children if isinstance(c, Node)]
+    plain = {id(n): n.chars - n.link_chars for n in nodes}
+    nested, marked = set(), set()  # nodes in an article; nodes that hold one
+    for node in nodes[1:]:
+        if id(node.parent) in nested or node.parent.tag == "article":
+            nested.add(id(node))
+    for node in reversed(nodes[1:]):
+        up = node.parent
+        plain[id(up)] += plain[id(node)]
+        if id(node) in marked or node.tag in ("article", "main") and not node.doubt and id(node) not in nested:
+            marked.add(id(up))
+
+    def stays(child) -> bool:
+        held = not isinstance(child, Node) or not child.doubt or id(child) in marked
+        return held or id(root) not in marked and plain[id(child)] * 2 > plain[id(root)]
+
+    for node in nodes:
+        node.children = [c for c in node.children if stays(c)]
 
 
 def tree(page: str) -> Node:
@@ -90,6 +121,7 @@ def tree(page: str) -> Node:
     skip: list[str] = []  # open elements of a part that is left out
     text: list[str] = []
     link_pieces: list[str] = []
+    doubtful = False
 
     def flush():
         nonlocal text, link_pieces
@@ -180,14 +212,18 @@ def tree(page: str) -> Node:
             close(seek.parent)
         if tag in CLOSES and (seek := open_(CLOSES[tag], SCOPE[tag])):
             close(seek.parent)
-        if _noise(tag, found[3], article > 0):
+        doubt = _noise(tag, found[3], article > 0)
+        if doubt == "out":
             skip = [tag]
             continue
-        child = Node(tag, node)
+        doubtful |= doubt == "doubt"
+        child = Node(tag, node, doubt == "doubt")
         node.children.append(child)
         article += tag in ("article", "main")
         node = child
     flush()
+    if doubtful:
+        _settled(root)
     return root
 
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Every stage takes all rows that the stage before it wrote and hands on the columns of
-``documents``; the last one returns the pieces with their place in sequences:
+``documents``; the last one returns the pieces with their token ids and their place in sequences:
 
 1. quality_rules: documents that the base rules or the outlier test reject go;
 2. near_duplicates: one document of each group of near copies stays;
@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_documents(docs, TOKENIZER, capacity=CAPACITY, end_id=1, keep_ids=False)
+    return packed_documents(docs, TOKENIZER, capacity=CAPACITY, end_id=1)
 
 
 STAGES = [
@@ -61,9 +61,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+def packed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again: the pieces
+    with their token ids and their place in sequences."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packed_corpus`` without the token ids, as the query's columns are fixed."""
+    return packed_corpus(spark, sf_dir).drop("ids")

@@ -1,8 +1,10 @@
 """The pipeline stage by stage against plain Python, and on awkward tables."""
 
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from test_packing import check_rows
 from test_quality_rules import counts
@@ -107,6 +109,12 @@ def test_run(spark, sf_dir):
     assert rows.count() > 0
 
 
+def test_last_stage_keeps_token_ids(spark, sf_dir):
+    rows = corpus_pipeline.packed_corpus(spark, sf_dir).collect()
+    assert rows and all(len(r["ids"]) == r["length"] for r in rows)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+
+
 LONG = " ".join(f"word{i % 997} and{i}" for i in range(30_000))
 AWKWARD = [
     (None, None, None, None, None),

@@ -117,6 +117,24 @@ def test_neighbours_over_many_leaves(spark, monkeypatch):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("latent,rows", [(4, 2600), (4, 6000), (20, 2600)])
+def test_neighbours_are_true_beyond_one_leaf(spark, monkeypatch, latent, rows):
+    """No groups that a leaf could match: normal rows, also of as many dimensions as columns."""
+    from vigilog.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAF", 256)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(rows, latent)) @ rng.normal(size=(latent, 20)) + rng.normal(size=(rows, 20)) * 0.01
+    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long")
+    _, _, near = neighbours.searched(df, 20, 21)
+    found = {r["id"]: {e["nb"] for e in r["near"][:21]} for r in near.collect()}
+    sample = range(0, rows, 13)
+    order = [np.argsort(((x - x[i]) ** 2).sum(1))[:21].tolist() for i in sample]
+    share = np.mean([len(found[i] & set(own)) / 21 for i, own in zip(sample, order, strict=True)])
+    assert share >= 0.85 and len(found) == rows
+    assert neighbours.recall(df, near, 21) >= 0.9
+
+
 @pytest.mark.parametrize("algorithm", detection.ALGORITHMS)
 def test_saved_detector_predicts_the_same(spark, tmp_path, algorithm):
     _, df = points(spark, n=40)

@@ -91,8 +91,7 @@ def numbered(df: DataFrame, *order) -> DataFrame:
 
 def point_clusters(points: DataFrame, width: int, smallest: int) -> DataFrame:
     """``x``, ``weight`` and ``Cluster`` of weighted points ``id``, ``x``, ``w``."""
-    leaves, _ = neighbours.grown(points, width)
-    near = neighbours.neighbour_lists(leaves, leaves, JOINED + 1)
+    _, _, near = neighbours.searched(points, width, JOINED + 1)
     others = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["nb"].alias("nb"), (e["w"] - (e["nb"] == F.col("id")).cast("long")).alias("w")))
     lists = stored(near.select("id", F.filter(others, lambda e: e["w"] > 0).alias("near")))
     reach = F.array_max(F.transform(neighbours.counted(F.col("near"), smallest - 1), lambda e: e["d"]))

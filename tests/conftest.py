@@ -6,7 +6,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SF_DIR = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

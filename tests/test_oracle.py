@@ -2,7 +2,6 @@
 
 import compare
 import pytest
-from conftest import SF_DIR
 
 from vigilog.plans import load_queries
 
@@ -10,8 +9,8 @@ QUERIES, ORACLE = load_queries()
 
 
 @pytest.fixture(scope="module")
-def sql():
-    return compare.connection(SF_DIR)
+def sql(sf_dir):
+    return compare.connection(sf_dir)
 
 
 def test_names():
@@ -19,10 +18,10 @@ def test_names():
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLE])
-def test_same_rows_as_sql(spark, sql, name):
-    assert compare.difference(spark, sql, name, QUERIES[name], ORACLE[name], SF_DIR) is None
+def test_same_rows_as_sql(spark, sql, sf_dir, name):
+    assert compare.difference(spark, sql, name, QUERIES[name], ORACLE[name], sf_dir) is None
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE])
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF_DIR).limit(1).count() == 1
+def test_has_rows(spark, sf_dir, name):
+    assert QUERIES[name](spark, sf_dir).limit(1).count() == 1

@@ -71,12 +71,13 @@ def test_local_outlier_factor_is_exact(spark):
 
     lrd = density(own, order)
     rows = df.select("record_id", F.array(*NAMES).alias("x"))
-    training = {r["record_id"]: r["factor"] for r in model.training(rows).collect()}
+    training = {r["record_id"]: r["factor"] for r in model.training().collect()}
     assert np.allclose([training[i] for i in range(len(x))], lrd[order].mean(1) / lrd)
     novel = np.argsort(distances, axis=1)[:, :k]
     expected = lrd[novel].mean(1) / density(distances, novel)
-    found = {r["record_id"]: r["_neighbours"] for r in model.scores(rows).collect()}
-    assert np.allclose([found[i] for i in range(len(x))], expected)
+    for scores in (model.scores(rows), model.own_scores()):
+        found = {r["record_id"]: r["_neighbours"] for r in scores.collect()}
+        assert np.allclose([found[i] for i in range(len(x))], expected)
     shown = {r["record_id"]: r["attributions"] for r in model.attributions(rows.filter("record_id < 3")).collect()}
     for i in range(3):
         for j in range(3):
@@ -92,7 +93,7 @@ def test_equal_rows_count_as_many_neighbours(spark):
     data = [(i, 0.0, 0.0, 0.0) for i in range(30)] + [(30 + i, float(i), 1.0, 2.0) for i in range(20)]
     df = spark.createDataFrame(data, "record_id long, a double, b double, c double")
     model = detection.fit_detector(df, NAMES, "lof").neighbours
-    factors = {r["record_id"]: r["factor"] for r in model.training(df.select("record_id", F.array(*NAMES).alias("x"))).collect()}
+    factors = {r["record_id"]: r["factor"] for r in model.training().collect()}
     assert len(factors) == 50 and all(factors[i] == pytest.approx(1.0) for i in range(30))
 
 
@@ -106,11 +107,11 @@ def test_neighbours_over_many_leaves(spark, monkeypatch):
     x = (centres[rng.integers(0, 8, 1500)] + rng.normal(size=(1500, 20)) * 0.5).round(6)
     lists = []
     for parts in (1, 5):
-        df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long").repartition(parts)
-        leaves, levels = neighbours.grown(df, 20)
-        assert levels and leaves.groupBy("tree", "node").count().agg(F.max("count")).first()[0] <= 200
-        near = neighbours.neighbour_lists(leaves, leaves, 11).select("id", neighbours.counted(F.col("near"), 11).alias("n"))
-        lists.append({r["id"]: [e["nb"] for e in r["n"]] for r in near.collect()})
+        df = stored(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long").repartition(parts))
+        homes, levels = neighbours.divided(df, 20)
+        assert levels and homes.groupBy("node").count().agg(F.max("count")).first()[0] <= 200 and homes.count() == 1500
+        near = neighbours.compared(df, neighbours.probed(df, levels, 3), df, homes, 11)
+        lists.append({r["id"]: [e["nb"] for e in r["near"]] for r in near.collect()})
     assert lists[0] == lists[1] and len(lists[0]) == 1500
     order = np.argsort(((x[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :11]
     recall = np.mean([len(set(lists[0][i]) & set(order[i].tolist())) / 11 for i in range(1500)])
@@ -125,14 +126,27 @@ def test_neighbours_are_true_beyond_one_leaf(spark, monkeypatch, latent, rows):
     monkeypatch.setattr(neighbours, "LEAF", 256)
     rng = np.random.default_rng(8)
     x = rng.normal(size=(rows, latent)) @ rng.normal(size=(latent, 20)) + rng.normal(size=(rows, 20)) * 0.01
-    df = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long")
-    _, _, near = neighbours.searched(df, 20, 21)
-    found = {r["id"]: {e["nb"] for e in r["near"][:21]} for r in near.collect()}
+    df = stored(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long"))
+    graph = neighbours.searched(df, 20, 21)
+    found = {r["id"]: {e["nb"] for e in r["near"][:21]} for r in graph.near.collect()}
     sample = range(0, rows, 13)
     order = [np.argsort(((x - x[i]) ** 2).sum(1))[:21].tolist() for i in sample]
     share = np.mean([len(found[i] & set(own)) / 21 for i, own in zip(sample, order, strict=True)])
-    assert share >= 0.85 and len(found) == rows
-    assert neighbours.recall(df, near, 21) >= 0.9
+    assert share >= 0.85 and len(found) == rows and graph.recall >= 0.9
+
+
+def test_refining_the_graph_finds_what_cells_cut_off(spark, monkeypatch):
+    from vigilog.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAF", 128)
+    x = np.random.default_rng(4).normal(size=(3000, 3))
+    df = stored(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long"))
+    homes, levels = neighbours.divided(df, 3)
+    edges = neighbours.true_edges(df, 11)
+    asked = neighbours.probed(df, levels, 2).select("id", "node")
+    near = stored(neighbours.compared(df, asked.join(homes, ["id", "node"]).unionByName(asked.filter("id % 3 = 0")).distinct(), df, homes, 11))
+    before, after = neighbours.recall(edges, near), neighbours.recall(edges, neighbours.refined(df, homes, near, 11))
+    assert before < 0.95 and after > before + (1 - before) / 3
 
 
 @pytest.mark.parametrize("algorithm", detection.ALGORITHMS)
@@ -197,17 +211,125 @@ def test_groups_in_many_dimensions(spark):
 
 
 def test_components_match_brute_force(spark):
+    from vigilog.operators.components import components
+
     draw = np.random.default_rng(11)
-    pairs = [(f"n{a}", f"n{b}") for a, b in draw.integers(0, 30, size=(20, 2)) if a != b] + [(f"n{i}", f"n{i + 1}") for i in range(95, 105)]
-    both = pairs + [(b, a) for a, b in pairs]
-    names = sorted({a for a, _ in both} | {"lonely"})
-    label = {n: n for n in names}
-    for _ in names:
-        for a, b in both:
+    pairs = [(int(a), int(b)) for a, b in draw.integers(0, 30, size=(20, 2))] + [(i, i + 1) for i in range(95, 105)] + [(200, i) for i in range(201, 230)]
+    label = {n: n for pair in pairs for n in pair}
+    for _ in label:
+        for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
-    edges = spark.createDataFrame(both, "cell string, other string")
-    nodes = spark.createDataFrame([(n,) for n in names], "cell string")
-    assert {r["cell"]: r["label"] for r in clusters.components(edges, nodes).collect()} == label
+    expected = {n: c for n, c in label.items() if any(a != b for a, b in pairs if n in (a, b))}
+    assert {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == expected
+
+
+def links_of(x, k):
+    """The mutual links of the k nearest rows, weighted by distance."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    return sorted({(min(i, j), max(i, j)): float(d[i, j]) for i in range(len(x)) for j in np.argsort(d[i])[1 : k + 1].tolist()}.items())
+
+
+@pytest.mark.parametrize("most", [40, 10**6])
+def test_spanning_forest_is_the_one_of_sorted_links(spark, most):
+    from vigilog.operators.hierarchy import spanning_forest
+
+    x = np.random.default_rng(3).normal(size=(150, 2)).round(1) + np.repeat([[0, 0], [50, 0], [0, 90]], 50, axis=0)
+    links = links_of(x, 4)
+    above, expected = list(range(150)), set()
+
+    def top(i):
+        return i if above[i] == i else top(above[i])
+
+    for (a, b), w in sorted(links, key=lambda e: (e[1], *e[0])):
+        if top(a) != top(b):
+            above[top(a)] = top(b)
+            expected.add((a, b, w))
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links], "a long, b long, w double")
+    assert {tuple(r) for r in spanning_forest(df, most).collect()} == expected
+
+
+def chosen_clusters(links, weights, smallest):
+    """The hierarchy from the top: groups are parted at their longest link, again and again."""
+
+    def groups(nodes, own):
+        left, found = set(nodes), []
+        while left:
+            some, open_ = set(), [min(left)]
+            while open_:
+                n = open_.pop()
+                if n not in some:
+                    some.add(n)
+                    open_ += [b if a == n else a for (a, b), _ in own if n in (a, b)]
+            found.append(some)
+            left -= some
+        return found
+
+    def rows(nodes):
+        return sum(weights[n] for n in nodes)
+
+    def best(nodes, born, top):
+        """(how long the best clusters last in all, the clusters)"""
+        own = sorted([e for e in links if e[0][0] in nodes], key=lambda e: (e[1], *e[0]))
+        held, lasts, below = set(nodes), 0.0, (0.0, [])
+        while True:
+            if not own:  # one point, of many equal rows
+                break
+            density = 1 / own.pop()[1]
+            parts = [g for g in groups(held, [e for e in own if e[0][0] in held and e[0][1] in held])]
+            large = [g for g in parts if rows(g) >= smallest]
+            last = {n for g in parts if g not in large for n in g} if large else held
+            lasts += rows(last) * (density - born)
+            if len(large) != 1:
+                if large:
+                    lasts += sum(rows(g) for g in large) * (density - born)
+                    found = [best(g, density, False) for g in large]
+                    below = sum(f[0] for f in found), [c for f in found for c in f[1]]
+                break
+            held = large[0]
+            own = [e for e in own if e[0][0] in held and e[0][1] in held]
+            if not own:
+                break
+        return (lasts, [nodes]) if not top and lasts >= below[0] else below
+
+    trees = [g for g in groups(range(len(weights)), links) if rows(g) >= smallest]
+    return {frozenset(c) for g in trees for c in best(g, 0.0, len(trees) == 1)[1]}
+
+
+@pytest.mark.parametrize("chunk", [17, 10**6])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hierarchy_is_the_one_from_the_top(spark, monkeypatch, chunk, seed):
+    from vigilog.operators import hierarchy
+
+    draw = np.random.default_rng(seed)
+    x = np.concatenate([draw.normal(c, s, size=(n, 2)) for c, s, n in (((0, 0), 0.1, 25), ((1, 0), 0.1, 20), ((9, 9), 1.5, 30), ((20, 0), 0.5, 12), ((90, 0), 1, 3))])
+    if seed == 2:
+        x = x[:75]
+    weights = [1 + (i % 7 == 0) for i in range(len(x))]
+    points = stored(spark.createDataFrame(list(enumerate(weights)), "id long, w long"))
+    forest = hierarchy.spanning_forest(spark.createDataFrame([(a, b, w) for (a, b), w in links_of(x, 6 if seed == 1 else 40)], "a long, b long, w double"))
+    monkeypatch.setattr(hierarchy, "LINKS", chunk)
+    rows = hierarchy.density_hierarchy(points, forest, 5).collect()
+    found = {}
+    for r in rows:
+        if r["cluster"] is not None:
+            found.setdefault(r["cluster"], set()).add(r["id"])
+    links = [((r["a"], r["b"]), r["w"]) for r in forest.collect()]
+    assert len(rows) == len(x) and {frozenset(c) for c in found.values()} == chosen_clusters(links, weights, 5)
+
+
+def test_dense_and_thin_groups_side_by_side(spark):
+    """Groups whose densities are as 1 to 10 in each direction, two dense ones close together."""
+    draw = np.random.default_rng(9)
+    dense = [draw.normal(c, 0.1, size=(150, 4)) for c in (0.0, 1.5)]
+    thin = draw.normal(20.0, 1.0, size=(150, 4))
+    x = np.concatenate([*dense, thin])
+    names = [f"f{i}" for i in range(4)]
+    df = stored(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "record_id long, " + ", ".join(f"{n} double" for n in names)))
+    found = {r["record_id"]: r["Cluster"] for r in clusters.density_clusters(df, names, 15).collect()}
+    main = [max(set(own), key=own.count) for own in ([found[i] for i in part] for part in (range(150), range(150, 300), range(300, 450)))]
+    assert len(set(main)) == 3 and clusters.NOISE not in main
+    for label, part in zip(main, (range(150), range(150, 300), range(300, 450)), strict=True):
+        assert sum(found[i] == label for i in part) >= 120
 
 
 def test_few_anomalies_get_patterns(spark):

@@ -1,11 +1,10 @@
 """Density clustering of anomalies on all chosen features.
 
-Equal rows are one weighted point. The nearest neighbours of every point (``neighbours``)
-give its core distance, the reach of its first few rows. Two neighbours belong together if
-their distance and both core distances stay below a limit that the core distances
-themselves set: the upper quartile plus three times the quartile distance, beyond which a
-point counts as thinly settled. Connected groups below the minimum size are noise (-1). It
-is a flat cut of the density; no step looks at pairs of points that are not neighbours.
+Equal rows are one weighted point. The nearest neighbours of every point (``neighbours``) are the
+links of a graph; a link is as long as the distance or the farther one of the core distances of its
+ends, the reach of the first few rows around a point. The minimum spanning forest of the graph gives
+a hierarchy of groups, from which the clusters that last longest are chosen (``hierarchy``), so dense
+and thin ones are found side by side. Points in none are noise (-1).
 """
 
 from __future__ import annotations
@@ -13,15 +12,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vigilog.operators import labels, neighbours
-from vigilog.operators.joins import BROADCAST_ROWS, attach
-from vigilog.operators.quantile import quantile
+from vigilog.operators import hierarchy, labels, neighbours
+from vigilog.operators.joins import attach
 from vigilog.operators.scaling import fit_scaler, matrix_row
 from vigilog.session import pinned, stored
 
 # Neighbours that a point can be joined with.
 JOINED = 15
 DIRECT = 10
+# Points of each part of the graph that are asked for a way to other parts.
+BRIDGES = 16
 NOISE = -1
 
 
@@ -40,7 +40,7 @@ def cluster_features(df: DataFrame, features: list[str]) -> list[str]:
 
 
 def cluster_sizes(rows: int, minimum: int = 5) -> tuple[int, int]:
-    """Smallest cluster and rows that make a cell dense."""
+    """Smallest cluster and rows around a point that its core distance spans."""
     if rows < 10:
         size = max(2, rows // 3)
     elif rows < 20:
@@ -50,77 +50,52 @@ def cluster_sizes(rows: int, minimum: int = 5) -> tuple[int, int]:
     return size, max(1, min(3, size // 2))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(cell, label)``: the smallest cell name of each connected group.
+def _one_tree(points: DataFrame, width: int, core: DataFrame, forest: DataFrame) -> DataFrame:
+    """The forest joined to one tree, so that the density at which its parts fall asunder is known.
 
-    Every round takes the smallest label around a cell and then the label of that
-    label, so chains shorten by half; the labels of a round are written to the
-    shared folder. The loop ends when no label changes. A component may hold most
-    cells, so the second look-up is a broadcast while the cells are few; beyond
-    that the adaptive join splits the label that they share.
+    ``BRIDGES`` points of every tree, chosen by hash, are searched among each other with lists
+    that are longer than that, so every tree is joined with another one in each round.
     """
-    labelled = pinned(nodes.select("cell", F.col("cell").alias("label")))
-    few = labelled.count() <= BROADCAST_ROWS
-    while True:
-        theirs = labelled.select(F.col("cell").alias("other"), F.col("label").alias("theirs"))
-        around = edges.join(theirs, "other").groupBy("cell").agg(F.min("theirs").alias("theirs"))
-        lowered = labelled.join(around, "cell", "left").select(
-            "cell", F.col("label").alias("old"), F.least("label", "theirs").alias("label")
-        )
-        further = lowered.select(F.col("cell").alias("label"), F.col("label").alias("further"))
-        step = lowered.join(F.broadcast(further) if few else further, "label", "left")
-        step = pinned(step.select("cell", "old", F.least("label", "further").alias("label")))
-        changed = step.filter("label <> old").limit(1).count()
-        labelled = step.select("cell", "label")
-        if not changed:
-            return labelled
-
-
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with a column ``number`` from 0 in the given order, without a single task
-    that sees all rows: places inside the sorted partitions plus their offsets."""
-    placed = pinned(df.orderBy(*order)).withColumn("_place", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_place", 33))
-    parts = placed.groupBy("_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # One row per partition of the sort.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = parts.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = placed.join(F.broadcast(shifts), "_part")
-    return joined.withColumn("number", F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
-
-
-def point_clusters(points: DataFrame, width: int, smallest: int) -> DataFrame:
-    """``x``, ``weight`` and ``Cluster`` of weighted points ``id``, ``x``, ``w``."""
-    _, _, near = neighbours.searched(points, width, JOINED + 1)
-    others = F.transform("near", lambda e: F.struct(e["d"].alias("d"), e["nb"].alias("nb"), (e["w"] - (e["nb"] == F.col("id")).cast("long")).alias("w")))
-    lists = stored(near.select("id", F.filter(others, lambda e: e["w"] > 0).alias("near")))
-    reach = F.array_max(F.transform(neighbours.counted(F.col("near"), smallest - 1), lambda e: e["d"]))
-    core = stored(lists.select("id", reach.alias("core")))
-    low, high = (quantile(core, "core", q) for q in (0.25, 0.75))
-    limit = max(high + 3 * (high - low), 1e-9)
-    close = core.filter(F.col("core") <= limit)
-    edges = lists.join(close.select("id"), "id").select("id", F.explode("near").alias("e")).filter((F.col("e.d") <= limit) & (F.col("e.nb") != F.col("id")))
-    edges = edges.select(F.col("id").alias("cell"), F.col("e.nb").alias("other")).join(close.select(F.col("id").alias("other")), "other").select("cell", "other")
-    both = pinned(edges.unionByName(edges.select(F.col("other").alias("cell"), F.col("cell").alias("other"))).distinct())
-    labelled = components(both, close.select(F.col("id").alias("cell"))).withColumnRenamed("cell", "id")
-    members = pinned(points.select("id", "x", F.col("w").alias("weight")).join(labelled, "id", "left"))
-    sizes = members.filter("label is not null").groupBy("label").agg(F.sum("weight").alias("size"))
-    numbers = numbered(sizes.filter(F.col("size") >= smallest), F.desc("size"), "label")
-    found = members.join(numbers.select("label", "number"), "label", "left")
-    return found.select("x", "weight", F.coalesce("number", F.lit(NOISE)).cast("int").alias("Cluster"))
+    size = points.count()
+    while (links := forest.count()) < size - 1:
+        labels = hierarchy.trees(forest, links)
+        placed = points.select("id", "x").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("tree", F.coalesce("component", "id"))
+        some = placed.withColumn("_place", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("id"), "id"))).filter(F.col("_place") <= BRIDGES)
+        some = stored(some.select("id", "x", F.lit(1).cast("long").alias("w"), "tree"))
+        near = neighbours.searched(some.drop("tree"), width, BRIDGES + DIRECT, by_rows=False).near
+        edges = near.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d")
+        for end, other in (("id", "_a"), ("nb", "_b")):
+            edges = edges.join(some.join(core, "id").select(F.col("id").alias(end), F.col("tree").alias(f"{other}_tree"), F.col("core").alias(f"{other}_core")), end)
+        bridges = edges.filter("_a_tree <> _b_tree").select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), F.greatest("d", "_a_core", "_b_core").alias("w"))
+        forest = hierarchy.spanning_forest(forest.unionAll(bridges.groupBy("a", "b").agg(F.min("w").alias("w"))))
+    return forest
+
+
+def point_clusters(points: DataFrame, width: int, smallest: int, samples: int) -> DataFrame:
+    """``id`` and ``Cluster`` of weighted points ``id``, ``x``, ``w`` (stored)."""
+    near = neighbours.searched(points, width, JOINED + 1, by_rows=False).near
+    core = stored(neighbours.counted(near, samples, True).select("id", F.coalesce(F.array_max("used.d"), F.lit(0.0)).alias("core")))
+    edges = near.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d").filter("id <> nb")
+    ends = core.select(F.col("id").alias("nb"), F.col("core").alias("far"))
+    links = edges.join(core, "id").join(ends, "nb").select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), F.greatest("d", "core", "far").alias("w"))
+    forest = hierarchy.spanning_forest(links.groupBy("a", "b").agg(F.min("w").alias("w")))
+    forest = _one_tree(points, width, core, forest)
+    found = stored(hierarchy.density_hierarchy(points.select("id", "w"), forest, smallest).join(points.select("id", "w"), "id"))
+    sizes = found.filter("cluster is not null").groupBy("cluster").agg(F.sum("w").alias("size"))
+    numbers = hierarchy.numbered(sizes, F.desc("size"), "cluster").select("cluster", "number")
+    return found.join(numbers, "cluster", "left").select("id", F.coalesce("number", F.lit(NOISE)).cast("int").alias("Cluster"))
 
 
 def density_clusters(anomalies: DataFrame, features: list[str], minimum: int = 5) -> DataFrame:
     """Column ``Cluster`` for all rows; ``anomalies`` should be a stored table with ``record_id``."""
     rows = anomalies.count()
-    smallest, _ = cluster_sizes(rows, minimum)
+    smallest, samples = cluster_sizes(rows, minimum)
     if rows < 2:
         return anomalies.withColumn("Cluster", F.lit(NOISE))
     scaler = fit_scaler(anomalies, features)
-    own = stored(anomalies.select("record_id", neighbours.scaled_row(scaler, matrix_row(features)).alias("x")))
-    found = point_clusters(stored(neighbours.points_of(own)), len(features), max(2, smallest))
-    clusters = own.join(found.select("x", "Cluster"), "x").select("record_id", "Cluster")
-    return anomalies.join(clusters, "record_id")
+    points, members = neighbours.points_of(stored(anomalies.select("record_id", neighbours.scaled_row(scaler, matrix_row(features)).alias("x"))))
+    found = point_clusters(points, len(features), max(2, smallest), samples)
+    return anomalies.join(members.join(found, "id").select("record_id", "Cluster"), "record_id")
 
 
 def clean_name(feature: str) -> str:

@@ -114,3 +114,27 @@ def test_exact_quantiles(spark, small, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
         for share in (0.0, 0.1, 0.5, 0.9, 1.0):
             assert quantile.quantile(df, "x", share) == pytest.approx(np.quantile(values, share), rel=1e-12)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_event_runs_hold_every_listing_once(spark, seed):
+    from vigilog.operators import timeline
+
+    rng = random.Random(seed)
+    times = [rng.choice([rng.randrange(0, 20_000), rng.randrange(90_000, 90_500), None]) for _ in range(150)] + [5_000] * 20
+    rows = [(i, 1, t) for i, t in enumerate(times)]
+    log = spark.createDataFrame(rows, "record_id long, EventID long, EpochSeconds long").repartition(3)
+    chosen = {i for i, t in enumerate(times) if i % (4 * seed) == 0}
+    found = timeline.event_runs(log, log.filter(F.col("record_id").isin(chosen)), minutes=2).collect()
+    by_place = {r["place"]: r["record_id"] for r in found}
+    assert len(by_place) == len(found) == len({r["record_id"] for r in found})
+    for r in found:
+        assert r["run_start"] <= r["EpochSeconds"] <= r["run_stop"]
+        assert r["IsAnomalous"] == (r["record_id"] in chosen) and (r["first_place"] is None) != r["IsAnomalous"]
+        if r["IsAnomalous"]:
+            own = {by_place[p] for p in range(r["first_place"], r["last_place"] + 1)}
+            assert own == {i for i, t in enumerate(times) if t is not None and abs(t - times[r["record_id"]]) <= 120}
+    anomalies = {i for i in chosen if times[i] is not None}
+    assert {r["record_id"] for r in found} == {i for i, t in enumerate(times) if t is not None and any(abs(t - times[j]) <= 120 for j in anomalies)}
+    spans = sorted({(r["run_start"], r["run_stop"]) for r in found})
+    assert all(b[0] - a[1] > 1 for a, b in zip(spans, spans[1:]))

@@ -1,8 +1,9 @@
 """Events around an anomaly.
 
 Numbers, frequent event IDs and their modes come from running sums over seconds for
-all rows, without any pairs of events. Only the listing of the events themselves is made of
-pairs, for the anomalies that the caller chooses.
+all rows, without any pairs of events. The listing of the events themselves holds each event
+once: windows that overlap are one run, and every anomaly is a range of places in its run. A listing
+in pairs is there for the anomalies that the caller chooses.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vigilog.operators.joins import attach
+from vigilog.operators.hierarchy import numbered
+from vigilog.operators.joins import BROADCAST_ROWS, attach
 from vigilog.operators.profile import HOUR, hour_of, hours_of, steps
 from vigilog.session import pinned
 
@@ -49,9 +51,9 @@ def running_sums(changes: DataFrame, sums: list[str], *keys: str) -> DataFrame:
     )
 
 
-def second_context(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """Per second with events: events before and after, and distinct event IDs, within
-    the given minutes."""
+def second_context(log: DataFrame, minutes: int = MINUTES, distinct: bool = True) -> DataFrame:
+    """Per second with events: events before and after, and (where asked for) distinct event
+    IDs, within the given minutes."""
     reach = 60 * minutes
     timed = log.filter("EpochSeconds is not null")
     counts = timed.groupBy(F.col("EpochSeconds").alias("second")).agg(F.count(F.lit(1)).alias("n"))
@@ -61,16 +63,14 @@ def second_context(log: DataFrame, minutes: int = MINUTES) -> DataFrame:
         spans = counts.select(start.alias("start"), stop.alias("stop"), F.col("n").alias(name))
         return spans.select(F.inline(steps(F.col("start"), F.col("stop"), [name])))
 
-    seen = timed.filter("EventID is not null").select(F.col("EventID").alias("value"), second_of()).distinct()
-    diversity = covering_spans(seen, reach).select(F.inline(steps(F.col("start"), F.col("stop"), ["diversity"])))
-    changes = [
-        counts,
-        side("events_before", second + 1, second + reach + 1),
-        side("events_after", second - reach, second),
-        diversity,
-    ]
+    changes = [counts, side("events_before", second + 1, second + reach + 1), side("events_after", second - reach, second)]
+    sums = ["events_before", "events_after"]
+    if distinct:
+        seen = timed.filter("EventID is not null").select(F.col("EventID").alias("value"), second_of()).distinct()
+        changes.append(covering_spans(seen, reach).select(F.inline(steps(F.col("start"), F.col("stop"), ["diversity"]))))
+        sums.append("diversity")
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes)
-    return running_sums(union, ["events_before", "events_after", "diversity"])
+    return running_sums(union, sums)
 
 
 def second_of() -> Column:
@@ -158,6 +158,59 @@ def event_timeline(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) ->
     )
 
 
+def _of_earlier_hours(hours: DataFrame, column: str) -> Column:
+    """The largest value that an earlier hour has; ``hours`` has a row per hour of the log."""
+    return F.max(column).over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def window_runs(chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """``run_start``, ``run_stop``: the windows of all chosen anomalies, merged where they overlap or touch.
+
+    The anomaly before and the last beginning of a run are looked up inside each hour, and beyond it
+    in a table with one row per hour that has anomalies.
+    """
+    reach = 60 * minutes
+    seconds = pinned(chosen.filter("EpochSeconds is not null").select(second_of()).distinct().withColumn("hour", hour_of(F.col("second"))))
+    inside = Window.partitionBy("hour").orderBy("second")
+    hours = seconds.groupBy("hour").agg(F.max("second").alias("last"))
+    before = hours.select("hour", _of_earlier_hours(hours, "last").alias("before"))
+    gaps = seconds.withColumn("previous", F.lag("second").over(inside)).join(before, "hour")
+    heads = pinned(
+        gaps.select("hour", "second", F.coalesce("previous", "before").alias("previous")).withColumn(
+            "head", F.when(F.col("previous").isNull() | (F.col("second") - F.col("previous") > 2 * reach + 1), F.col("second"))
+        )
+    )
+    starts = heads.groupBy("hour").agg(F.max("head").alias("head"))
+    begun = starts.select("hour", _of_earlier_hours(starts, "head").alias("begun"))
+    here = F.max("head").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = heads.withColumn("here", here).join(begun, "hour").select("second", F.coalesce("here", "begun").alias("first"))
+    return placed.groupBy("first").agg(F.max("second").alias("last")).select((F.col("first") - reach).alias("run_start"), (F.col("last") + reach).alias("run_stop"))
+
+
+def event_runs(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """The events around all chosen anomalies, each event once, so no more rows than the log has.
+
+    ``run_start``, ``run_stop`` and ``place`` (order of the log by time and ``record_id``) come with each
+    event; an anomaly's own row has ``first_place`` and ``last_place``: its listing is the rows of its
+    run from the one to the other. Rows without a time are in no run.
+    """
+    runs = pinned(window_runs(chosen, minutes))
+    in_hours = runs.withColumn("hour", F.explode(F.sequence(hour_of(F.col("run_start")), hour_of(F.col("run_stop")))))
+    # A few runs for each hour of the log.
+    few = runs.agg(F.coalesce(F.sum(hour_of(F.col("run_stop")) - hour_of(F.col("run_start")) + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    timed = log.filter("EpochSeconds is not null").withColumn("hour", hour_of(F.col("EpochSeconds")))
+    events = numbered(timed, "EpochSeconds", "record_id").withColumnRenamed("number", "place")
+    events = events.join(F.broadcast(in_hours) if few else in_hours, "hour").filter(F.col("EpochSeconds").between(F.col("run_start"), F.col("run_stop"))).drop("hour")
+    around = second_context(log, minutes, distinct=False).withColumnRenamed("second", "EpochSeconds")
+    ends = events.groupBy("EpochSeconds").agg(F.min("place").alias("_first"), F.max("place").alias("_last"), F.count(F.lit(1)).alias("_weight"))
+    ranges = pinned(ends.join(around, "EpochSeconds").select("EpochSeconds", "_weight", (F.col("_first") - F.col("events_before")).alias("first_place"), (F.col("_last") + F.col("events_after")).alias("last_place")))
+    marked = attach(events, ranges, "EpochSeconds", "_weight")
+    ids = chosen.filter("EpochSeconds is not null").select("record_id", F.lit(True).alias("IsAnomalous"))
+    anomalous = F.coalesce("IsAnomalous", F.lit(False))
+    own = {n: F.when(anomalous, F.col(n)) for n in ("first_place", "last_place")}
+    return marked.join(ids, "record_id", "left").withColumns(own | {"IsAnomalous": anomalous})
+
+
 def nearby_events(log: DataFrame, chosen: DataFrame, minutes: int = MINUTES) -> DataFrame:
     """``(second, EventID, n)``: event IDs around every second in which a chosen anomaly lies.
 

@@ -116,16 +116,33 @@ def timeline_counts(spark, sf_dir) -> DataFrame:
     return with_context(spark, sf_dir).select("record_id", "events_before", "events_after")
 
 
-CHOSEN = "chosen AS (SELECT * FROM verdicts WHERE Anomaly = 1 ORDER BY AnomalyScoreNormalized DESC, record_id LIMIT 100)"
+@query(
+    "J6_event_timeline",
+    using("verdicts", """
+      , timed AS (SELECT record_id, EventID, EpochSeconds AS t, Anomaly = 1 AS hit, row_number() OVER (ORDER BY EpochSeconds, record_id) - 1 AS place FROM verdicts WHERE EpochSeconds IS NOT NULL)
+      , marks AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) <= 1201 THEN 0 ELSE 1 END AS head FROM (SELECT DISTINCT t FROM timed WHERE hit))
+      , runs AS (SELECT min(t) - 600 AS run_start, max(t) + 600 AS run_stop FROM (SELECT t, sum(head) OVER (ORDER BY t) AS run FROM marks) GROUP BY run)
+      , ranges AS (SELECT record_id, min(place) OVER w AS first_place, max(place) OVER w AS last_place FROM timed WINDOW w AS (ORDER BY t RANGE BETWEEN 600 PRECEDING AND 600 FOLLOWING))
+      SELECT run_start, run_stop, place, record_id, EventID, t - run_start AS SecondsFromStart, hit AS IsAnomalous,
+        CASE WHEN hit THEN first_place END AS first_place, CASE WHEN hit THEN last_place END AS last_place
+      FROM timed JOIN runs ON t BETWEEN run_start AND run_stop JOIN ranges USING (record_id)"""),
+)
+def event_timeline(spark, sf_dir) -> DataFrame:
+    """The events around all anomalies, each once per run of windows."""
+    log = scored_log(spark, sf_dir)
+    df = timeline.event_runs(log.select("record_id", "EventID", "EpochSeconds"), reports.anomalies_of(log))
+    return df.select("run_start", "run_stop", "place", "record_id", "EventID", (F.col("EpochSeconds") - F.col("run_start")).alias("SecondsFromStart"), "IsAnomalous", "first_place", "last_place")
 
 
 @query(
-    "J6_event_timeline",
-    using("verdicts", f"""
-      , {CHOSEN} SELECT c.record_id AS anomaly_id, v.record_id, v.EventID, v.EpochSeconds - c.EpochSeconds AS SecondsFromAnomaly, v.record_id = c.record_id AS IsAnomalous
+    "J6_chosen_timeline",
+    using("verdicts", """
+      , chosen AS (SELECT * FROM verdicts WHERE Anomaly = 1 ORDER BY AnomalyScoreNormalized DESC, record_id LIMIT 100)
+      SELECT c.record_id AS anomaly_id, v.record_id, v.EventID, v.EpochSeconds - c.EpochSeconds AS SecondsFromAnomaly, v.record_id = c.record_id AS IsAnomalous
       FROM chosen c JOIN verdicts v ON v.EpochSeconds BETWEEN c.EpochSeconds - 600 AND c.EpochSeconds + 600"""),
 )
-def event_timeline(spark, sf_dir) -> DataFrame:
+def chosen_timeline(spark, sf_dir) -> DataFrame:
+    """Events in pairs with the anomalies of a top-100 report."""
     log = scored_log(spark, sf_dir)
     df = timeline.event_timeline(log.select("record_id", "EventID", "EpochSeconds"), reports.top_anomalies(log, 100))
     return df.select("anomaly_id", "record_id", "EventID", "SecondsFromAnomaly", "IsAnomalous")

@@ -6,11 +6,15 @@ candidates become postings per dimension (row and weight of each non-zero compon
 a query, read as a sparse row, adds its weighted postings into one dense array of scores.
 Partition selection keeps its k best, and the best of all groups are merged.
 
-Components are turned into floor(scale * x), held within +-2^24, so that all sums are exact
-in 64 bits. Defined results: rows without id, without vector, or with a null or non-finite
-component take no part. Vectors may differ in length, missing components count as 0.
-A query does not find rows of its own id; repeated candidates are found repeatedly, a
-repeated query counts once if its vectors are equal too. An empty table gives no rows.
+Components are turned into floor(scale * x). Sums are exact at any size: a query and a set of
+candidates whose sums could leave 64 bits are added up in unbounded integers, all others in 64 bits.
+A score beyond 64 bits is shown as the largest or smallest one and ranked by its true value.
+
+Defined results: rows without id, without vector, or with a component that is null or not finite
+(also after scaling) take no part. Vectors may differ in length, missing components count as 0.
+A query does not find rows of its own id; repeated candidates are found repeatedly. Rows of one
+query id are one query each: equal ones count once, and what unlike ones find is ranked
+together under that id, ``k`` in all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,30 +25,69 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigilog.llm.batches import column
 
-BOUND = 1 << 24
+# Candidates with larger components are kept apart, so that they don't slow down the others.
+SMALL = 1 << 24
+WHOLE = float(1 << 52)  # doubles from here on are integers
+LARGEST = 2**63 - 1
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16_384
 
 
 def quantised(rows: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """``id`` and integer ``vector`` of the rows that take part."""
-    vector = column(rows, vector_column).cast("array<double>")
+    """``id`` and ``vector``, integers as doubles, of the rows that take part."""
+    vector = F.transform(column(rows, vector_column).cast("array<double>"), lambda x: F.lit(float(scale)) * x)
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    number = lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * F.greatest(F.least(x, F.lit(1e9)), F.lit(-1e9))), F.lit(BOUND)), F.lit(-BOUND)).cast("int")
+    number = lambda x: F.when(F.abs(x) < F.lit(WHOLE), F.floor(x).cast("double")).otherwise(x)
     return rows.filter(column(rows, id_column).isNotNull() & vector.isNotNull() & usable).select(column(rows, id_column).cast("long").alias("id"), F.transform(vector, number).alias("vector"))
 
 
-def _postings(vectors: pa.ChunkedArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def integers(values: np.ndarray, wide: bool) -> np.ndarray:
+    """Doubles without fractions as 64-bit or, if ``wide``, as unbounded integers."""
+    return np.array([int(v) for v in values.tolist()], object) if wide else values.astype(np.int64)
+
+
+class Postings:
     """For each dimension the rows and weights of its non-zero components."""
-    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    lengths = np.diff(flat.offsets.to_numpy())
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    terms = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    used = np.flatnonzero(values)
-    order = used[np.argsort(terms[used], kind="stable")]
-    cuts = np.searchsorted(terms[order], np.arange(int(lengths.max(initial=0)) + 1))
-    return [rows[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], [values[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, lengths: np.ndarray):
+        self.ids, self.most = ids, float(np.abs(values).max(initial=0.0))
+        rows = np.repeat(np.arange(len(lengths)), lengths)
+        terms = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        used = np.flatnonzero(values)
+        order = used[np.argsort(terms[used], kind="stable")]
+        cuts = np.searchsorted(terms[order], np.arange(int(lengths.max(initial=0)) + 1)).tolist()
+        self.rows = [rows[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.values = [values[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.weights: dict[bool, list[np.ndarray]] = {}
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        """Inner products of all rows with a query."""
+        wide = float(np.abs(query).sum()) * self.most >= 2.0**62
+        if wide not in self.weights:
+            self.weights[wide] = [integers(v, wide) for v in self.values]
+        weights = self.weights[wide]
+        scores = np.zeros(len(self.ids), object if wide else np.int64)
+        for term, weight in enumerate(integers(query[: len(self.rows)], wide)):
+            if weight:
+                scores[self.rows[term]] += weight * weights[term]
+        return scores
+
+
+def _postings(candidates: pa.Table) -> list[Postings]:
+    vectors = candidates.column("vector").combine_chunks()
+    ids, values, lengths = candidates.column("id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False), np.diff(vectors.offsets.to_numpy())
+    large = np.zeros(len(ids), bool)
+    large[np.repeat(np.arange(len(ids)), lengths)[np.abs(values) > SMALL]] = True
+    return [Postings(ids[own], values[np.repeat(own, lengths)], lengths[own]) for own in (~large, large) if own.any()]
+
+
+def order_key(score: int) -> bytes | None:
+    """Bytes that sort as the scores do, for those that 64 bits don't tell apart."""
+    if abs(score) < LARGEST:
+        return None
+    size = (abs(score).bit_length() + 7) // 8
+    own = size.to_bytes(4) + abs(score).to_bytes(size)
+    return b"\1" + own if score > 0 else b"\0" + bytes(255 - b for b in own)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -59,23 +102,21 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def _search(k: int):
     def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
+        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": [], "key": []}
         if queries.num_rows and candidates.num_rows:
-            ids = candidates.column("id").to_numpy()
-            rows, weights = _postings(candidates.column("vector"))
-            scores = np.zeros(len(ids), np.int64)
+            parts = _postings(candidates)
             for own, vector in zip(queries.column("id").to_pylist(), queries.column("vector"), strict=True):
-                scores[:] = 0
-                for term, weight in enumerate(vector.as_py()[: len(rows)]):
-                    if weight:
-                        scores[rows[term]] += weight * weights[term]
-                others = np.flatnonzero(ids != own)
-                top = others[best(scores[others], ids[others], k)]
-                found[0].append(np.full(len(top), own, np.int64))
-                found[1].append(ids[top])
-                found[2].append(scores[top])
-        arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found]
-        return pa.Table.from_arrays(arrays, ["query_id", "vec_id", "score"])
+                query = np.array(vector.as_py(), np.float64)
+                for part in parts:
+                    others = np.flatnonzero(part.ids != own)
+                    scores, ids = part.scores(query)[others], part.ids[others]
+                    top = best(scores, ids, k)
+                    exact = scores[top].tolist()
+                    found["query_id"] += [own] * len(top)
+                    found["vec_id"] += ids[top].tolist()
+                    found["score"] += [max(min(s, LARGEST), -LARGEST - 1) for s in exact]
+                    found["key"] += [order_key(s) for s in exact]
+        return pa.table({n: pa.array(v, pa.binary() if n == "key" else pa.int64()) for n, v in found.items()})
 
     return search
 
@@ -88,6 +129,6 @@ def top_k(rows: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_col
     query_blocks, candidate_blocks = max(1, -(-counts[1] // QUERY_BLOCK)), max(1, -(-counts[0] // CANDIDATE_BLOCK))
     left = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(query_blocks))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(candidate_blocks - 1).cast("long"))))
     right = all_rows.withColumn("c", F.pmod(F.xxhash64("id", "vector"), F.lit(candidate_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_search(k), "query_id long, vec_id long, score long, key binary")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("key"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

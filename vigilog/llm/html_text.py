@@ -2,14 +2,21 @@
 
 Each page is read into a tree of block elements (inline tags only count as tags, missing
 end tags are closed as browsers do). Scripts, menus, hidden parts and the like are no part of
-the tree; forms and blocks named as notices, adverts, comments and so on neither, unless they
+the tree; forms and blocks whose class, id or role says that they are notices, adverts, comments
+and so on (every word of a name, not just one of them) neither, unless they
 hold the article element or (where none is marked) most of the text, as wrappers of a page
 do. For every node the density is characters per tag,
 adjusted by how much of it is link text; a node's sum is that of its children's densities.
 The node with the largest sum is the article, or the ``article`` or ``main`` element that
-it lies in. Next to the path from it to the body, a subtree belongs to the article too if
-its density reaches the least density on that path; so do the path's own runs of text that
-are not mostly links, unless the article is marked by such an element.
+it lies in. Next to the path from it to the body, a subtree that is not mostly links belongs to
+the article too if its density reaches the least density on that path, if it is mostly a heading, or
+if it stands beside the best node as a part of the same kind or of running text; so do the path's
+own runs of text that are not mostly links, unless the article is marked by such an element.
+
+Pages are read once from front to back in linear time. Quotes count after an equals sign only. A tag
+that the page never closes ends at the next ``>``, and so do all tags after it; without one, the
+rest of the page is that tag. ``br`` and ``hr`` end a block, as they end a line; left-out controls in
+a line of text, such as buttons, do not.
 
 Defined results: null, empty and tag-only pages have an empty text. Text is never cut.
 Repeated rows have equal texts; a table without rows gives none; other columns are ignored.
@@ -27,20 +34,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilog.llm.batches import bounded_batches, column
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)/?>|<[!?][^>]*>""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# The rest of a tag, without ever going back.
+REST = re.compile(r"""((?>[^=>]+|=\s*+(?:"[^"]*"|'[^']*')|=)*+)>""")
 NAMED = re.compile(r"""(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<![\w-])(hidden)(?![\w-])""", re.I)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "svg", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-LEFT_OUT = set("head nav footer aside button select dialog menu fieldset object audio video canvas map datalist".split())
+LEFT_OUT = set("head nav footer aside button select dialog menu audio video canvas map datalist".split())
+CONTROLS = set("button select audio video canvas map datalist".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+RUNNING = HEADINGS | set("p section blockquote ul ol dl pre table figure".split())
 NOISE = set(
     """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
     notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations
     sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist reply replies
     respond disqus widget search complementary contentinfo dialog""".split()
 )
+# Words that say nothing about a block beside one of the above.
+PLAIN = set(
+    """list box wrap wrapper container block area section item items bar button buttons link links slot unit form inner outer top bottom left right
+    title text body content post posts page site global main primary secondary icon icons media message panel region row col column group""".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 PARTS = re.compile(r"[A-Za-z]+")
@@ -53,18 +70,27 @@ class Run(str):
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubt")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "total", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, doubt: bool = False):
         self.tag, self.parent, self.children, self.doubt = tag, parent, [], doubt
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = 0
         self.density = self.total = 0.0
 
 
+def _names_noise(value: str, words_of_noise: set[str]) -> bool:
+    """Whether one of the names in a class, id or role is of such words and plain ones alone."""
+    for name in value.split():
+        words = set(PARTS.findall(name))
+        if words & words_of_noise and words <= words_of_noise | PLAIN:
+            return True
+    return False
+
+
 def _noise(tag: str, attributes: str, in_article: bool) -> str:
     """``out`` for what is no part of the page's text, ``doubt`` for blocks that are left out unless
     they hold the article."""
-    if tag in LEFT_OUT or (tag == "header" and not in_article):
+    if tag in LEFT_OUT or (tag in ("header", "noscript") and not in_article):
         return "out"
     doubt = "doubt" if tag == "form" else ""
     if not attributes or tag in {"html", "body", "main"}:
@@ -80,8 +106,7 @@ def _noise(tag: str, attributes: str, in_article: bool) -> str:
             if value == "true":
                 return "out"
         elif tag not in INLINE:
-            words = set(PARTS.findall(value))
-            if words & ({"comment", "comments", "reply"} if tag == "article" else NOISE) or ("header" in words and not in_article):
+            if _names_noise(value, {"comment", "comments", "reply"} if tag == "article" else NOISE) or (not in_article and _names_noise(value, {"header"})):
                 doubt = "doubt"
     return doubt
 
@@ -151,24 +176,40 @@ def tree(page: str) -> Node:
             seek = seek.parent
         return None if seek is root else seek
 
+    quoted = True  # until a tag is met that the page does not close
     while at < end:
-        found = MARKUP.search(page, at)
-        piece = page[at : found.start()] if found else page[at:]
+        begin = page.find("<", at)
+        piece = page[at:begin] if begin >= 0 else page[at:]
+        found = TAG.match(page, begin) if begin >= 0 else None
+        if begin >= 0 and not found and not page.startswith(("<!", "<?"), begin):
+            piece += "<"
         if piece and not skip:
             text.append(piece)
             if links:
                 link_pieces.append(piece)
-        if not found:
+        if begin < 0:
             break
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+        if not found:
+            if page.startswith("<!--", begin):
+                stop = page.find("-->", begin + 2)
+                at = stop + 3 if stop >= 0 else end
+            elif page.startswith(("<!", "<?"), begin):
+                at = page.find(">", begin) + 1 or end
+            else:
+                at = begin + 1
             continue
-        tag = tag.lower()
+        rest = REST.match(page, found.end()) if quoted else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            quoted = False
+            stop = page.find(">", found.end())
+            attributes, at = page[found.end() : stop] if stop >= 0 else "", stop + 1 or end
+        tag = found[2].lower()
         closing = bool(found[1])
         if not closing and tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else end
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            at = (page.find(">", stop.end()) + 1 or end) if stop else end
             continue
         if skip:
             if closing:
@@ -182,10 +223,14 @@ def tree(page: str) -> Node:
                     skip.pop()
                 skip.append(tag)
             continue
+        if tag in CONTROLS:
+            if not closing:
+                skip = [tag]
+            continue
         if tag in INLINE:
             if closing:
                 links -= tag == "a" and links > 0
-            elif _noise(tag, found[3], article > 0):
+            elif _noise(tag, attributes, article > 0):
                 skip = [tag]
             else:
                 node.tags += 1
@@ -212,7 +257,7 @@ def tree(page: str) -> Node:
             close(seek.parent)
         if tag in CLOSES and (seek := open_(CLOSES[tag], SCOPE[tag])):
             close(seek.parent)
-        doubt = _noise(tag, found[3], article > 0)
+        doubt = _noise(tag, attributes, article > 0)
         if doubt == "out":
             skip = [tag]
             continue
@@ -232,8 +277,13 @@ def _measure(root: Node) -> list[Node]:
     nodes = [root]
     for node in nodes:
         nodes += [c for c in node.children if isinstance(c, Node)]
-    for node in reversed(nodes[1:]):
+    for node in reversed(nodes):
+        if node.tag in HEADINGS:
+            node.head_chars = node.chars
+        if node is root:
+            break
         up = node.parent
+        up.head_chars += node.head_chars
         up.chars += node.chars
         up.tags += node.tags + 1
         up.link_chars += node.link_chars
@@ -272,7 +322,7 @@ def main_text(page: str | None) -> str:
         if node.tag in ("article", "main"):
             path = path[place:]
             break
-    whole = path[0]
+    whole, beside = path[0], path[0].parent
     loose = whole.tag not in ("article", "main")
     edge = min(n.density for n in path)
     inside = {id(n) for n in path[1:]}
@@ -289,7 +339,7 @@ def main_text(page: str | None) -> str:
             _blocks(child, out)
         elif id(child) in inside:
             stack.append(iter(child.children))
-        elif child.density >= edge and child.link_chars * 2 <= child.chars:
+        elif child.link_chars * 2 <= child.chars and (child.density >= edge or child.head_chars * 2 > child.chars or (child.parent is beside and (child.tag == best.tag or child.tag in RUNNING))):
             _blocks(child, out)
     return "\n".join(out)
 

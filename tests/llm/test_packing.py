@@ -20,6 +20,15 @@ def expected(doc_id, text, most=4096):
     return [(doc_id, k, at, len(ids[at : at + most]), zlib.crc32(ids[at : at + most].tobytes())) for k, at in enumerate(range(0, len(ids), most))]
 
 
+IDS = WordIds(PATH)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet="ab1.,;:!?é×÷Ö…»( '\n\u0301İẞ", max_size=30), max_size=6))
+def test_marks_after_anything(texts):
+    assert IDS([t.encode() for t in texts]) == [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab'sté́ \t\n \x1c Ö<|>1_-日", max_size=40), max_size=4))
 def test_ids_of_words_are_ids_of_the_text(texts):

@@ -27,6 +27,8 @@ SLAB_BYTES = 8 << 20
 CLOSING = b".,;:!?"
 #: A letter before a closing mark; a blank between them changes no id.
 LETTER_BEFORE_MARK = re.compile(rb"([a-z])(?=[.,;:!?])")
+#: A mark after anything but a letter (ASCII, or the Latin ones of two bytes), a digit or white space.
+ODD_MARK = re.compile(rb"[.,;:!?](?<![a-z0-9\x09-\x0D\x20].)(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -74,35 +76,51 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not remembered."""
-        out, parts, other = {}, {}, set()
+        plain, parts, other = {}, {}, set()
         for w in words:
             if w.isalpha() and w.islower():  # of bytes: ASCII letters
-                out[w] = self._letters(w)
+                plain[w] = w
                 continue
             stem = w.rstrip(CLOSING)
             text = stem.decode("utf-8", "replace")
             if not text.isalpha() or max(text) >= "\u0100":  # more than Latin letters and marks after them
                 parts[w] = b"", w
             else:
-                parts[w] = self._letters(text.lower().encode()), w[len(stem) :]
+                plain[stem] = text.lower().encode()
+                parts[w] = stem, w[len(stem) :]
             other.add(parts[w][1])
+        letters = self._letters
+        out = {w: letters(lower) for w, lower in plain.items()}
+        out[b""] = b""
         other.discard(b"")
         rests = list(other)
         after = {b"": b""} | dict(zip(rests, self._encoded(rests), strict=True))
-        out.update((w, ids + after[rest]) for w, (ids, rest) in parts.items())
+        out.update([(w, out[stem] + after[rest]) for w, (stem, rest) in parts.items()])
+        del out[b""]
         for w, ids in out.items():
             if len(w) <= LONG_WORD:
                 self.words.put(w, ids)
         return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # The name of a special token would become one by lower-casing.
-        lists = [(t if b"<|" in t else LETTER_BEFORE_MARK.sub(rb"\1 ", t.lower())).split() for t in texts]
+        lists = [self._parted(t) for t in texts]
         unique = set().union(*lists)  # bytes are split at ASCII white space only
         new, old = self.words.new.get, self.words.old.get
         known = {w: new(w) or old(w) for w in unique}
         known.update(self._learn([w for w, ids in known.items() if ids is None]))
-        return [b"".join([known[w] for w in words]) for words in lists]
+        ids_of = known.__getitem__
+        return [b"".join(map(ids_of, words)) for words in lists]
+
+    @staticmethod
+    def _parted(text: bytes) -> list[bytes]:
+        if b"<|" in text:  # the name of a special token would become one by lower-casing
+            return text.split()
+        lower = text.lower()
+        if ODD_MARK.search(lower):
+            return LETTER_BEFORE_MARK.sub(rb"\1 ", lower).split()
+        for mark in (b".", b",", b";", b":", b"!", b"?"):
+            lower = lower.replace(mark, b" " + mark)
+        return lower.split()
 
 
 _own: dict[str, WordIds] = {}

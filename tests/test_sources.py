@@ -1,6 +1,8 @@
 """Readers and sinks on small files of every format."""
 
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation, functions as F
@@ -163,3 +165,125 @@ def test_result_table_round_trip(spark, tmp_path):
     rows = results.read_results(spark, path, "one").collect()
     assert [r["event_record_id"] for r in rows] == [3, 1]
     assert results.read_results(spark, path, "two", anomalies_only=True).count() == 1
+
+
+@pytest.fixture
+def small_splits(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    before, cost = spark.conf.get(name), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(name, "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.set(name, before)
+    spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+HARD = ['plain', 'a } b { c', 'quote " and ] [', "back \\", 'both \\" }', "é\n\t end", "", "x" * 900, "{}" * 200]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_arrays_are_split_like_lines(spark, tmp_path, small_splits, indent):
+    events = [{"id": i, "text": HARD[i % len(HARD)], "data": {"k": [i, {"d": HARD[(i + 3) % len(HARD)]}], "n": None}} for i in range(120)]
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(events, indent=indent, ensure_ascii=False), encoding="utf-8")
+    assert spark.read.text(str(path), lineSep="}").rdd.getNumPartitions() > 20
+    found = readers.read_any_json(spark, [str(path)])
+    assert sorted((r["id"], r["text"], r["data"]["k"][0] if isinstance(r["data"]["k"][0], int) else int(r["data"]["k"][0])) for r in found.collect()) == [(e["id"], e["text"], e["id"]) for e in events]
+
+
+def test_json_layouts_and_broken_elements(spark, tmp_path, small_splits):
+    files = {
+        "one.json": json.dumps({"id": 1, "text": HARD[4], "more": {"a": 1}}, indent=1),
+        "lines.json": "\n".join(json.dumps({"id": 10 + i, "text": HARD[i]}) for i in range(9)),
+        "array.json": '\ufeff [ {"id": 20, "text": "x"} , {"id": 21, "text": }, 5, "word", {"id": 22, "text": "y"}\n]\n',
+        "cut.json": '[{"id": 30, "text": "whole"}, {"id": 31',
+        "empty.json": "",
+        "none.json": " [ ] ",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content, encoding="utf-8")
+    raw = readers.read_any_json(spark, [str(tmp_path / n) for n in files]).cache()
+    assert sorted(r["id"] for r in raw.filter("_corrupt_record is null").collect()) == [1, *range(10, 19), 20, 22, 30]
+    assert raw.filter("_corrupt_record is not null").count() == 3
+
+
+def test_csv_values_with_line_breaks_are_split_like_lines(spark, tmp_path, small_splits):
+    rng = random.Random(3)
+    words = ["plain", "two\nlines", 'a "quoted" word', "x,y", "", "cr\r\nlf", 'tail"', "é " * 30, "\n\n"]
+    rows = [[str(i), *(rng.choice(words) for _ in range(2))] for i in range(150)]
+    path = tmp_path / "a.csv"
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        csv.writer(file, lineterminator="\n").writerows([["id", "a", "b"], *rows])
+    assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+    found = readers.read_csv(spark, [str(path)])
+    assert found.columns == ["id", "a", "b", "_corrupt_record", "source_file"]
+    assert sorted(([r["id"], r["a"] or "", r["b"] or ""] for r in found.collect()), key=lambda r: int(r[0])) == rows
+    assert found.filter("_corrupt_record is not null").count() == 0
+
+
+def test_broken_csv_records_are_counted_and_short_ones_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,a\n1,x\n2\n3,y,z\n4,it is 5\" wide\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('id,a\n5,"line\nbreak"\n6,p,q\n7\n8,"never\nclosed\n9,x\n', encoding="utf-8")
+    raw = readers.read_csv(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv")])
+    assert readers.ingest_quality(raw).first().asDict() == {"good": 5, "broken": 3}
+    good = {r["id"]: r["a"] for r in readers.without_broken(raw).collect()}
+    assert good == {"1": "x", "2": None, "4": 'it is 5" wide', "5": "line\nbreak", "7": None}
+    assert {r[0] for r in raw.filter("_corrupt_record is not null").select("_corrupt_record").collect()} == {"3,y,z", "6,p,q", '8,"never\nclosed\n9,x'}
+    only = tmp_path / "c.csv"
+    only.write_text("id,a\n1,2,3\n4,5,6\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        readers.read_raw(spark, [str(only)], "csv")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_states_of_pieces_compose(seed):
+    """Any cut of a text into pieces leaves the states that the whole text has."""
+    from vigilog.sources.records import csv_piece
+
+    rng = random.Random(seed)
+    for _ in range(200):
+        line = "".join(rng.choice('",ab') for _ in range(rng.randrange(0, 12)))
+        for start in (0, 1):
+            state, at_value = start, True
+            i = 0
+            while i < len(line):
+                if state and line[i] == '"':
+                    if line[i + 1 : i + 2] == '"':
+                        i += 1
+                    else:
+                        state = 0
+                elif not state and line[i] == '"' and at_value:
+                    state = 1
+                at_value = not state and line[i] == ","
+                i += 1
+            assert csv_piece(line)[start][0] == state, (line, start)
+
+
+def test_batches_that_are_tried_again_count_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    df = spark.createDataFrame([(1, 1, 0.9), (2, 1, 0.8), (3, 0, 0.1)], "EventID long, Anomaly int, AnomalyScoreNormalized double")
+    assert results.read_results(spark, path, "s").count() == 0
+
+    class Lost(Exception):
+        pass
+
+    def fails(*args, **kwargs):
+        raise Lost
+
+    with monkeypatch.context() as broken:
+        broken.setattr(F, "current_timestamp", fails)  # after the rows are written, before the manifest is
+        with pytest.raises(Lost):
+            results.append_results(df, path, "s", "first")
+    assert results.read_results(spark, path, "s").count() == 0
+    assert results.append_results(df, path, "s", "first") == "first"
+    results.append_results(df, path, "s", "first")
+    assert results.read_results(spark, path, "s").count() == 2
+    results.append_results(df, path, "s")
+    results.append_results(df, path, "t", "first")
+    assert results.read_results(spark, path, "s").count() == 4 and results.all_results(spark, path).count() == 6
+    samples = str(tmp_path / "samples")
+    for _ in range(2):
+        results.append_samples(df, samples, "d", "text", batch="one")
+    assert results.load_samples(spark, samples, "d").count() == 3
+    with pytest.raises(ValueError):
+        results.load_samples(spark, samples, "other")

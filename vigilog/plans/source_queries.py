@@ -11,7 +11,7 @@ from vigilog.operators import knowledge, verdicts
 from vigilog.plans.oracle import using
 from vigilog.plans.registry import query
 from vigilog.plans.scored import scored_log
-from vigilog.session import shared_folder
+from vigilog.session import shared_folder, stored
 from vigilog.sources import readers, results
 from vigilog.sources.shared_tables import read_table, security_log
 
@@ -157,6 +157,43 @@ def broken_records(spark, sf_dir) -> DataFrame:
     return readers.ingest_quality(raw)
 
 
+@query(
+    "S6_broken_csv_records",
+    "SELECT count(*) FILTER (event_id % 10 <> 0) AS good, count(*) FILTER (event_id % 10 = 0) AS broken, count(*) FILTER (event_id % 10 <> 0 AND event_id % 3 = 0) AS with_breaks FROM events",
+)
+def broken_csv_records(spark, sf_dir) -> DataFrame:
+    """Values with quoted line breaks, and records with a value too many, in files of several splits."""
+    path = scratch(spark, "broken")
+    number = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 3 == 0, F.lit('"first\nsecond, ""quoted"""')).otherwise(F.lit("plain"))
+    line = F.concat(number, F.lit(","), value, F.when(F.col("event_id") % 10 == 0, F.lit(",more")).otherwise(F.lit("")))
+    body = read_table(spark, sf_dir, "events").select(line.alias("value"), F.lit(1).alias("place"))
+    head = spark.createDataFrame([("id,note", 0)], "value string, place int")
+    body.unionByName(head).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)  # one file with a header
+    raw = stored(readers.read_csv(spark, [path]))
+    breaks = raw.filter("_corrupt_record IS NULL").agg(F.count_if(F.col("note") == 'first\nsecond, "quoted"').alias("with_breaks"))
+    return readers.ingest_quality(raw).crossJoin(breaks)
+
+
+@query("S3_array_splits", "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids, true AS several_tasks FROM events")
+def array_splits(spark, sf_dir) -> DataFrame:
+    """One array in one file, with braces and quotes in its strings, read by several tasks."""
+    path = scratch(spark, "array")
+    event = F.to_json(F.struct("event_id", F.lit('a } \\" ] { "b\\').alias("note")))
+    body = read_table(spark, sf_dir, "events").select(F.concat(event, F.lit(",")).alias("value"), F.lit(1).alias("place"))
+    ends = spark.createDataFrame([("[", 0), ('{"event_id": 0}]', 2)], "value string, place int")
+    body.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8k")
+    try:
+        tasks = spark.read.text(path, lineSep="}").rdd.getNumPartitions()
+        raw = stored(readers.read_any_json(spark, [path]))
+    finally:
+        spark.conf.set(name, before)
+    return raw.agg((F.count(F.lit(1)) - 1).alias("n"), F.sum("event_id").alias("ids"), F.lit(tasks > 1).alias("several_tasks"))
+
+
 @query(
     "S7_file_concatenation",
     using("seclog", """
@@ -233,6 +270,20 @@ def stored_results(spark, sf_dir) -> str:
     return path
 
 
+@query("S10_repeated_append", using("verdicts", f"SELECT session_id, count(*) AS n FROM ({RESULT_SQL}), (VALUES ('a'), ('b')) v(session_id) GROUP BY session_id"))
+def repeated_append(spark, sf_dir) -> DataFrame:
+    """Batches that are written twice, and a try without an entry in the manifest, count once and never."""
+    path = scratch(spark, "sessions")
+    log = scored_log(spark, sf_dir)
+    for session in ("a", "b"):
+        parts = [log.filter("record_id % 2 = 0"), log.filter("record_id % 2 = 1")]
+        for part, name in zip(parts, ("even", "odd"), strict=True):
+            results.append_results(part, path, session, name)
+        results.append_results(parts[0], path, session, "even")
+    log.limit(5).select("record_id").write.parquet(f"{path}/batches/failed")
+    return results.all_results(spark, path).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "S10_append_session_results",
     using("verdicts", f"""
@@ -240,7 +291,7 @@ def stored_results(spark, sf_dir) -> str:
       UNION ALL SELECT 'second', count(*) FROM ({RESULT_SQL}) WHERE event_id = 4625"""),
 )
 def append_session_results(spark, sf_dir) -> DataFrame:
-    stored = spark.read.parquet(stored_results(spark, sf_dir))
+    stored = results.all_results(spark, stored_results(spark, sf_dir))
     return stored.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 

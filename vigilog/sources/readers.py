@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from urllib.parse import unquote
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, fu
 from vigilog.functions import text
 from vigilog.operators.joins import BROADCAST_ROWS
 from vigilog.operators.normalize import normalize
+from vigilog.session import shared_folder
+from vigilog.sources.records import csv_piece, json_lines, records
 
 FORMATS = {".csv": "csv", ".json": "json", ".log": "text", ".txt": "text", ".xml": "xml"}
 BROKEN = "_corrupt_record"
@@ -48,32 +51,101 @@ def united(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = False) -> DataFrame:
-    """Header files, every column a string, and ``source_file``. Files of different headers
-    are read apart and have the columns of all of them. ``multi_line`` allows line breaks
-    in quoted values, at the price of one task per file."""
-    groups = list(first_lines(spark, paths).values())
-    options = {"header": True, "inferSchema": False, "escape": '"', "multiLine": multi_line, "enforceSchema": False}
-    frames = [spark.read.csv(files, **options) for files in ([paths] if len(groups) < 2 else groups)]
-    return united([f.withColumn("source_file", F.col("_metadata.file_path")) for f in frames])
+def _csv_heads(spark: SparkSession, paths: list[str]) -> dict[tuple[str, bool], list[str]]:
+    """The files by their first line that is not blank, and whether a quoted value may hold a line break (a line has an odd number of quotes)."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+    own = (F.col("block") == 0) & (F.trim("value") != "")
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    heads = lines.groupBy("file").agg(F.min_by(F.when(own, F.col("value")), F.when(own, F.col("place"))).alias("head"), F.bool_or(odd).alias("odd"))
+    found: dict[tuple[str, bool], list[str]] = {}
+    for row in heads.filter("head is not null").orderBy("file").collect():  # a row per file
+        found.setdefault((row["head"], row["odd"]), []).append(unquote(row["file"]))
+    return found
+
+
+CSV_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _csv_schema(names: list[str], *more: str) -> str:
+    return ", ".join(f"{_quoted(n)} string" for n in [*names, *more])
+
+
+def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Header files, every column a string, ``source_file`` and ``_corrupt_record``. Files of
+    different headers are read apart and have the columns of all of them.
+
+    Quoted values may hold line breaks; such files are put together from lines (``records``) and split
+    like others. A record with fewer values than the header has nulls; one with more values, or with
+    a quote that is never closed, is broken.
+    """
+    frames = []
+    for (_, odd), files in _csv_heads(spark, paths).items():
+        names = spark.read.csv(files, header=True, escape='"').columns
+        schema = _csv_schema(names, BROKEN)
+        kept = [n for n in names if n.lower() not in (BROKEN, "source_file")]
+        if odd:
+            rows = records(spark, files, "\n", csv_piece).filter(~F.col("head") & (F.trim(F.translate("text", "\r\n", "")) != ""))
+            text = F.regexp_replace("text", r"\r?\n\z", "")
+            parsed = F.from_csv(text, F.lit(schema), CSV_OPTIONS)
+            rows = rows.select(parsed.alias("r"), F.col("file").alias("source_file"), text.alias("_text"))
+            rows = rows.select(*[F.col("r")[n].alias(n) for n in [*kept, BROKEN]], "source_file", "_text")
+            unclosed = (F.length(F.regexp_replace("_text", '[^"]', "")) % 2 == 1) & F.col("_text").contains("\n")
+            raw = F.when(F.col(BROKEN).isNotNull() | unclosed, F.col("_text"))
+        else:
+            reader = spark.read.schema(schema).option("columnPruning", False).option("enforceSchema", True)
+            rows = reader.csv(files, header=True, **CSV_OPTIONS).withColumn("source_file", F.col("_metadata.file_path"))
+            unclosed, raw = F.lit(False), F.col(BROKEN)
+        # Only records of another number of values are read again, with room for one value more.
+        room = F.from_csv(raw, F.lit(_csv_schema([f"c{i}" for i in range(len(names) + 1)])), {"escape": '"'})
+        more = raw.isNotNull() & room[f"c{len(names)}"].isNotNull()
+        frames.append(rows.withColumn(BROKEN, F.when(unclosed | more, raw)).select(*[F.col(_quoted(n)) for n in kept], BROKEN, "source_file"))
+    return united(frames) if frames else spark.read.csv(paths, header=True).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_json(spark: SparkSession, paths: list[str], lines: bool = False, schema=None) -> DataFrame:
-    """Files with an array of events or a single event; ``lines`` reads one event per
-    line, which Spark can split."""
-    reader = spark.read.option("multiLine", not lines).option("columnNameOfCorruptRecord", BROKEN)
+    """Files with an array of events or a single event, which all tasks read at once; ``lines``
+    reads one event per line. A broken element of an array is one broken record."""
+    reader = spark.read.option("columnNameOfCorruptRecord", BROKEN)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.json(paths)
+    if lines:
+        return reader.json(paths)
+    parts = [json_lines(spark, files, base) for base, files in _first_signs(spark, paths).items() if files]
+    if not parts:
+        return reader.json(paths)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    reduce(lambda a, b: a.unionAll(b), parts).write.text(folder)
+    return reader.json(folder)
+
+
+def _first_signs(spark: SparkSession, paths: list[str]) -> dict[int, list[str]]:
+    """The files that begin with a bracket (1), and the others that are not empty (0)."""
+    pieces = spark.read.text(paths, lineSep="}").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+    )
+    sign = F.regexp_extract("value", r"^[\s\ufeff]*(\S)", 1)
+    heads = pieces.filter("block = 0").groupBy("file").agg(F.min_by(sign, "place").alias("sign"))
+    found: dict[int, list[str]] = {1: [], 0: []}
+    for row in heads.filter("sign <> ''").orderBy("file").collect():  # a row per file
+        found[int(row["sign"] == "[")].append(unquote(row["file"]))
+    return found
 
 
 def read_any_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files of any of the three layouts. A file whose first line is a whole object holds one
-    event per line and is split; the others are an array or one event over several lines."""
-    heads = first_lines(spark, paths)
+    event per line; the others are an array or one event over several lines. All are split."""
+    signs = _first_signs(spark, paths)
+    heads = first_lines(spark, signs[0]) if signs[0] else {}
     whole = dict(spark.createDataFrame([(h,) for h in heads], "head string").select("head", F.get_json_object("head", "$").isNotNull() & F.startswith(F.trim("head"), F.lit("{"))).collect()) if heads else {}
     groups = {lines: [f for h, files in heads.items() if whole[h] == lines for f in files] for lines in (True, False)}
-    return united([read_json(spark, files, lines) for lines, files in groups.items() if files] or [read_json(spark, paths)])
+    groups[False] += signs[1]
+    return united([read_json(spark, files, lines) for lines, files in groups.items() if files] or [read_json(spark, paths, True)])
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -215,7 +287,7 @@ def format_of(path: str) -> str:
 def read_raw(spark: SparkSession, paths: list[str], fmt: str, counts: Observation | None = None) -> DataFrame:
     readers = {"csv": read_csv, "json": read_any_json, "text": read_text, "xml": read_xml}
     raw = readers[fmt](spark, paths)
-    return raw if fmt == "csv" else without_broken(raw, counts)
+    return without_broken(raw, counts)
 
 
 def read_logs(

@@ -1,8 +1,18 @@
-"""Sinks and tables of results and labelled samples."""
+"""Sinks and tables of results and labelled samples.
+
+Tables that grow are written batch by batch: a batch goes to a folder of its own, and counts once a
+row in the table's manifest names that folder. A try that fails leaves a folder that no reader
+looks at; a batch that is written again under its id is read once, as it was first committed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.errors import AnalysisException
+
+MANIFEST = "batch string, name string, folder string, committed timestamp"
 
 RESULT_COLUMNS = {
     "event_record_id": ("EventRecordID", "long"),
@@ -31,46 +41,87 @@ def write_csv(df: DataFrame, path: str, anomalies_only: bool = False) -> None:
     flat(rows).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def append_results(results: DataFrame, path: str, session_id: str) -> None:
-    """Add the anomalies of one session to the result table."""
+def append_batch(rows: DataFrame, path: str, name: str, batch: str | None = None) -> str:
+    """Write one batch of the part ``name`` of a table; the id to give when it is tried again."""
+    batch, folder = batch or uuid.uuid4().hex, uuid.uuid4().hex
+    rows.write.parquet(f"{path}/batches/{folder}")
+    entry = rows.sparkSession.range(1).select(F.lit(batch).alias("batch"), F.lit(name).alias("name"), F.lit(folder).alias("folder"), F.current_timestamp().alias("committed"))
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    return batch
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """``batch``, ``name``, ``folder``, ``committed`` of every batch, one row each."""
+    try:
+        entries = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+    first = Window.partitionBy("name", "batch").orderBy("committed", "folder")
+    return entries.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+
+
+def read_batches(spark: SparkSession, path: str, name: str | None = None, schema: str | None = None) -> DataFrame | None:
+    """The rows of all committed batches, or of those of one part; other folders are not read."""
+    entries = committed(spark, path)
+    chosen = entries if name is None else entries.filter(F.col("name") == name)
+    folders = [f"{path}/batches/{r['folder']}" for r in chosen.select("folder").orderBy("folder").collect()]  # a row per batch
+    if not folders:
+        return None if schema is None else spark.createDataFrame([], schema)
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
+    return reader.parquet(*folders)
+
+
+RESULT_SCHEMA = "session_id string, " + ", ".join(f"{name} {kind}" for name, (_, kind) in RESULT_COLUMNS.items())
+
+
+def append_results(results: DataFrame, path: str, session_id: str, batch: str | None = None) -> str:
+    """Add the anomalies of one session to the result table, once for each batch id."""
     columns = [
         (F.col(source) if source in results.columns else F.lit(None)).cast(kind).alias(name)
         for name, (source, kind) in RESULT_COLUMNS.items()
     ]
     anomalies = results.filter("Anomaly = 1").select(F.lit(session_id).alias("session_id"), *columns)
-    anomalies.write.mode("append").partitionBy("session_id").parquet(path)
+    return append_batch(anomalies, path, session_id, batch)
+
+
+def all_results(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path, schema=RESULT_SCHEMA)
 
 
 def read_results(spark: SparkSession, path: str, session_id: str, anomalies_only: bool = False) -> DataFrame:
     """Results of one session, highest score first; other sessions are not read. The
     session is text also where it looks like a number."""
-    columns = ", ".join(f"{name} {kind}" for name, (_, kind) in RESULT_COLUMNS.items())
-    rows = spark.read.schema(f"{columns}, session_id string").parquet(path).filter(F.col("session_id") == session_id)
+    rows = read_batches(spark, path, session_id, RESULT_SCHEMA)
+    rows = rows.select(*RESULT_COLUMNS, "session_id")
     if anomalies_only:
         rows = rows.filter("anomaly = 1")
     return rows.orderBy(F.desc("anomaly_score"))
 
 
-def append_samples(samples: DataFrame, path: str, dataset: str, description: str = "") -> None:
-    """Add labelled samples ``(id, label, attack_type, severity, notes, ...)`` to a dataset.
+def append_samples(samples: DataFrame, path: str, dataset: str, description: str = "", batch: str | None = None) -> str:
+    """Add labelled samples ``(id, label, attack_type, severity, notes, ...)`` to a dataset, once for each batch id.
 
     The dataset comes into being with its first samples.
     """
     rows = samples.withColumns(
         {"dataset": F.lit(dataset), "description": F.lit(description), "added_at": F.current_timestamp()}
     )
-    rows.write.mode("append").partitionBy("dataset").parquet(path)
+    return append_batch(rows, path, dataset, batch)
 
 
 def load_samples(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     """All samples of a dataset with the columns that any of its parts has, and no others."""
-    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
-    return spark.read.option("mergeSchema", True).parquet(f"{path}/dataset={escaped}").withColumn("dataset", F.lit(dataset))
+    rows = read_batches(spark, path, dataset)
+    if rows is None:
+        raise ValueError(f"no dataset {dataset}")
+    return rows
 
 
 def list_datasets(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.schema("description string, added_at timestamp, dataset string").parquet(path)
+        read_batches(spark, path, schema="description string, added_at timestamp, dataset string")
         .groupBy("dataset")
         .agg(
             F.max("description").alias("description"),

@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilog.operators import knowledge, labels, reports
-from vigilog.rules import catalog, mitre
+from vigilog.rules import catalog, mitre, patterns, stages
 
 
 def test_catalogue(spark):
     events = {r["event_id"]: r for r in knowledge.event_catalog(spark).collect()}
     assert len(events) == 121
-    assert {s: len(mitre.table(t)) for s, t in catalog.SOURCES.items()} == {"Security": 53, "Sysmon": 29, "System": 15, "SQL": 24}
+    assert {s: len(t) for s, t in catalog.SOURCES.items()} == {"Security": 53, "Sysmon": 29, "System": 15, "SQL": 24}
     assert (events[4624]["source"], events[4624]["name"]) == ("Security", "Successful Logon")
     assert (events[1]["source"], events[1]["name"]) == ("Sysmon", "Process Creation")
     assert (events[7045]["source"], events[7045]["name"]) == ("System", "Service Installed")
@@ -99,3 +99,23 @@ def test_enrichment_of_five_rows(spark):
 @pytest.mark.parametrize("score,band", [(0.81, "Critical"), (0.8, "High"), (0.6, "Medium"), (0.31, "Medium"), (0.3, "Low")])
 def test_score_band(spark, score, band):
     assert spark.range(1).select(reports.score_band(F.lit(score))).first()[0] == band
+
+
+def test_rows_of_the_rule_tables_by_hand():
+    """Values written out here once more, so that a changed entry of a table is seen."""
+    assert [t.name for t in mitre.TACTICS] == [
+        "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion", "Credential Access",
+        "Discovery", "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact",
+    ]
+    total = {t.name: sum(p.points for p in stages.POINTS if p.tactic == t.name) for t in mitre.TACTICS}
+    assert total == {
+        "Initial Access": 14, "Execution": 98, "Persistence": 162, "Privilege Escalation": 85, "Defense Evasion": 52, "Credential Access": 69,
+        "Discovery": 20, "Lateral Movement": 29, "Collection": 11, "Command and Control": 11, "Exfiltration": 20, "Impact": 13,
+    }
+    assert [(p.number, p.score, sum(points for points, _ in p.additions)) for p in patterns.PATTERNS] == [
+        (1, 10, 8), (2, 10, 13), (3, 8, 10), (4, 8, 12), (5, 10, 10), (6, 15, 5), (7, 9, 7), (8, 8, 9), (9, 10, 8), (10, 8, 5), (11, 12, 3), (12, 7, 3), (13, 9, 4),
+    ]
+    assert {e.event_id: e.tactics for e in catalog.SECURITY if e.risk >= 9} == {
+        1102: ("Defense Evasion",), 4697: ("Persistence", "Lateral Movement"), 4719: ("Defense Evasion",), 4794: ("Privilege Escalation", "Persistence"),
+    }
+    assert catalog.KEY_FIELDS[22] == ("QueryName", "QueryResults", "Image") and catalog.STATES[18456]["8"] == "Wrong password"

@@ -19,23 +19,14 @@ CATALOG_SCHEMA = (
 )
 
 
-def split(text: str, separator: str = ",") -> list[str]:
-    return [part for part in text.split(separator) if part]
-
-
 def catalog_rows() -> list[tuple]:
-    key_fields = {event: split(fields) for event, fields in mitre.table(catalog.KEY_FIELDS)}
-    states: dict[str, dict[str, str]] = {}
-    for event, state, meaning in mitre.table(catalog.STATES):
-        states.setdefault(event, {})[state] = meaning
     return [
         (
-            source, int(event_id), name, category, int(risk_score), severity,
-            [mitre.TACTIC_NAMES[code] for code in split(tactics)], split(techniques), split(cues, ";"),
-            key_fields.get(event_id, []) if source == "Sysmon" else [], states.get(event_id, {}),
+            source, e.event_id, e.name, e.category, e.risk, e.severity, list(e.tactics), list(e.techniques), list(e.cues),
+            list(catalog.KEY_FIELDS.get(e.event_id, ())) if source == "Sysmon" else [], catalog.STATES.get(e.event_id, {}),
         )
-        for source, text in catalog.SOURCES.items()
-        for event_id, name, category, risk_score, severity, tactics, techniques, cues in mitre.table(text)
+        for source, events in catalog.SOURCES.items()
+        for e in events
     ]
 
 
@@ -50,7 +41,7 @@ def event_catalog(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def tactics(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, stage, text) for i, (_, name, stage, text) in enumerate(mitre.table(mitre.TACTICS))]
+    rows = [(i, *tactic) for i, tactic in enumerate(mitre.TACTICS)]
     return spark.createDataFrame(rows, "ordinal int, tactic string, stage string, description string")
 
 
@@ -62,11 +53,7 @@ def techniques(spark: SparkSession, path: str | None = None) -> DataFrame:
     """
     if path is not None:
         return spark.read.csv(path, header=True, schema="tactic string, technique_id string, name string")
-    rows = [
-        (mitre.TACTIC_NAMES[code], technique, name)
-        for technique, name, codes in mitre.table(mitre.TECHNIQUES)
-        for code in split(codes)
-    ]
+    rows = [(tactic, t.technique_id, t.name) for t in mitre.TECHNIQUES for tactic in t.tactics]
     return spark.createDataFrame(rows, "tactic string, technique_id string, name string")
 
 

@@ -37,19 +37,16 @@ def total(terms: list[Column]) -> Column:
 
 def points_of(tactic: str) -> Column:
     """Points of the rule table for one tactic."""
-    rows = [(int(p), c) for t, p, c in (line.split("|") for line in stages.POINTS.strip().splitlines()) if t == tactic]
-    return total([F.when(F.expr(condition), points).otherwise(0) for points, condition in rows])
+    return total([F.when(F.expr(row.condition), row.points).otherwise(0) for row in stages.POINTS if row.tactic == tactic])
 
 
 def handle_points(tactic: str) -> Column:
     """Points of a requested handle, by the words of the object."""
     choice = F
-    for line in stages.HANDLE_POINTS.strip().splitlines():
-        words, rewards = line.split("|")
-        points = dict(r.split("=") for r in rewards.split(","))
-        found = [F.col(t).contains(w) for w in words.split(",") if w for t in ("raw", "object")]
+    for row in stages.HANDLE_POINTS:
+        found = [F.col(t).contains(w) for w in row.words for t in ("raw", "object")]
         met = reduce(lambda a, b: a | b, found) if found else F.lit(True)
-        choice = choice.when(met, int(points.get(tactic, 0)))
+        choice = choice.when(met, row.points.get(tactic, 0))
     return F.when(F.col("EventID") == 4656, choice.otherwise(0)).otherwise(0)
 
 
@@ -59,7 +56,7 @@ def initial_access_points() -> Column:
     Signs of execution and of work inside the network take them all away; signs of
     installation take 5. Failed and late database logins count in any case.
     """
-    running = [c for t, _, c in (line.split("|") for line in stages.POINTS.strip().splitlines()) if t == "Execution" and "contains(" in c]
+    running = [row.condition for row in stages.POINTS if row.tactic == "Execution" and "contains(" in row.condition]
     inside = F.coalesce(F.col("EventID").isin(stages.POST_COMPROMISE), F.lit(False))
     none = reduce(lambda a, b: a | b, [F.coalesce(F.expr(c), F.lit(False)) for c in running], inside)
     reduced = F.when(F.expr(stages.NOT_FIRST_STEP), 5).otherwise(0)
@@ -128,29 +125,26 @@ def known_pattern(score: Column) -> Column:
     """Pattern of a known event of risk 8 and more as a struct, null for all others."""
     result = F.lit(None).cast("struct<id: int, label: string>")
     unnamed = F.concat(F.lit("Unknown Event "), F.col("EventID").cast("string"))
-    lines = [line.split("|") for line in patterns.KNOWN_EVENTS.strip().splitlines()]
-    for ids, pattern, label in reversed(lines):
-        numbers = [int(i) for i in ids.split(",")]
-        met = F.col("EventID").isin(numbers)
-        if numbers == [10]:
+    for numbers, pattern, label in reversed(patterns.KNOWN_EVENTS):
+        met = F.col("EventID").isin(*numbers)
+        if numbers == (10,):
             met = met & F.lower("TargetImage").contains(patterns.LSASS)
         before, found, after = label.partition("%s")
         named = F.concat(F.lit(before), F.coalesce(F.col("info.name"), unnamed), F.lit(after)) if found else F.lit(label)
-        result = F.when(met, F.struct(F.lit(int(pattern)).alias("id"), named.alias("label"))).otherwise(result)
+        result = F.when(met, F.struct(F.lit(pattern).alias("id"), named.alias("label"))).otherwise(result)
     return F.when(score >= 8, result)
 
 
 def scored_pattern() -> Column:
     """The pattern with the highest score; the first one wins a tie."""
     entries = []
-    for line in patterns.PATTERNS.strip().splitlines():
-        pattern, label, condition, base, additions = line.split("|")
-        more = [F.when(F.expr(c), int(p)).otherwise(0) for p, _, c in (a.partition("=") for a in additions.split(";"))]
+    for pattern in patterns.PATTERNS:
+        more = [F.when(F.expr(condition), points).otherwise(0) for points, condition in pattern.additions]
         entry = F.struct(
-            (F.lit(int(base)) + total(more)).alias("score"), F.lit(-int(pattern)).alias("order"),
-            F.lit(int(pattern)).alias("id"), F.lit(label).alias("label"),
+            (F.lit(pattern.score) + total(more)).alias("score"), F.lit(-pattern.number).alias("order"),
+            F.lit(pattern.number).alias("id"), F.lit(pattern.label).alias("label"),
         )
-        entries.append(F.when(F.expr(condition), entry))
+        entries.append(F.when(F.expr(pattern.condition), entry))
     best = F.array_max(F.array(*entries))
     return F.when(best.isNotNull(), F.struct(best["id"].alias("id"), best["label"].alias("label")))
 

@@ -28,19 +28,16 @@ def mixed_log(spark, sf_dir) -> DataFrame:
 
 def pattern_sql() -> str:
     entries = []
-    for line in patterns.PATTERNS.strip().splitlines():
-        number, label, condition, base, additions = line.split("|")
-        more = "".join(
-            f" + CASE WHEN {c} THEN {p} ELSE 0 END" for p, _, c in (a.partition("=") for a in additions.split(";"))
-        )
+    for number, label, condition, base, additions in patterns.PATTERNS:
+        more = "".join(f" + CASE WHEN {c} THEN {p} ELSE 0 END" for p, c in additions)
         entries.append(
             f"CASE WHEN {condition} THEN {{'score': {base}{more}, 'rank': -{number}, 'id': {number}, 'label': {text(label)}}} END"
         )
     best = f"list_sort(list_filter([{', '.join(entries)}], lambda e: e IS NOT NULL), 'DESC')[1]"
     known = "CASE WHEN EventID_RiskScore < 8 THEN NULL "
-    for ids, number, label in (line.split("|") for line in patterns.KNOWN_EVENTS.strip().splitlines()):
-        extra = " AND contains(lower(TargetImage), 'lsass')" if ids == "10" else ""
-        known += f"WHEN EventID IN ({ids}){extra} THEN {{'id': {number}, 'label': replace({text(label)}, '%s', EventID_Name)}} "
+    for ids, number, label in patterns.KNOWN_EVENTS:
+        extra = " AND contains(lower(TargetImage), 'lsass')" if ids == (10,) else ""
+        known += f"WHEN EventID IN {inside(ids)}{extra} THEN {{'id': {number}, 'label': replace({text(label)}, '%s', EventID_Name)}} "
     known += "END"
     return f"""
       SELECT record_id, CAST(coalesce(known.id, best.id, 0) AS INTEGER) AS Cluster,
@@ -49,17 +46,16 @@ def pattern_sql() -> str:
 
 
 def stage_sql() -> str:
-    rows = [line.split("|") for line in stages.POINTS.strip().splitlines()]
+    rows = stages.POINTS
 
     def points(tactic: str) -> str:
         return "0" + "".join(f" + CASE WHEN {c} THEN {p} ELSE 0 END" for t, p, c in rows if t == tactic)
 
     def handle(tactic: str) -> str:
         arms = ""
-        for line in stages.HANDLE_POINTS.strip().splitlines():
-            words, rewards = line.split("|")
-            reward = dict(r.split("=") for r in rewards.split(",")).get(tactic, 0)
-            found = " OR ".join(f"coalesce(contains({t}, {text(w)}), false)" for w in words.split(",") if w for t in ("raw", "object"))
+        for words, rewards in stages.HANDLE_POINTS:
+            reward = rewards.get(tactic, 0)
+            found = " OR ".join(f"coalesce(contains({t}, {text(w)}), false)" for w in words for t in ("raw", "object"))
             arms += f" WHEN {found or 'true'} THEN {reward}"
         return f"CASE WHEN EventID = 4656 THEN CASE{arms} END ELSE 0 END"
 

@@ -66,17 +66,13 @@ CATALOG = (
 
 TACTICS = (
     "SELECT * FROM (VALUES "
-    + ", ".join(f"({i}, {text(n)}, {text(s)}, {text(d)})" for i, (_, n, s, d) in enumerate(mitre.table(mitre.TACTICS)))
+    + ", ".join(f"({i}, {text(n)}, {text(s)}, {text(d)})" for i, (n, s, d) in enumerate(mitre.TACTICS))
     + ") t(ordinal, tactic, stage, description)"
 )
 
 TECHNIQUES = (
     "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({text(mitre.TACTIC_NAMES[c])}, {text(i)}, {text(n)})"
-        for i, n, codes in mitre.table(mitre.TECHNIQUES)
-        for c in codes.split(",")
-    )
+    + ", ".join(f"({text(c)}, {text(i)}, {text(n)})" for i, n, names in mitre.TECHNIQUES for c in names)
     + ") t(tactic, technique_id, name)"
 )
 

@@ -5,115 +5,129 @@ Conditions are SQL over the feature columns and three lower-case texts: ``raw``
 All tables in this module are fixed values.
 """
 
+from __future__ import annotations
+
+from typing import NamedTuple
+
 # Process names that do not show that a program was run.
 PLACEHOLDER_PROCESSES = ["system", "registry", "idle", "-", "none"]
 
-# tactic | points | condition
-POINTS = """
-Initial Access|5|IsFailedLogin > 0
-Initial Access|3|FailedLoginRatio > 0.2
-Initial Access|4|EventID in (4625, 4648)
-Initial Access|2|IsNightTime > 0 and IsFailedLogin > 0
-Execution|8|IsProcessCreation > 0
-Execution|5|LogHasSuspicious > 0
-Execution|7|LogHasPowerShell > 0
-Execution|5|LogHasCmd > 0
-Execution|6|LogHasScript > 0
-Execution|10|contains(raw, 'cscript') or contains(raw, 'wscript') or contains(process, 'cscript') or contains(process, 'wscript')
-Execution|8|contains(raw, 'conhost') or contains(process, 'conhost')
-Execution|9|contains(raw, 'powershell') or contains(raw, 'pwsh') or contains(process, 'powershell')
-Execution|8|contains(raw, 'cmd.exe') or contains(process, 'cmd.exe') or contains(raw, 'cmd ')
-Execution|9|contains(raw, '.vbs') or contains(raw, '.js') or contains(raw, '.bat') or contains(raw, '.ps1')
-Execution|8|contains(raw, 'rundll32') or contains(raw, 'regsvr32') or contains(raw, 'mshta') or contains(raw, 'wmic') or contains(process, 'rundll32') or contains(process, 'regsvr32') or contains(process, 'mshta') or contains(process, 'wmic')
-Execution|5|EventID in (229, 208)
-Execution|10|EventID = 15281
-Persistence|10|EventID in (7045, 4697)
-Persistence|8|EventID = 7040
-Persistence|4|EventID = 7036
-Persistence|9|IsScheduledTask > 0
-Persistence|8|EventID in (4698, 106, 200, 201)
-Persistence|7|IsRegistryModification > 0
-Persistence|8|EventID in (12, 13)
-Persistence|7|EventID = 4657
-Persistence|10|EventID in (19, 20, 21)
-Persistence|8|EventID = 4720
-Persistence|7|EventID = 4722
-Persistence|6|EventID = 4723
-Persistence|7|EventID = 4738
-Persistence|7|EventID in (4704, 4717)
-Persistence|8|EventID in (4728, 4732, 4756)
-Persistence|7|EventID in (4735, 4737, 4755)
-Persistence|10|EventID = 4794
-Persistence|8|EventID = 6
-Persistence|6|IsFileCreation > 0 and LogHasScript > 0
-Persistence|3|IsFileCreation > 0 and LogHasScript <= 0
-Persistence|5|EventID = 11
-Persistence|9|EventID in (33212, 15434)
-Privilege Escalation|12|EventID = 4704
-Privilege Escalation|11|EventID = 4717
-Privilege Escalation|7|EventID in (4735, 4737, 4755)
-Privilege Escalation|10|EventID = 4794
-Privilege Escalation|5|EventID in (4672, 4673, 4674)
-Privilege Escalation|8|EventID in (8, 10)
-Privilege Escalation|2|LevelSeverity >= 4
-Privilege Escalation|6|EventID in (4732, 4705)
-Privilege Escalation|8|EventID = 33212
-Privilege Escalation|9|EventID = 15281
-Privilege Escalation|7|EventID in (15247, 33211)
-Defense Evasion|6|EventID = 8
-Defense Evasion|8|EventID in (1102, 104, 1100)
-Defense Evasion|10|IsSecurityLogCleared > 0
-Defense Evasion|8|EventID = 4705
-Defense Evasion|7|EventID = 4718
-Defense Evasion|3|EventIDRarity > 0.8
-Defense Evasion|1|IsNightTime > 0
-Defense Evasion|9|EventID in (17049, 17120)
-Credential Access|9|EventID = 10
-Credential Access|3|EventID in (4624, 4625, 4768)
-Credential Access|6|EventID in (4769, 4776)
-Credential Access|5|EventID = 4771
-Credential Access|8|EventID = 4661
-Credential Access|9|EventID = 4662
-Credential Access|7|EventID in (4663, 18456, 33210)
-Credential Access|5|FailedLoginRatio > 0.5
-Credential Access|3|EventID = 18452
-Credential Access|8|EventID in (18454, 15434)
-Credential Access|6|EventID in (229, 208)
-Discovery|5|EventID = 4661
-Discovery|4|EventID = 4662
-Discovery|4|UniqueIPCount > 3
-Discovery|5|EventID in (4798, 4799)
-Discovery|2|IsNetworkConnection > 0
-Lateral Movement|4|EventID = 4776
-Lateral Movement|3|IsNetworkConnection > 0
-Lateral Movement|6|UniqueIPCount > 5
-Lateral Movement|4|EventID in (3, 5156)
-Lateral Movement|5|EventID in (4624, 4648) and UniqueIPCount > 2
-Lateral Movement|7|EventID = 4697
-Collection|6|EventID in (33210, 3014)
-Collection|3|EventID in (11, 4663)
-Collection|2|LogLength > 500
-Command and Control|5|IsNetworkConnection > 0 and EventsPerMinute > 10
-Command and Control|3|EventID = 3
-Command and Control|3|IsNightTime > 0 and IsNetworkConnection > 0
-Exfiltration|5|EventID = 3014
-Exfiltration|4|LogLength > 1000
-Exfiltration|6|IsNetworkConnection > 0 and LogLength > 500
-Exfiltration|5|EventsPerMinute > 20
-Impact|5|EventID in (1102, 104)
-Impact|2|LevelSeverity >= 4
-Impact|6|EventID = 4719
-"""
 
-# What a requested handle (event 4656) says depends on the object: the first
-# line whose words occur in the raw log or the object name counts.
-# words | points per tactic
-HANDLE_POINTS = """
-lsass,sam,security,ntds.dit,credential|Credential Access=9
-certificate,enterprisecertificates,root\\certificates|Defense Evasion=8,Persistence=6
-registry|Defense Evasion=6,Persistence=5
-|Collection=5,Discovery=3
-"""
+class Points(NamedTuple):
+    tactic: str
+    points: int
+    condition: str
+
+
+class Handle(NamedTuple):
+    words: tuple[str, ...]
+    points: dict[str, int]
+
+
+POINTS = [
+    Points("Initial Access", 5, "IsFailedLogin > 0"),
+    Points("Initial Access", 3, "FailedLoginRatio > 0.2"),
+    Points("Initial Access", 4, "EventID in (4625, 4648)"),
+    Points("Initial Access", 2, "IsNightTime > 0 and IsFailedLogin > 0"),
+    Points("Execution", 8, "IsProcessCreation > 0"),
+    Points("Execution", 5, "LogHasSuspicious > 0"),
+    Points("Execution", 7, "LogHasPowerShell > 0"),
+    Points("Execution", 5, "LogHasCmd > 0"),
+    Points("Execution", 6, "LogHasScript > 0"),
+    Points("Execution", 10, "contains(raw, 'cscript') or contains(raw, 'wscript') or contains(process, 'cscript') or contains(process, 'wscript')"),
+    Points("Execution", 8, "contains(raw, 'conhost') or contains(process, 'conhost')"),
+    Points("Execution", 9, "contains(raw, 'powershell') or contains(raw, 'pwsh') or contains(process, 'powershell')"),
+    Points("Execution", 8, "contains(raw, 'cmd.exe') or contains(process, 'cmd.exe') or contains(raw, 'cmd ')"),
+    Points("Execution", 9, "contains(raw, '.vbs') or contains(raw, '.js') or contains(raw, '.bat') or contains(raw, '.ps1')"),
+    Points("Execution", 8, "contains(raw, 'rundll32') or contains(raw, 'regsvr32') or contains(raw, 'mshta') or contains(raw, 'wmic') or contains(process, 'rundll32') or contains(process, 'regsvr32') or contains(process, 'mshta') or contains(process, 'wmic')"),
+    Points("Execution", 5, "EventID in (229, 208)"),
+    Points("Execution", 10, "EventID = 15281"),
+    Points("Persistence", 10, "EventID in (7045, 4697)"),
+    Points("Persistence", 8, "EventID = 7040"),
+    Points("Persistence", 4, "EventID = 7036"),
+    Points("Persistence", 9, "IsScheduledTask > 0"),
+    Points("Persistence", 8, "EventID in (4698, 106, 200, 201)"),
+    Points("Persistence", 7, "IsRegistryModification > 0"),
+    Points("Persistence", 8, "EventID in (12, 13)"),
+    Points("Persistence", 7, "EventID = 4657"),
+    Points("Persistence", 10, "EventID in (19, 20, 21)"),
+    Points("Persistence", 8, "EventID = 4720"),
+    Points("Persistence", 7, "EventID = 4722"),
+    Points("Persistence", 6, "EventID = 4723"),
+    Points("Persistence", 7, "EventID = 4738"),
+    Points("Persistence", 7, "EventID in (4704, 4717)"),
+    Points("Persistence", 8, "EventID in (4728, 4732, 4756)"),
+    Points("Persistence", 7, "EventID in (4735, 4737, 4755)"),
+    Points("Persistence", 10, "EventID = 4794"),
+    Points("Persistence", 8, "EventID = 6"),
+    Points("Persistence", 6, "IsFileCreation > 0 and LogHasScript > 0"),
+    Points("Persistence", 3, "IsFileCreation > 0 and LogHasScript <= 0"),
+    Points("Persistence", 5, "EventID = 11"),
+    Points("Persistence", 9, "EventID in (33212, 15434)"),
+    Points("Privilege Escalation", 12, "EventID = 4704"),
+    Points("Privilege Escalation", 11, "EventID = 4717"),
+    Points("Privilege Escalation", 7, "EventID in (4735, 4737, 4755)"),
+    Points("Privilege Escalation", 10, "EventID = 4794"),
+    Points("Privilege Escalation", 5, "EventID in (4672, 4673, 4674)"),
+    Points("Privilege Escalation", 8, "EventID in (8, 10)"),
+    Points("Privilege Escalation", 2, "LevelSeverity >= 4"),
+    Points("Privilege Escalation", 6, "EventID in (4732, 4705)"),
+    Points("Privilege Escalation", 8, "EventID = 33212"),
+    Points("Privilege Escalation", 9, "EventID = 15281"),
+    Points("Privilege Escalation", 7, "EventID in (15247, 33211)"),
+    Points("Defense Evasion", 6, "EventID = 8"),
+    Points("Defense Evasion", 8, "EventID in (1102, 104, 1100)"),
+    Points("Defense Evasion", 10, "IsSecurityLogCleared > 0"),
+    Points("Defense Evasion", 8, "EventID = 4705"),
+    Points("Defense Evasion", 7, "EventID = 4718"),
+    Points("Defense Evasion", 3, "EventIDRarity > 0.8"),
+    Points("Defense Evasion", 1, "IsNightTime > 0"),
+    Points("Defense Evasion", 9, "EventID in (17049, 17120)"),
+    Points("Credential Access", 9, "EventID = 10"),
+    Points("Credential Access", 3, "EventID in (4624, 4625, 4768)"),
+    Points("Credential Access", 6, "EventID in (4769, 4776)"),
+    Points("Credential Access", 5, "EventID = 4771"),
+    Points("Credential Access", 8, "EventID = 4661"),
+    Points("Credential Access", 9, "EventID = 4662"),
+    Points("Credential Access", 7, "EventID in (4663, 18456, 33210)"),
+    Points("Credential Access", 5, "FailedLoginRatio > 0.5"),
+    Points("Credential Access", 3, "EventID = 18452"),
+    Points("Credential Access", 8, "EventID in (18454, 15434)"),
+    Points("Credential Access", 6, "EventID in (229, 208)"),
+    Points("Discovery", 5, "EventID = 4661"),
+    Points("Discovery", 4, "EventID = 4662"),
+    Points("Discovery", 4, "UniqueIPCount > 3"),
+    Points("Discovery", 5, "EventID in (4798, 4799)"),
+    Points("Discovery", 2, "IsNetworkConnection > 0"),
+    Points("Lateral Movement", 4, "EventID = 4776"),
+    Points("Lateral Movement", 3, "IsNetworkConnection > 0"),
+    Points("Lateral Movement", 6, "UniqueIPCount > 5"),
+    Points("Lateral Movement", 4, "EventID in (3, 5156)"),
+    Points("Lateral Movement", 5, "EventID in (4624, 4648) and UniqueIPCount > 2"),
+    Points("Lateral Movement", 7, "EventID = 4697"),
+    Points("Collection", 6, "EventID in (33210, 3014)"),
+    Points("Collection", 3, "EventID in (11, 4663)"),
+    Points("Collection", 2, "LogLength > 500"),
+    Points("Command and Control", 5, "IsNetworkConnection > 0 and EventsPerMinute > 10"),
+    Points("Command and Control", 3, "EventID = 3"),
+    Points("Command and Control", 3, "IsNightTime > 0 and IsNetworkConnection > 0"),
+    Points("Exfiltration", 5, "EventID = 3014"),
+    Points("Exfiltration", 4, "LogLength > 1000"),
+    Points("Exfiltration", 6, "IsNetworkConnection > 0 and LogLength > 500"),
+    Points("Exfiltration", 5, "EventsPerMinute > 20"),
+    Points("Impact", 5, "EventID in (1102, 104)"),
+    Points("Impact", 2, "LevelSeverity >= 4"),
+    Points("Impact", 6, "EventID = 4719"),
+]
+
+# What a requested handle (event 4656) says depends on the object: the first row whose words occur
+# in the raw log or the object name counts; the last one holds for all others.
+HANDLE_POINTS = [
+    Handle(("lsass", "sam", "security", "ntds.dit", "credential"), {"Credential Access": 9}),
+    Handle(("certificate", "enterprisecertificates", "root\\certificates"), {"Defense Evasion": 8, "Persistence": 6}),
+    Handle(("registry",), {"Defense Evasion": 6, "Persistence": 5}),
+    Handle((), {"Collection": 5, "Discovery": 3}),
+]
 
 # Reduces Initial Access by 5, not below 0.
 NOT_FIRST_STEP = (

@@ -103,14 +103,20 @@ def source_label(event_id: Column, channel: Column, catalog_source: Column, foun
     )
 
 
+def small(table: DataFrame, given: bool = True) -> DataFrame:
+    """``table`` to be broadcast, unless it was given and has more rows than that allows."""
+    return table if given and table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else F.broadcast(table)
+
+
 def with_intelligence(df: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Left join with the catalogue: a struct column ``info``, null for unknown events."""
-    events = events if events is not None else event_catalog(df.sparkSession)
+    given = events is not None
+    events = events if given else event_catalog(df.sparkSession)
     info = events.select(F.col("event_id").alias("_id"), F.col("source").alias("_source"), F.struct("*").alias("info"))
     channel = F.col("Channel") if "Channel" in df.columns else F.lit(None).cast("string")
     routed = df.withColumn("_route", channel_route(channel))
     match = (F.col("EventID") == F.col("_id")) & (F.col("_route").isNull() | (F.col("_route") == F.col("_source")))
-    return routed.join(F.broadcast(info), match, "left").drop("_route", "_id", "_source")
+    return routed.join(small(info, given), match, "left").drop("_route", "_id", "_source")
 
 
 def primary_tactic(info: Column) -> Column:
@@ -157,7 +163,7 @@ def technique_names(df: DataFrame, names: DataFrame) -> DataFrame:
 
     ``df`` is a table of at most catalogue size with one row per ``event_id``.
     """
-    one_name = F.broadcast(names.groupBy("technique_id").agg(F.min("name").alias("name")))
+    one_name = small(names.groupBy("technique_id").agg(F.min("name").alias("name")))
     label = F.coalesce(F.col("name"), F.concat(F.lit("Unknown ("), F.col("technique_id"), F.lit(")")))
     listed = (
         df.select("event_id", F.posexplode("mitre_techniques").alias("position", "technique_id"))
@@ -176,7 +182,7 @@ def techniques_by_tactic(df: DataFrame, pairs: DataFrame) -> DataFrame:
     listed = pairs.groupBy("tactic").agg(F.sort_array(F.collect_set("technique_id")).alias("techniques"))
     return (
         df.select("event_id", F.posexplode("mitre_tactics").alias("position", "tactic"))
-        .join(F.broadcast(listed), "tactic", "left")
+        .join(small(listed), "tactic", "left")
         .select("event_id", "position", "tactic", "techniques")
     )
 

@@ -23,6 +23,10 @@ def local_session(cpus: str = "*", app: str = "vigilog") -> SparkSession:
     return spark
 
 
+# Folders of the tables that were stored, by application.
+_stored: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage: ``spark.checkpoint.dir`` where the cluster sets it.
 
@@ -53,10 +57,23 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for wide results that several
     passes read: a pass reads the columns it needs and no earlier step runs again."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    _stored.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote in this application, and how many there were.
+
+    For the end of a run: results that were not written elsewhere can't be read any more.
+    """
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def spread(source: DataFrame, key: str = "record_id") -> DataFrame:
     """A source with at least one partition per core, for steps that are heavy per row.
 

@@ -87,6 +87,59 @@ def test_random_strings_are_found_and_words_are_not(spark, sf_dir):
     assert sum(any(k == 3 for _, k, _ in spans(r, "spans")) for r in clean) <= 2
 
 
+def left_of(text):
+    """Tokens with what base findings cover as None, written character by character."""
+    covered = {i for a, _, b in base_of(text) for i in range(a, b)}
+    good = [i in covered or bool(re.fullmatch(r"[A-Za-z0-9+/_=-]", c)) for i, c in enumerate(text)]
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and good[end]:
+            end += 1
+        if end - at >= s.TOKEN_CHARS:
+            yield at, end, [None if i in covered else text[i] for i in range(at, end)]
+        at = max(end, at + 1)
+
+
+def is_random(token, table):
+    left = sum(c is not None for c in token)
+    return left >= s.LEFT_CHARS and score_of(token, table) >= s.RATIO * min(left, s.TOKEN_CHARS) / s.TOKEN_CHARS
+
+
+def score_of(token, table):
+    total = 0.0
+    for before, now in zip([None, *token], token):
+        if now is not None:
+            total += table[(94 if before is None else ord(before) - 33) * 95 + ord(now) - 33]
+    return total
+
+
+MIXED = [
+    "key Zx9QmB2kW7-0123456789abcdef01 end",
+    "see k9Jx2LqP0vRt7WzQ/token=ab there",
+    "commits/tree/0123456789abcdef01 and reference_implementation_of_things",
+    "my_secret: \"b7db7aa4a5fcc78305\" a\x01b\x01cdefghijklmnopqrst \x01",
+    "😀Qm7/xT2LqP0vRt7WzQ\x01K9Jx2LqP0vRt7Wz deadbeefdeadbeefapikey=Zx9-abcdefghi.k",
+    "x" * 3000 + " " + " ".join(f"{i:016x}Zq8Wv3Kp" for i in range(400)),
+]
+
+
+def test_tokens_beside_base_findings(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = spark.range(2000).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")  # more random strings
+    table = s.ratios(s.samples(docs).unionAll(s.samples(ids)))
+    texts = [*MIXED, *[x for x in CASES if x]]
+    rows = s.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=table).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        wanted = [(a, 3, b) for a, b, token in left_of(text) if is_random(token, table)]
+        assert [x for x in spans(r, "spans") if x[1] == 3] == wanted
+        assert spans(r) == base_of(text)
+    random = {r["doc_id"]: [x for x in spans(r, "spans") if x[1] == 3] for r in rows}
+    assert random[0] == [(4, 3, 33)] and random[1] == [(4, 3, 29)]
+    assert not random[2] and sum(a > 3000 for a, _, _ in random[5]) == 400
+
+
 def test_redacted(spark):
     df = spark.createDataFrame([(i, t, "a", i) for i, t in enumerate(CASES)], "doc_id int, text string, `secret_m0` string, `x.y` int")
     out = s.redacted(df, model=[0.0] * 95**2)

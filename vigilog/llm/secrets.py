@@ -1,9 +1,13 @@
 """Secret scan with DataFrame functions only.
 
 Base rules are patterns: assignments of secrets, access keys, long hexadecimal runs. On top,
-each token of ``TOKEN_CHARS`` or more characters without a base match is scored by two
-first-order character Markov models, one of random strings and one of ordinary
-identifiers, and is a finding where the log-likelihood ratio reaches ``RATIO``.
+tokens are scored by two first-order character Markov models, one of random strings and one
+of ordinary identifiers, and are findings where the log-likelihood ratio reaches ``RATIO``.
+A token is a run of ``TOKEN_CHARS`` or more token characters, where characters in base
+findings count as such. Only what base findings leave of it is scored, each rest from its own
+beginning: a key that holds a hexadecimal run is found as a whole, a path before a hash is not.
+Where less than ``TOKEN_CHARS`` is left, its share of ``RATIO`` decides, and below ``LEFT_CHARS``
+nothing does.
 
 The models are counts of character transitions from labelled samples. Random: the values
 of base matches and, for every document, a string that SHA-256 makes of its id. Ordinary:
@@ -39,8 +43,13 @@ BASE = (
     (r"[0-9a-f]{16,}", 0, 16),
 )
 TOKEN_CHARS = 16
+LEFT_CHARS = 8
 SAMPLE_CHARS = 10
 TOKEN = r"[A-Za-z0-9+/_=-]{%d,}"
+#: Stands for each character of a base finding; where a text has it, ``OTHER`` takes its place.
+COVERED = "\x01"
+OTHER = "\x02"
+LEFT = rf"[A-Za-z0-9+/_=\x01-]{{{TOKEN_CHARS},}}"
 RATIO = 12.0
 SMOOTHING = 0.5
 BLOCK = 256
@@ -84,10 +93,11 @@ def _plain(token: Column) -> Column:
 
 
 def _codes(token: Column) -> Column:
-    return F.transform(F.split(token, ""), lambda x: F.ascii(x) - 33)
+    return F.transform(F.split(token, ""), lambda x: F.when(x != COVERED, F.ascii(x) - 33))
 
 
 def _transitions(token: Column) -> Column:
+    """The place in the table of each step to a character; null for a covered one, and the step after it is a beginning."""
     return let(_codes(token), lambda c: F.transform(c, lambda x, i: F.coalesce(F.get(c, i - 1), F.lit(BEGIN)) * STATES + x))
 
 
@@ -125,23 +135,52 @@ def _score(token: Column, table: list[float]) -> Column:
     return F.aggregate(_transitions(token), F.lit(0.0), lambda s, t: s + F.coalesce(F.get(weights, t), F.lit(0.0)))
 
 
+def _random(token: Column, table: list[float]) -> Column:
+    """Whether a token is random, by the characters that no base finding covers."""
+    left = F.length(F.regexp_replace(token, f"{COVERED}+", ""))
+    return let(left, lambda n: F.when(n >= LEFT_CHARS, _score(token, table) >= RATIO * F.least(n, F.lit(TOKEN_CHARS)) / TOKEN_CHARS).otherwise(False))
+
+
+def _with_runs(rows: DataFrame, spans: str, names: dict[str, str]) -> DataFrame:
+    """``rows`` with the running ``ends`` of the sorted spans, and ``heads``: the start of each run of
+    overlapping spans with the end of the run before it. Both are null where there is no span."""
+    ends = let(F.transform(spans, lambda x: x["end"]), lambda e: _running(e, F.lit(0), F.greatest))
+    rows = rows.withColumn(names["ends"], F.when(F.size(spans) > 0, ends))
+    heads = F.filter(F.transform(spans, lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(names["ends"], i - 1), F.lit(0)).alias("before"), (i == 0).alias("first"))), lambda x: x["first"] | (x["start"] >= x["before"]))
+    return rows.withColumn(names["heads"], F.when(F.size(spans) > 0, heads))
+
+
+def _replaced(text: Column, names: dict[str, str], filling) -> Column:
+    """The text with every run of spans replaced by ``filling(length)``."""
+    heads = F.col(names["heads"])
+    last = F.array_max(names["ends"])
+    parts = F.transform(heads, lambda x, i: F.concat(F.substring(text, x["before"] + 1, x["start"] - x["before"]), filling(F.coalesce(F.get(heads, i + 1)["before"], last) - x["start"])))
+    return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+
+
 def _with_spans(rows: DataFrame, text: str, table: list[float], names: dict[str, str]) -> DataFrame:
     """``rows`` with the sorted ``base`` and ``all`` spans of the text."""
     all_of = lambda pattern, group=0: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
     m = [names[f"m{i}"] for i in range(4)]
-    rows = rows.withColumns({m[0]: all_of(BASE[0][0]), m[1]: all_of(BASE[1][0]), m[2]: all_of(BASE[2][0]), m[3]: all_of(TOKEN % TOKEN_CHARS)})
+    rows = rows.withColumns({m[0]: all_of(BASE[0][0]), m[1]: all_of(BASE[1][0]), m[2]: all_of(BASE[2][0])})
     long = F.when(F.size(m[0]) > 0, F.transform(all_of(BASE[0][0], 2), lambda x: F.length(x) >= BASE[0][2]))
-    likely = F.when(F.size(m[3]) > 0, F.transform(F.col(m[3]), lambda x: F.when(_plain(x), _score(x, table) >= RATIO).otherwise(False)))
-    rows = rows.withColumns({names["ok0"]: long, names["ok3"]: likely})
+    rows = rows.withColumn(names["ok0"], long)
     spans = [_spans(F.col(text), BASE[0][0], 0, F.col(m[0]), F.col(names["ok0"])), _spans(F.col(text), BASE[1][0], 1, F.col(m[1])), _spans(F.col(text), BASE[2][0], 2, F.col(m[2]))]
+    rows = _with_runs(rows.withColumn(names["base"], F.sort_array(F.concat(*spans))), names["base"], names)
+    own = F.when(F.contains(F.col(text), F.lit(COVERED)), F.translate(F.col(text), COVERED, OTHER)).otherwise(F.col(text))
+    rows = rows.withColumn(names["own"], own)
+    covered = F.when(F.size(names["base"]) > 0, _replaced(F.col(names["own"]), names, lambda n: F.repeat(F.lit(COVERED), n))).otherwise(F.col(names["own"]))
+    rows = rows.withColumn(names["covered"], covered)
+    rows = rows.withColumn(m[3], F.regexp_extract_all(F.col(names["covered"]), F.lit(LEFT), F.lit(0)))
+    rows = rows.withColumn(names["ok3"], F.when(F.size(m[3]) > 0, F.transform(m[3], lambda x: _random(x, table))))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    added = F.when(F.coalesce(F.exists(names["ok3"], lambda x: x), F.lit(False)), _spans(F.col(text), TOKEN % TOKEN_CHARS, 3, F.col(m[3]), F.col(names["ok3"]))).otherwise(none)
-    rows = rows.withColumns({names["base"]: F.sort_array(F.concat(*spans)), names["added"]: added})
-    return rows.withColumn(names["all"], F.sort_array(F.concat(names["base"], names["added"]))).drop(*m, names["ok0"], names["ok3"], names["added"])
+    added = F.when(F.coalesce(F.exists(names["ok3"], lambda x: x), F.lit(False)), _spans(F.col(names["covered"]), LEFT, 3, F.col(m[3]), F.col(names["ok3"]))).otherwise(none)
+    rows = rows.withColumn(names["added"], added)
+    return rows.withColumn(names["all"], F.sort_array(F.concat(names["base"], names["added"]))).drop(*m, *[names[n] for n in ("ok0", "ok3", "added", "own", "covered", "ends", "heads")])
 
 
 def _names(df: DataFrame) -> dict[str, str]:
-    return {n: fresh(df, f"secret_{n}") for n in ("m0", "m1", "m2", "m3", "ok0", "ok3", "base", "added", "all", "ends", "heads")}
+    return {n: fresh(df, f"secret_{n}") for n in ("m0", "m1", "m2", "m3", "ok0", "ok3", "base", "added", "all", "ends", "heads", "own", "covered")}
 
 
 def findings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", model: list[float] | None = None) -> DataFrame:
@@ -168,11 +207,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_column: str = "doc_id",
     text = fresh(docs, "secret_text")
     rows = docs.withColumn(text, column(docs, text_column).cast("string"))
     rows = _with_spans(rows.withColumn(text, F.coalesce(text, F.lit(""))), text, table, names)
-    ends = let(F.transform(names["all"], lambda x: x["end"]), lambda e: _running(e, F.lit(0), F.greatest))
-    rows = rows.withColumn(names["ends"], F.when(F.size(names["all"]) > 0, ends))
-    heads = F.filter(F.transform(names["all"], lambda x, i: F.struct(x["start"].alias("start"), F.coalesce(F.get(names["ends"], i - 1), F.lit(0)).alias("before"), (i == 0).alias("first"))), lambda x: x["first"] | (x["start"] >= x["before"]))
-    rows = rows.withColumn(names["heads"], F.when(F.size(names["all"]) > 0, heads))
-    parts = F.transform(names["heads"], lambda x: F.substring(F.col(text), x["before"] + 1, x["start"] - x["before"]))
-    tail = F.substring(F.col(text), F.array_max(names["ends"]) + 1, F.length(text))
-    cleaned = F.when(F.size(names["all"]) > 0, F.concat(F.array_join(F.transform(parts, lambda x: F.concat(x, F.lit(mark))), ""), tail)).otherwise(column(docs, text_column).cast("string"))
+    rows = _with_runs(rows, names["all"], names)
+    whole = _replaced(F.col(text), names, lambda n: F.lit(mark))
+    cleaned = F.when(F.size(names["all"]) > 0, whole).otherwise(column(docs, text_column).cast("string"))
     return rows.select(*[cleaned.alias(c) if c == text_column else column(rows, c) for c in docs.columns])

@@ -287,3 +287,16 @@ def test_batches_that_are_tried_again_count_once(spark, tmp_path, monkeypatch):
     assert results.load_samples(spark, samples, "d").count() == 3
     with pytest.raises(ValueError):
         results.load_samples(spark, samples, "other")
+
+
+def test_files_of_a_large_table_are_several_with_ends_and_few_splits(spark, tmp_path):
+    from vigilog.plans import source_queries as s
+
+    body = spark.range(1000).select(F.col("id").alias("event_id"), F.concat(F.lit('{"a": "'), F.repeat(F.lit("x"), 700), F.lit('"},')).alias("value"))
+    path = str(tmp_path / "a")
+    assert s.in_files(body, "event_id", path, "[", '{"a": ""}]', rows=400) == 3
+    texts = [p.read_text().splitlines() for p in sorted((tmp_path / "a").glob("*/part-*"))]
+    assert len(texts) == 3 and sum(map(len, texts)) == 1006
+    assert {(t[0], t[-1]) for t in texts} == {("[", '{"a": ""}]')}
+    largest = max(p.stat().st_size for p in (tmp_path / "a").glob("*/part-*"))
+    assert largest // 16 == s.split_bytes(spark, path + "/*/") > s.SPLIT_BYTES

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vigilog.operators import knowledge, verdicts
 from vigilog.plans.oracle import using
@@ -32,6 +32,30 @@ def exported(spark, sf_dir) -> DataFrame:
     )
 
 
+# Rows of one file of a kind that is written by one task.
+FILE_ROWS = 2_000_000
+# Splits that one file is read in where a query asks for several, each of this many bytes at least.
+SPLITS, SPLIT_BYTES = 16, 8192
+
+
+def in_files(body: DataFrame, key: str, path: str, head: str, foot: str | None = None, rows: int = FILE_ROWS) -> int:
+    """``body`` (``key``, ``value``) as text files of about ``rows`` lines between a first and a last line, dealt by the key's hash; the number of files."""
+    spark = body.sparkSession
+    files = max(1, -(-body.count() // rows))
+    dealt = body.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("file"), F.lit(1).alias("place"), "value")
+    for line, place in ((head, 0), (foot, 2)):
+        if line is not None:
+            dealt = dealt.unionByName(spark.range(files).select(F.col("id").alias("file"), F.lit(place).alias("place"), F.lit(line).alias("value")))
+    # A file lies in one partition, in the order of its lines.
+    dealt.repartition(files, "file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+    return files
+
+
+def split_bytes(spark, path: str) -> int:
+    """The size of a split of which the largest file has ``SPLITS``."""
+    return max(SPLIT_BYTES, spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] // SPLITS)
+
+
 def back(df: DataFrame) -> DataFrame:
     return df.select(F.col("row").cast("long").alias("row"), *FIELDS[:-1], F.nullif("RawLog", F.lit("")).alias("RawLog"))
 
@@ -167,31 +191,30 @@ def broken_csv_records(spark, sf_dir) -> DataFrame:
     number = F.col("event_id").cast("string")
     value = F.when(F.col("event_id") % 3 == 0, F.lit('"first\nsecond, ""quoted"""')).otherwise(F.lit("plain"))
     line = F.concat(number, F.lit(","), value, F.when(F.col("event_id") % 10 == 0, F.lit(",more")).otherwise(F.lit("")))
-    body = read_table(spark, sf_dir, "events").select(line.alias("value"), F.lit(1).alias("place"))
-    head = spark.createDataFrame([("id,note", 0)], "value string, place int")
-    body.unionByName(head).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)  # one file with a header
-    raw = stored(readers.read_csv(spark, [path]))
+    in_files(read_table(spark, sf_dir, "events").select("event_id", line.alias("value")), "event_id", path, "id,note")
+    raw = stored(readers.read_csv(spark, [path + "/*/"]))
     breaks = raw.filter("_corrupt_record IS NULL").agg(F.count_if(F.col("note") == 'first\nsecond, "quoted"').alias("with_breaks"))
     return readers.ingest_quality(raw).crossJoin(breaks)
 
 
 @query("S3_array_splits", "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids, true AS several_tasks FROM events")
 def array_splits(spark, sf_dir) -> DataFrame:
-    """One array in one file, with braces and quotes in its strings, read by several tasks."""
+    """One array in one file (of up to about ``FILE_ROWS`` events), with braces and quotes in its strings, read by several tasks."""
     path = scratch(spark, "array")
     event = F.to_json(F.struct("event_id", F.lit('a } \\" ] { "b\\').alias("note")))
-    body = read_table(spark, sf_dir, "events").select(F.concat(event, F.lit(",")).alias("value"), F.lit(1).alias("place"))
-    ends = spark.createDataFrame([("[", 0), ('{"event_id": 0}]', 2)], "value string, place int")
-    body.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(path)
+    body = read_table(spark, sf_dir, "events").select("event_id", F.concat(event, F.lit(",")).alias("value"))
+    # Every file ends with an event that is not counted.
+    files = in_files(body, "event_id", path, "[", '{"event_id": 0}]')
+    path += "/*/"
     name = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(name)
-    spark.conf.set(name, "8k")
+    spark.conf.set(name, str(split_bytes(spark, path)))
     try:
         tasks = spark.read.text(path, lineSep="}").rdd.getNumPartitions()
         raw = stored(readers.read_any_json(spark, [path]))
     finally:
         spark.conf.set(name, before)
-    return raw.agg((F.count(F.lit(1)) - 1).alias("n"), F.sum("event_id").alias("ids"), F.lit(tasks > 1).alias("several_tasks"))
+    return raw.agg((F.count(F.lit(1)) - files).alias("n"), F.sum("event_id").alias("ids"), F.lit(tasks > files).alias("several_tasks"))
 
 
 @query(

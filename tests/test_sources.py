@@ -300,3 +300,18 @@ def test_files_of_a_large_table_are_several_with_ends_and_few_splits(spark, tmp_
     assert {(t[0], t[-1]) for t in texts} == {("[", '{"a": ""}]')}
     largest = max(p.stat().st_size for p in (tmp_path / "a").glob("*/part-*"))
     assert largest // 16 == s.split_bytes(spark, path + "/*/") > s.SPLIT_BYTES
+
+
+def test_line_numbers_of_a_table_in_several_files(spark, tmp_path, monkeypatch):
+    from vigilog.plans import source_queries as s
+
+    monkeypatch.setattr(s, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = spark.createDataFrame([("a\nb",), (None,), ("",), ("c",), ("d",)], "text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        row = s.line_numbers(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tuple(row) == (5, 15)
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1

@@ -129,9 +129,12 @@ def text_reader(spark, sf_dir) -> DataFrame:
 def line_numbers(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "lines")
     documents = read_table(spark, sf_dir, "documents")
-    documents.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).coalesce(1).write.text(path)
-    return readers.numbered_lines(spark, [path]).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("LineNumber").alias("number_sum")
+    documents.select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(path)
+    # The numbers of a file begin after the lines of the files before it: a row for each file.
+    files = readers.numbered_lines(spark, [path]).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.sum("LineNumber").alias("numbers"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files.select("n", (F.col("numbers") + F.col("n") * earlier).alias("numbers")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.sum("numbers").alias("number_sum")
     )
 
 

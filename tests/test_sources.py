@@ -315,3 +315,15 @@ def test_line_numbers_of_a_table_in_several_files(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert tuple(row) == (5, 15)
     assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+
+
+def test_layouts_of_a_large_log_are_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    from vigilog.plans import source_queries as s
+
+    names = ["row", "EventID", "Level", "TimeCreated", "Computer", "User", "IP", "Channel", "RawLog"]
+    monkeypatch.setattr(s, "scratch", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(s, "exported", lambda spark, sf_dir: spark.range(200_001).select(F.col("id").alias("row"), *[F.lit("1").alias(n) for n in names[1:]]))
+    df = s.json_reader(spark, "")
+    assert df.agg(F.count("row"), F.countDistinct("row")).first() == (200_001, 200_001)
+    assert len(list((tmp_path / "json" / "ones.json").glob("row=*"))) <= 1000
+    assert len(list((tmp_path / "json" / "arrays.json").glob("part=*"))) <= 101

@@ -89,11 +89,13 @@ def json_reader(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "json")
     log = exported(spark, sf_dir)
     log.filter("row % 2 = 0").write.json(path + "/lines.json")
-    single = F.col("row") % 100 == 1
+    # About a thousand files of either kind at most.
+    scale = max(1, -(-log.count() // 100_000))
+    single = F.col("row") % (100 * scale) == 1
     event = F.to_json(F.struct(*log.columns))
     odd = log.filter("row % 2 = 1")
-    # One array for each thousand rows and one file for each single event.
-    arrays = odd.filter(~single).groupBy(F.floor(F.col("row") / 1000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ",\n"), F.lit("]")).alias("value"))
+    # One array for each thousand rows (more of them in a large log) and one file for each single event.
+    arrays = odd.filter(~single).groupBy(F.floor(F.col("row") / min(1000 * scale, 100_000)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(event), ",\n"), F.lit("]")).alias("value"))
     arrays.write.partitionBy("part").text(path + "/arrays.json")
     ones = odd.filter(single).select("row", F.regexp_replace(event, "^[{]", "{\n").alias("value"))
     ones.write.partitionBy("row").text(path + "/ones.json")

@@ -327,3 +327,14 @@ def test_layouts_of_a_large_log_are_a_bounded_number_of_files(spark, tmp_path, m
     assert df.agg(F.count("row"), F.countDistinct("row")).first() == (200_001, 200_001)
     assert len(list((tmp_path / "json" / "ones.json").glob("row=*"))) <= 1000
     assert len(list((tmp_path / "json" / "arrays.json").glob("part=*"))) <= 101
+
+
+def test_names_of_model_columns_store_no_rows(spark, sf_dir, monkeypatch):
+    from vigilog.plans import fact_queries, scored
+
+    def never(*_):
+        raise AssertionError("the feature table is computed")
+
+    monkeypatch.setattr(scored, "stored", never)
+    monkeypatch.setattr(scored, "_tables", {})
+    assert [r["feature"] for r in fact_queries.feature_names(spark, sf_dir).collect()] == fact_queries.MODEL_COLUMNS

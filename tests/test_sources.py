@@ -338,3 +338,13 @@ def test_names_of_model_columns_store_no_rows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(scored, "stored", never)
     monkeypatch.setattr(scored, "_tables", {})
     assert [r["feature"] for r in fact_queries.feature_names(spark, sf_dir).collect()] == fact_queries.MODEL_COLUMNS
+
+
+def test_log_is_spread_by_its_rows(spark, sf_dir, monkeypatch):
+    from vigilog import session
+    from vigilog.sources.shared_tables import security_log
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100, raising=False)
+    log = security_log(spark, sf_dir)
+    assert log.rdd.getNumPartitions() >= 10
+    assert log.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()

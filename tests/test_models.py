@@ -355,3 +355,35 @@ def test_supervised_round_trip(spark, tmp_path):
     order = ["id", *supervised.RESULTS]
     assert sorted(map(tuple, detector.predict(new).select(order).collect())) == sorted(map(tuple, again.predict(new).select(order).collect()))
     assert {r["AttackType"] for r in detector.predict(new).filter("Anomaly = 1").collect()} == {"brute_force", "persistence"}
+
+
+def test_rows_of_the_fit_are_scored_without_a_search(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vigilog.operators import neighbours
+
+    x = np.random.default_rng(5).normal(size=(300, 4)).round(1)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "record_id long, a double, b double, c double, d double")
+    model = neighbours.fit_local_outliers(df, ["a", "b", "c", "d"])
+    rows = df.select(F.col("record_id") + 1000, F.array("a", "b", "c", "d")).toDF("record_id", "x")
+    own = {r[0] + 1000: r[1] for r in model.own_scores().collect()}
+    points = []
+    factors = neighbours.LocalOutliers._factors
+    monkeypatch.setattr(neighbours.LocalOutliers, "_factors", lambda self, p: points.append(p.count()) or factors(self, p))
+    assert {r[0]: r[1] for r in model.scores(rows).collect()} == own and not points
+    new = rows.unionAll(spark.createDataFrame([(1, [9.0, 9.0, 9.0, 9.0]), (2, [9.0, 9.0, 9.0, 9.0])], "record_id long, x array<double>"))
+    scores = {r[0]: r[1] for r in model.scores(new).collect()}
+    assert points == [1] and len(scores) == 302
+    assert scores[1] == scores[2] > 2 and all(scores[i] == s for i, s in own.items())
+
+
+def test_searched_rows_score_like_the_fit(spark):
+    from vigilog.operators import neighbours
+
+    x = np.random.default_rng(6).normal(size=(400, 3))[np.r_[:400, :60]]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "record_id long, a double, b double, c double")
+    model = neighbours.fit_local_outliers(df, ["a", "b", "c"])
+    found = {r["id"]: r["factor"] for r in model._factors(model.reference.select("id", "x", "w")).collect()}
+    own = {r["id"]: r["own"] for r in model.reference.collect()}
+    assert found.keys() == own.keys()
+    assert all(abs(found[i] - own[i]) < 1e-9 * own[i] for i in own)

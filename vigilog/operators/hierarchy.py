@@ -64,9 +64,12 @@ def trees(forest: DataFrame, size: int) -> DataFrame:
 
 
 def spanning_forest(links: DataFrame, most: int = 0) -> DataFrame:
-    """The links ``a``, ``b``, ``w`` of the minimum spanning forest; ``links`` has each pair once."""
+    """The links ``a``, ``b``, ``w`` of the minimum spanning forest; ``links`` has each pair once.
+
+    A link of a point with itself is in no forest.
+    """
     most = most or LINKS
-    rest = stored(links.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
+    rest = stored(links.filter("a <> b").select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
     chosen = []
     while (count := rest.count()) > most:
         link = F.struct("w", "a", "b").alias("link")

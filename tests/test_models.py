@@ -1,6 +1,7 @@
 """Fitted models: planted outliers, brute-force neighbours, additivity, components."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,3 +388,31 @@ def test_searched_rows_score_like_the_fit(spark):
     own = {r["id"]: r["own"] for r in model.reference.collect()}
     assert found.keys() == own.keys()
     assert all(abs(found[i] - own[i]) < 1e-9 * own[i] for i in own)
+
+
+def test_walks_are_bounded_and_add_up_as_one_by_one():
+    from vigilog.operators import isolation
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 7))
+    nodes = [(t, *n) for t in range(40) for n in isolation.grow(x[draw.choice(300, 64)], np.arange(7), 6, np.random.default_rng(t))]
+    layout = isolation.Layout.of(pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "path", "samples"]), 64)
+    result, before = np.zeros(x.shape), None
+    for node, feature in layout.walk(x):
+        path = layout.path[np.arange(40), node]
+        if feature is not None:
+            np.add.at(result, (np.arange(300)[:, None], feature), before - path)
+        before = path
+    assert (layout.attribute(x) == result / 40).all()
+    assert (layout.score(x) == 2.0 ** (-before.mean(axis=1) / layout.norm)).all()
+    assert isolation.CHUNK * 200 * 8 <= 1 << 18  # one number for each row and tree
+
+
+@pytest.mark.parametrize("algorithm", detection.ALGORITHMS)
+def test_the_feature_array_is_stored_in_a_narrow_table(spark, monkeypatch, algorithm):
+    _, df = points(spark)
+    tables, stored = [], detection.stored
+    monkeypatch.setattr(detection, "stored", lambda t: tables.append(t.columns) or stored(t))
+    found = detection.fit_predict(df, NAMES, algorithm)[1]
+    assert found.count() == df.count() and set(df.columns) < set(found.columns) and "_x" not in found.columns
+    assert all(len(c) == 2 for c in tables if "_x" in c)

@@ -416,3 +416,24 @@ def test_the_feature_array_is_stored_in_a_narrow_table(spark, monkeypatch, algor
     found = detection.fit_predict(df, NAMES, algorithm)[1]
     assert found.count() == df.count() and set(df.columns) < set(found.columns) and "_x" not in found.columns
     assert all(len(c) == 2 for c in tables if "_x" in c)
+
+
+def test_both_classifiers_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    _, df = points(spark, 120, 40)
+    kind = F.when(F.col("record_id") >= 40, "normal").when(F.col("record_id") < 20, "x").otherwise("y")
+    label = F.when(F.col("record_id") < 40, "anomaly").otherwise("normal")
+    rows = df.select(F.col("record_id").alias("id"), *NAMES, label.alias("label"), kind.alias("attack_type"))
+    both, made = threading.Barrier(2, timeout=60), supervised.classifier
+    monkeypatch.setattr(supervised, "classifier", lambda *a, **k: both.wait() >= 0 and made(*a, **k))
+    detector = supervised.fit_supervised(supervised.labelled_frame(rows, NAMES), NAMES)
+    assert detector.attack is not None and len(detector.anomaly.stages) == 3
+
+
+def test_training_rows_lie_in_a_partition_per_core(spark, monkeypatch):
+    monkeypatch.setattr(supervised, "PARTITION_ROWS", 10)
+    rows = spark.range(1000).repartition(40).withColumn("Label", (F.col("id") % 2).cast("int"))
+    assert supervised.balanced(rows, "Label").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(supervised, "MOST_ROWS", 50)
+    assert supervised.balanced(rows, "Label").rdd.getNumPartitions() == 20

@@ -4,8 +4,10 @@ classifier of the attack type."""
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
@@ -71,21 +73,23 @@ def classifier(model: str, label: str, features: str, weight: str | None = None,
     raise ValueError(f"unknown model type: {model}")
 
 
-# A training partition should hold at least this many rows.
+# A training partition should hold at least this many rows, and more while there is one for every core, up to the second number.
 PARTITION_ROWS = 20_000
+MOST_ROWS = 200_000
 
 
 def balanced(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weights that give every class the same total.
 
-    Boosting runs several jobs per round, so small data is packed into few partitions.
+    Boosting runs several jobs per round, so small data is packed into few partitions, and larger
+    data into one per core: more would only add tasks to each of a thousand short stages.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
     rows = sum(counts.values())
     weight = F.lit(1.0)
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, rows / (len(counts) * n)).otherwise(weight)
-    parts = max(1, rows // PARTITION_ROWS)
+    parts = max(1, min(rows // PARTITION_ROWS, max(df.sparkSession.sparkContext.defaultParallelism, rows // MOST_ROWS)))
     packed = df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
     return packed.withColumn(name, weight)
 
@@ -168,32 +172,49 @@ def confidence_level(probability: Column, attack: Column) -> Column:
 
 
 def fit_anomaly_classifier(train: DataFrame, features: list[str], model: str) -> PipelineModel:
-    stages = [*assembled(features), classifier(model, "Label", "features", "weight")]
-    return Pipeline(stages=stages).fit(balanced(train, "Label"))
+    rows = balanced(train, "Label")
+    return fit_last(Pipeline(stages=assembled(features)).fit(rows), rows, model)
+
+
+def fit_last(scaling: PipelineModel, rows: DataFrame, model: str) -> PipelineModel:
+    """The anomaly classifier after stages that are fitted on the same balanced rows."""
+    last = classifier(model, "Label", "features", "weight").fit(scaling.transform(rows))
+    return PipelineModel(stages=[*scaling.stages, last])
 
 
 def fit_supervised(train: DataFrame, features: list[str], model: str = "random_forest") -> SupervisedDetector:
     """Fit on ``labelled_frame`` rows. A class of attack that was not seen in training is
-    kept as an own index by the indexer instead of failing."""
+    kept as an own index by the indexer instead of failing.
+
+    Both classifiers need the scaled features only, not each other. They are fitted at the same
+    time, since the short stages of one alone keep few cores busy.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model type: {model}")
-    anomaly = fit_anomaly_classifier(train, features, model)
-    attacks = train.filter("Label = 1")
+    rows = balanced(train, "Label")
+    scaling = Pipeline(stages=assembled(features)).fit(rows)
+    with ThreadPoolExecutor(1) as pool:
+        anomaly = pool.submit(inheritable_thread_target(train.sparkSession)(fit_last), scaling, rows, model)
+        attack = fit_attack_classifier(train.filter("Label = 1"), scaling, model)
+        return SupervisedDetector(model, features, anomaly.result(), attack)
+
+
+def fit_attack_classifier(attacks: DataFrame, scaling: PipelineModel, model: str) -> PipelineModel | None:
+    """The classifier of the attack type on the true anomalies; none without any."""
     kinds = [r[0] for r in attacks.select("AttackType").distinct().orderBy("AttackType").collect()]
     if not kinds:
-        return SupervisedDetector(model, features, anomaly, None)
+        return None
     indexer = StringIndexer(
         inputCol="AttackType", outputCol="attack_index", handleInvalid="keep", stringOrderType="alphabetAsc"
     ).fit(attacks)
-    scaled = anomaly.stages[1]
-    parts = indexer.transform(scaled.transform(anomaly.stages[0].transform(attacks)))
+    parts = indexer.transform(scaling.transform(attacks))
     attack_model = classifier(model, "attack_index", "features", "weight_attack", len(kinds), "_attack").fit(
         balanced(parts, "attack_index", "weight_attack")
     ) if len(kinds) > 1 else None
     if attack_model is None:
-        return SupervisedDetector(model, features, anomaly, single_class(kinds[0], attacks))
+        return single_class(kinds[0], attacks)
     names = IndexToString(inputCol="prediction_attack", outputCol="attack_name", labels=indexer.labels + ["unknown"])
-    return SupervisedDetector(model, features, anomaly, PipelineModel(stages=[attack_model, names]))
+    return PipelineModel(stages=[attack_model, names])
 
 
 def single_class(kind: str, rows: DataFrame) -> PipelineModel:

@@ -437,3 +437,28 @@ def test_training_rows_lie_in_a_partition_per_core(spark, monkeypatch):
     assert supervised.balanced(rows, "Label").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(supervised, "MOST_ROWS", 50)
     assert supervised.balanced(rows, "Label").rdd.getNumPartitions() == 20
+
+
+def test_cells_are_found_by_tasks_that_hold_all_centres(spark, monkeypatch):
+    from vigilog.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAF", 32)
+    monkeypatch.setattr(neighbours, "CENTRES", 6)
+    x = np.random.default_rng(2).normal(size=(700, 4))
+    points = stored(spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(x)], "id long, x array<double>, w long"))
+
+    def cells():
+        homes, levels = neighbours.divided(points, 4)
+        own = {(r["id"], r["node"]) for r in homes.collect()}
+        near = {(r["id"], r["node"]) for r in neighbours.probed(points, levels, 3, 4, homes).collect()}
+        known = {(r["id"], r["node"], tuple(r["x"]), r["w"]) for r in neighbours.at_home(points, levels, 4, homes).collect()}
+        return len(levels), own, near, known
+
+    held = cells()
+    assert held[0] > 2 and held[1] < held[2] and len(held[2]) >= 2100 and {k[:2] for k in held[3]} == held[1]
+    sent = neighbours._descended
+    monkeypatch.setattr(neighbours, "_descended", None)
+    assert cells() == held  # no point is sent
+    monkeypatch.setattr(neighbours, "_descended", sent)
+    monkeypatch.setattr(neighbours, "HELD", 0)
+    assert cells() == held  # the same cells if points are sent

@@ -462,3 +462,11 @@ def test_cells_are_found_by_tasks_that_hold_all_centres(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_descended", sent)
     monkeypatch.setattr(neighbours, "HELD", 0)
     assert cells() == held  # the same cells if points are sent
+
+
+def test_points_with_equal_ids_are_joined_as_before(spark):
+    from vigilog.operators import neighbours
+
+    points = stored(spark.createDataFrame([(1, [0.0], 1), (1, [1.0], 1), (2, [2.0], 1)], "id long, x array<double>, w long"))
+    assert neighbours._held(points, [], 1) is None and neighbours._held(points.filter("id = 2"), [], 1) == []
+    assert sorted(r["id"] for r in neighbours.at_home(points, [], 1, points.select("id", F.lit(0).alias("node"))).collect()) == [1] * 4 + [2]

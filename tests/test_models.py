@@ -249,6 +249,82 @@ def test_spanning_forest_is_the_one_of_sorted_links(spark, most):
     assert {tuple(r) for r in spanning_forest(df, most).collect()} == expected
 
 
+def lattice(seed, rows=600):
+    """Points in three far groups with links, cells along the first axis (some points have none), and the forest by sorted links."""
+    x = np.random.default_rng(seed).normal(size=(rows, 2)).round(1) + np.repeat([[0, 0], [50, 0], [0, 90]], rows // 3, axis=0)
+    links = links_of(x, 6)
+    cells = [(i, int(c)) for i, c in enumerate(x[:, 0] * 2) if i % 11]
+    above, forest = list(range(rows)), set()
+
+    def top(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for (a, b), w in sorted(links, key=lambda e: (e[1], *e[0])):
+        if top(a) != top(b):
+            above[top(a)] = top(b)
+            forest.add((a, b, w))
+    whole = {i: min(j for j in range(rows) if top(j) == top(i)) for i in range(rows)}
+    return links, cells, forest, whole
+
+
+@pytest.mark.parametrize("ends,most,large", [(100, 200, 10**6), (400, 600, 10**6), (100, 200, 150), (400, 30, 10**6)])
+def test_forest_by_chunks_of_cells_is_the_one_of_sorted_links(spark, monkeypatch, ends, most, large):
+    """Also with cells that hold too many links for a chunk, and where Boruvka rounds follow."""
+    from vigilog.operators import hierarchy
+
+    links, cells, expected, _ = lattice(ends + most)
+    monkeypatch.setattr(hierarchy, "ENDS", ends)
+    monkeypatch.setattr(hierarchy, "LINKS", large)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links], "a long, b long, w double")
+    places = spark.createDataFrame(cells, "id long, node long")
+    assert {tuple(r) for r in hierarchy.spanning_forest(df, most, places).collect()} == expected
+
+
+def test_cells_spare_rounds_over_all_links(spark, monkeypatch):
+    from vigilog.operators import hierarchy
+
+    def fails(*_):
+        raise AssertionError("components of all links")
+
+    links, _, expected, _ = lattice(8)
+    monkeypatch.setattr(hierarchy, "ENDS", 2500)
+    monkeypatch.setattr(hierarchy, "components", fails)
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in links], "a long, b long, w double")
+    places = spark.createDataFrame([(i, i // 200) for i in range(600)], "id long, node long")
+    assert {tuple(r) for r in hierarchy.spanning_forest(df, 700, places).collect()} == expected
+
+
+def test_trees_by_chunks_of_cells(spark, monkeypatch):
+    from vigilog.operators import hierarchy
+
+    _, cells, forest, whole = lattice(5)
+    monkeypatch.setattr(hierarchy, "ENDS", 60)
+    monkeypatch.setattr(hierarchy, "LINKS", 300)
+    df = spark.createDataFrame(list(forest), "a long, b long, w double")
+    rows = hierarchy.trees(df, len(forest), spark.createDataFrame(cells, "id long, node long")).collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    assert {r["node"]: r["component"] for r in rows} == {i: t for i, t in whole.items() if any(i in (a, b) for a, b, _ in forest)}
+
+
+def test_one_tree_grows_the_forest_once(spark, monkeypatch):
+    """Groups far from each other, in pairs, need two rounds of bridges; the forest is that of all links."""
+    from vigilog.operators import hierarchy
+
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal((c, d), 0.1, size=(30, 2)) for c, d in ((0, 0), (5, 0), (900, 0), (905, 0), (0, 3000))])
+    points = stored(spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "id long, x array<double>, w long"))
+    core = stored(spark.createDataFrame([(i, 0.0) for i in range(len(x))], "id long, core double"))
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in links_of(x, 8)], "a long, b long, w double")
+    forest, grown = hierarchy.spanning_forest(links), []
+    monkeypatch.setattr(clusters.hierarchy, "spanning_forest", lambda f, *a, g=hierarchy.spanning_forest, **k: grown.append(f) or g(f, *a, **k))
+    whole = clusters._one_tree(points, 2, core, forest, points.selectExpr("id", "id div 40 AS node"))
+    assert len(grown) == 1 and whole.count() == len(x) - 1
+    assert hierarchy.trees(whole, len(x) - 1).select("component").distinct().count() == 1
+    assert {tuple(r) for r in forest.collect()} <= {tuple(r) for r in whole.collect()}
+
+
 def chosen_clusters(links, weights, smallest):
     """The hierarchy from the top: groups are parted at their longest link, again and again."""
 

@@ -50,36 +50,50 @@ def cluster_sizes(rows: int, minimum: int = 5) -> tuple[int, int]:
     return size, max(1, min(3, size // 2))
 
 
-def _one_tree(points: DataFrame, width: int, core: DataFrame, forest: DataFrame) -> DataFrame:
+def _asked_points(placed: DataFrame) -> DataFrame:
+    """The first ``BRIDGES`` points of every tree, by hash."""
+    order = Window.partitionBy("tree").orderBy(F.xxhash64("id"), "id")
+    return placed.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= BRIDGES).drop("_place")
+
+
+def _one_tree(points: DataFrame, width: int, core: DataFrame, forest: DataFrame, places: DataFrame) -> DataFrame:
     """The forest joined to one tree, so that the density at which its parts fall asunder is known.
 
     ``BRIDGES`` points of every tree, chosen by hash, are searched among each other with lists
-    that are longer than that, so every tree is joined with another one in each round.
+    that are longer than that, so every tree is joined with another one in each round. The points of
+    a joined tree are among those of its parts, and the forest is grown once, with all that were found.
     """
-    size = points.count()
-    while (links := forest.count()) < size - 1:
-        labels = hierarchy.trees(forest, links)
-        placed = points.select("id", "x").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("tree", F.coalesce("component", "id"))
-        some = placed.withColumn("_place", F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64("id"), "id"))).filter(F.col("_place") <= BRIDGES)
-        some = stored(some.select("id", "x", F.lit(1).cast("long").alias("w"), "tree"))
-        near = neighbours.searched(some.drop("tree"), width, BRIDGES + DIRECT, by_rows=False).near
+    links = forest.count()
+    if links >= points.count() - 1:
+        return forest
+    labels = hierarchy.trees(forest, links, places)
+    placed = points.select("id", "x").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("tree", F.coalesce("component", "id"))
+    some = stored(_asked_points(placed.select("id", "x", F.lit(1).cast("long").alias("w"), "tree")).join(core, "id"))
+    found, last = forest, None
+    while 1 < (left := some.select("tree").distinct().count()) != last:
+        near = neighbours.searched(some.select("id", "x", "w"), width, BRIDGES + DIRECT, by_rows=False).near
         edges = near.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d")
         for end, other in (("id", "_a"), ("nb", "_b")):
-            edges = edges.join(some.join(core, "id").select(F.col("id").alias(end), F.col("tree").alias(f"{other}_tree"), F.col("core").alias(f"{other}_core")), end)
-        bridges = edges.filter("_a_tree <> _b_tree").select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), F.greatest("d", "_a_core", "_b_core").alias("w"))
-        forest = hierarchy.spanning_forest(forest.unionAll(bridges.groupBy("a", "b").agg(F.min("w").alias("w"))))
-    return forest
+            edges = edges.join(some.select(F.col("id").alias(end), F.col("tree").alias(f"{other}_tree"), F.col("core").alias(f"{other}_core")), end)
+        bridges = stored(edges.filter("_a_tree <> _b_tree").select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), F.greatest("d", "_a_core", "_b_core").alias("w"), "_a_tree", "_b_tree"))
+        found = found.unionAll(bridges.groupBy("a", "b").agg(F.min("w").alias("w")))
+        pairs = stored(bridges.select(F.least("_a_tree", "_b_tree").alias("a"), F.greatest("_a_tree", "_b_tree").alias("b")).distinct())
+        joined = hierarchy.trees(pairs, pairs.count()).toDF("tree", "whole")
+        some = stored(_asked_points(some.join(joined, "tree", "left").withColumn("tree", F.coalesce("whole", "tree")).drop("whole")))
+        last = left
+    return hierarchy.spanning_forest(found, places=places)
 
 
 def point_clusters(points: DataFrame, width: int, smallest: int, samples: int) -> DataFrame:
     """``id`` and ``Cluster`` of weighted points ``id``, ``x``, ``w`` (stored)."""
-    near = neighbours.searched(points, width, JOINED + 1, by_rows=False).near
+    graph = neighbours.searched(points, width, JOINED + 1, by_rows=False)
+    near, places = graph.near, graph.homes
     core = stored(neighbours.counted(near, samples, True).select("id", F.coalesce(F.array_max("used.d"), F.lit(0.0)).alias("core")))
     edges = near.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.d").filter("id <> nb")
     ends = core.select(F.col("id").alias("nb"), F.col("core").alias("far"))
     links = edges.join(core, "id").join(ends, "nb").select(F.least("id", "nb").alias("a"), F.greatest("id", "nb").alias("b"), F.greatest("d", "core", "far").alias("w"))
-    forest = hierarchy.spanning_forest(links.groupBy("a", "b").agg(F.min("w").alias("w")))
-    forest = _one_tree(points, width, core, forest)
+    forest = hierarchy.spanning_forest(links.groupBy("a", "b").agg(F.min("w").alias("w")), places=places)
+    forest = _one_tree(points, width, core, forest, places)
     found = stored(hierarchy.density_hierarchy(points.select("id", "w"), forest, smallest).join(points.select("id", "w"), "id"))
     sizes = found.filter("cluster is not null").groupBy("cluster").agg(F.sum("w").alias("size"))
     numbers = hierarchy.numbered(sizes, F.desc("size"), "cluster").select("cluster", "number")

@@ -1,9 +1,12 @@
 """Spanning forests of weighted links, and clusters of unlike density from their hierarchy.
 
-The minimum spanning forest is grown by Boruvka rounds: every component takes its lightest link,
-the components that these join become one, and links inside a component go. Once the links that
-are left fit in one bounded task, it takes them in ascending order; the forest is the same, since
-links are ordered by weight and ends, without ties.
+The minimum spanning forest is grown by rounds. Where the cells of the points are known, each chunk of
+cells takes its links and those that lead out of it in ascending order: a group takes its lightest link,
+until that is one that leads out, and the heaviest link of a circle goes. What is left joins the groups,
+and chunks become larger. Without cells, or if they leave too many links, Boruvka rounds follow: every
+component takes its lightest link, the components that these join become one, and links inside a
+component go. Once the links that are left fit in one bounded task, it takes them in ascending order;
+the forest is the same, since links are ordered by weight and ends, without ties.
 
 Read in ascending order, the forest's links merge groups. A group that reaches the smallest size is
 a cluster; two clusters that meet are the children of a new one; points of smaller groups join a
@@ -26,20 +29,29 @@ from vigilog.operators.components import components
 from vigilog.session import pinned, stored
 
 LINKS = 1_000_000
+# Ends of links in one chunk of cells, about.
+ENDS = 400_000
 
 
-def _find(above: dict[int, int], i: int) -> int:
-    while (up := above.setdefault(i, i)) != i:
-        above[i] = above.setdefault(up, up)
+def _find(above: list[int], i: int) -> int:
+    while (up := above[i]) != i:
+        above[i] = above[up]
         i = above[i]
     return i
 
 
+def _numbers(*columns: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The different values of the columns in order, where each comes first, and the columns as numbers of these values."""
+    names, first, at = np.unique(np.concatenate([c.to_numpy() for c in columns]), return_index=True, return_inverse=True)
+    return names, first, [x.tolist() for x in np.split(at, len(columns))]
+
+
 def _kruskal(links: pa.Table) -> pa.Table:
     links = links.sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
-    above: dict[int, int] = {}
+    names, _, (us, vs) = _numbers(links.column("u"), links.column("v"))
+    above = list(range(len(names)))
     kept = []
-    for i, (u, v) in enumerate(zip(links.column("u").to_pylist(), links.column("v").to_pylist(), strict=True)):
+    for i, (u, v) in enumerate(zip(us, vs, strict=True)):
         u, v = _find(above, u), _find(above, v)
         if u != v:
             above[u] = v
@@ -48,30 +60,118 @@ def _kruskal(links: pa.Table) -> pa.Table:
 
 
 def _trees(links: pa.Table) -> pa.Table:
-    above: dict[int, int] = {}
-    for u, v in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+    names, _, (us, vs) = _numbers(links.column("a"), links.column("b"))
+    above = list(range(len(names)))
+    for u, v in zip(us, vs, strict=True):
         u, v = _find(above, u), _find(above, v)
         above[max(u, v)] = min(u, v)
-    nodes = list(above)
-    return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([_find(above, x) for x in nodes], pa.int64())})
+    return pa.table({"node": names, "component": names[[_find(above, i) for i in range(len(names))]]})
 
 
-def trees(forest: DataFrame, size: int) -> DataFrame:
-    """``node`` and ``component`` of the stored ``size`` links of a forest."""
-    if size > LINKS:
+def trees(forest: DataFrame, size: int, places: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``component``, its smallest node, of the stored ``size`` links of a forest; ``places``: ``id``, ``node``, the cells of its points."""
+    if size <= LINKS:
+        return stored(forest.groupBy(F.lit("all")).applyInArrow(_trees, "node long, component long"))
+    if places is None:
         return components(forest)
-    return stored(forest.groupBy(F.lit("all")).applyInArrow(_trees, "node long, component long"))
+    # The trees of each chunk, then those that share a point.
+    links = _chunked(forest, places, LINKS)[0].select("a", "b", F.coalesce("cu", "cv", F.pmod(F.xxhash64("a"), F.lit(1000)) - 1000).alias("chunk"))
+    parts = stored(links.groupBy("chunk").applyInArrow(_trees, "node long, component long"))
+    shared = parts.groupBy("node").count().filter("count > 1").select("node")
+    met = components(parts.join(shared, "node"), "node", "component").toDF("component", "whole")
+    return stored(parts.join(met, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).distinct())
+
+
+def _chunked(links: DataFrame, places: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Stored ``links`` with the groups ``u``, ``v`` of the ends, at first the ends, and their chunks ``cu``, ``cv``, and the number of chunks.
+
+    Chunks are runs of cells. Ends without a cell, or in one of more than ``most`` ends, are in no chunk.
+    """
+    cell = places.groupBy("id").agg(F.min("node").alias("cell"))
+    placed = stored(links.select("a", "b", "w").join(cell.toDF("a", "pu"), "a", "left").join(cell.toDF("b", "pv"), "b", "left"))
+    cells = placed.select(F.col("pu").alias("cell")).unionAll(placed.select("pv")).filter("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    # One row per cell.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = stored(cells.withColumn("chunk", F.floor(before / ENDS)).filter(F.col("n") <= most).select("cell", "chunk"))
+    for own, name in (("pu", "cu"), ("pv", "cv")):
+        placed = placed.join(F.broadcast(cells.toDF(own, name)), own, "left")
+    return placed.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v"), "cu", "cv"), 1 + (cells.agg(F.max("chunk")).first()[0] or 0)
+
 
+GROUPED = "a long, b long, w double, u long, v long, cu long, cv long"
+_grouped = pa.schema([(n, pa.float64() if n == "w" else pa.int64()) for n in ("a", "b", "w", "u", "v", "cu", "cv")] + [("chosen", pa.bool_())])
 
-def spanning_forest(links: DataFrame, most: int = 0) -> DataFrame:
+
+def _contracted(links: pa.Table) -> pa.Table:
+    """The links of a chunk that are surely in the forest, and those that are left between its groups and to others."""
+    own = links.column("chunk")[0].as_py()
+    links = links.sort_by([("w", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    names, _, (us, vs) = _numbers(links.column("u"), links.column("v"))
+    cu, cv = (links.column(n).to_pylist() for n in ("cu", "cv"))
+    above = list(range(len(names)))
+    reached = list(above)  # by any links
+    led_out: set[int] = set()
+    chosen, left = [], []
+    for i, (u, v) in enumerate(zip(us, vs, strict=True)):
+        x, y = _find(reached, u), _find(reached, v)
+        if x == y:  # the heaviest of a circle
+            continue
+        reached[x] = y
+        if cu[i] == own == cv[i]:
+            x, y = _find(above, u), _find(above, v)
+            if x in led_out and y in led_out:
+                left.append(i)
+                continue
+            if x in led_out:
+                x, y = y, x
+            above[x] = y
+            chosen.append(i)
+        else:
+            led_out.add(_find(above, u if cu[i] == own else v))
+            left.append(i)
+    # An end in another chunk gets its group there.
+    names = names.tolist()
+    ends = ([names[_find(above, end[i])] if c[i] == own else names[end[i]] if c[i] is None else None for i in left] for end, c in ((us, cu), (vs, cv)))
+    sure, rest = (links.take(pa.array(rows, pa.int64())) for rows in (chosen, left))
+    rest = [*(rest.column(n) for n in ("a", "b", "w")), *(pa.array(e, pa.int64()) for e in ends), rest.column("cu"), rest.column("cv"), pa.array([False] * len(left))]
+    sure = [*(sure.column(n) for n in _grouped.names[:-1]), pa.array([True] * len(chosen))]
+    return pa.concat_tables([pa.table(sure, schema=_grouped), pa.table(rest, schema=_grouped)])
+
+
+def _joined_chunks(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of the forest, and what is left of ``rest`` between groups, by one round over all chunks."""
+    copies = rest.filter("cu IS NOT NULL").withColumn("chunk", F.col("cu")).unionAll(rest.filter("cv IS NOT NULL AND NOT cu <=> cv").withColumn("chunk", F.col("cv")))
+    out = stored(copies.groupBy("chunk").applyInArrow(_contracted, GROUPED + ", chosen boolean"))
+    # A link goes if it is the heaviest of a circle in either chunk.
+    left = out.filter("NOT chosen").groupBy("a", "b").agg(*[F.max(n).alias(n) for n in ("w", "u", "v", "cu", "cv")], F.count(F.lit(1)).alias("n"))
+    left = left.filter("n = IF(cu <> cv, 2, 1)").drop("n")
+    return out.filter("chosen").select("a", "b", "w"), stored(left.unionByName(rest.filter("cu IS NULL AND cv IS NULL")))
+
+
+def spanning_forest(links: DataFrame, most: int = 0, places: DataFrame | None = None) -> DataFrame:
     """The links ``a``, ``b``, ``w`` of the minimum spanning forest; ``links`` has each pair once.
 
-    A link of a point with itself is in no forest.
+    A link of a point with itself is in no forest. ``places``: ``id``, ``node``, the cells of the points,
+    if neighbouring points are mostly in one cell or in cells of near numbers.
     """
     most = most or LINKS
     rest = stored(links.filter("a <> b").select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("v")))
     chosen = []
-    while (count := rest.count()) > most:
+    count = rest.count()
+    if count > most and places is not None:
+        rest, chunks = _chunked(rest, places, LINKS)
+        while count > most:
+            found, rest = _joined_chunks(rest)
+            chosen.append(found)
+            last, count = count, rest.count()
+            if count > last / 2:
+                break
+            wanted = -(-2 * count // ENDS)
+            if wanted < chunks:
+                rest = rest.withColumns({c: F.floor(F.col(c) * wanted / chunks) for c in ("cu", "cv")})
+                chunks = wanted
+        rest = rest.select("a", "b", "w", "u", "v")
+    while count > most:
         link = F.struct("w", "a", "b").alias("link")
         ends = rest.select(F.col("u").alias("node"), link).unionAll(rest.select(F.col("v").alias("node"), link))
         picked = stored(ends.groupBy("node").agg(F.min("link").alias("link")).select("link.*").distinct())
@@ -81,6 +181,7 @@ def spanning_forest(links: DataFrame, most: int = 0) -> DataFrame:
             rest = rest.join(joined.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("component", end)
         apart = rest.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         rest = stored(apart.agg(F.min(link).alias("link")).select("link.*", "u", "v"))
+        count = rest.count()
     if count:
         chosen.append(rest.groupBy(F.lit("all")).applyInArrow(_kruskal, "a long, b long, w double"))
     out = chosen[0] if chosen else links.select("a", "b", "w").limit(0)
@@ -107,66 +208,72 @@ MERGED = f"kind string, label long, cluster long, parent long, chosen boolean, n
 _merged = pa.schema([("kind", pa.string()), *((n, pa.int64()) for n in ("label", "cluster", "parent")), ("chosen", pa.bool_()), ("new", pa.int64()), ("rows", pa.int64()), ("total", pa.float64()), ("below", pa.float64())])
 
 
-class _Group:
-    """A group of points on the way up: the rows, the cluster that it is (if it is one), what the
-    cluster's rows have in densities, and the sum of the best clusters below."""
-
-    __slots__ = ("rows", "cluster", "total", "below", "labels")
-
-    def __init__(self, rows, cluster, total, below, label):
-        self.rows, self.cluster, self.total, self.below = rows, cluster, total, below
-        self.labels = [label] if cluster is None else []  # of the points that are in no cluster yet
-
-
 def _merging(smallest: int) -> Callable[[pa.Table], pa.Table]:
     def merging(links: pa.Table) -> pa.Table:
-        links = links.sort_by("number").to_pydict()
-        above: dict[int, int] = {}
-        groups: dict[int, _Group] = {}
-        out: list[dict] = []
-
-        def opened(group: _Group, name: int, density: float) -> None:
-            group.cluster, group.total, group.below = name, group.rows * density, 0.0
-            out.extend({"kind": "joined", "label": x, "cluster": name} for x in group.labels)
-            group.labels = []
-
-        def closed(group: _Group, parent: int, density: float) -> float:
-            lasts = group.total - group.rows * density
-            out.append({"kind": "cluster", "cluster": group.cluster, "parent": parent, "chosen": lasts >= group.below})
-            return max(lasts, group.below)
-
-        for i, (number, w) in enumerate(zip(links["number"], links["w"], strict=True)):
+        links = links.sort_by("number")
+        names, first, (us, vs) = _numbers(links.column("u"), links.column("v"))
+        # Groups of points on the way up, by the number of the point that leads them: the rows, the cluster that it
+        # is (if it is one), what the cluster's rows have in densities, and the sum of the best clusters below.
+        both = (pa.chunked_array([*links.column(f"u_{n}").chunks, *links.column(f"v_{n}").chunks]) for n in ("rows", "cluster", "total", "below"))
+        rows, cluster, total, below = (c.take(pa.array(first)).to_pylist() for c in both)
+        above = list(range(len(names)))
+        waiting = [[i] if c is None else [] for i, c in enumerate(cluster)]  # points in no cluster yet
+        joined: tuple[list, list] = [], []
+        closed: tuple[list, list, list] = [], [], []
+
+        def join(points: list[int], name: int) -> None:
+            joined[0].extend(points)
+            joined[1].extend([name] * len(points))
+
+        def opened(group: int, name: int, density: float) -> None:
+            cluster[group], total[group], below[group] = name, rows[group] * density, 0.0
+            join(waiting[group], name)
+            waiting[group] = []
+
+        def close(group: int, parent: int, density: float) -> float:
+            lasts = total[group] - rows[group] * density
+            for column, value in zip(closed, (cluster[group], parent, lasts >= below[group]), strict=True):
+                column.append(value)
+            return max(lasts, below[group])
+
+        for number, w, a, b in zip(links.column("number").to_pylist(), links.column("w").to_pylist(), us, vs, strict=True):
             density = 1.0 / max(w, 1e-12)
-            ends = []
-            for end in ("u", "v"):
-                label = links[end][i]
-                if label not in groups and label not in above:
-                    groups[label] = _Group(*(links[f"{end}_{n}"][i] for n in ("rows", "cluster", "total", "below")), label)
-                ends.append(_find(above, label))
-            a, b = (groups[x] for x in ends)
+            a, b = _find(above, a), _find(above, b)
             for j, group in enumerate((a, b)):
-                if group.cluster is None and group.rows >= smallest:  # many equal rows
+                if cluster[group] is None and rows[group] >= smallest:  # many equal rows
                     opened(group, 4 * number + j, density)
-            if a.cluster is None:
-                ends, a, b = ends[::-1], b, a
-            if b.cluster is not None:
+            if cluster[a] is None:
+                a, b = b, a
+            if cluster[b] is not None:
                 parent = 4 * number + 2
-                a.below = closed(a, parent, density) + closed(b, parent, density)
-                a.cluster, a.rows = parent, a.rows + b.rows
-                a.total = a.rows * density
-            elif a.cluster is not None:
-                a.rows, a.total = a.rows + b.rows, a.total + b.rows * density
-                out.extend({"kind": "joined", "label": x, "cluster": a.cluster} for x in b.labels)
+                below[a] = close(a, parent, density) + close(b, parent, density)
+                cluster[a], rows[a] = parent, rows[a] + rows[b]
+                total[a] = rows[a] * density
+            elif cluster[a] is not None:
+                rows[a], total[a] = rows[a] + rows[b], total[a] + rows[b] * density
+                join(waiting[b], cluster[a])
             else:
-                a.rows += b.rows
-                a.labels.extend(b.labels)
-                if a.rows >= smallest:
+                rows[a] += rows[b]
+                waiting[a].extend(waiting[b])
+                if rows[a] >= smallest:
                     opened(a, 4 * number + 2, density)
-            above[ends[1]] = ends[0]
-            del groups[ends[1]]
-        out.extend({"kind": "alias", "label": x, "new": _find(above, x)} for x in list(above) if _find(above, x) != x)
-        out.extend({"kind": "state", "label": x, "rows": g.rows, "cluster": g.cluster, "total": g.total, "below": g.below} for x, g in groups.items())
-        return pa.Table.from_pylist(out, _merged)
+            above[b] = a
+            waiting[b] = []
+
+        def table(kind: str, count: int, **columns) -> pa.Table:
+            columns["kind"] = [kind] * count
+            return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _merged], schema=_merged)
+
+        tops = [_find(above, i) for i in range(len(names))]
+        gone, left = [i for i, top in enumerate(tops) if top != i], [i for i, top in enumerate(tops) if top == i]
+        state = {n: [c[i] for i in left] for n, c in (("rows", rows), ("cluster", cluster), ("total", total), ("below", below))}
+        parts = [
+            table("joined", len(joined[0]), label=names.take(joined[0]), cluster=joined[1]),
+            table("cluster", len(closed[0]), cluster=closed[0], parent=closed[1], chosen=closed[2]),
+            table("alias", len(gone), label=names.take(gone), new=names.take([tops[i] for i in gone])),
+            table("state", len(left), label=names.take(left), **state),
+        ]
+        return pa.concat_tables(parts)
 
     return merging
 

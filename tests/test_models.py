@@ -296,12 +296,13 @@ def test_cells_spare_rounds_over_all_links(spark, monkeypatch):
     assert {tuple(r) for r in hierarchy.spanning_forest(df, 700, places).collect()} == expected
 
 
-def test_trees_by_chunks_of_cells(spark, monkeypatch):
+@pytest.mark.parametrize("ends,most", [(60, 300), (300, 500)])
+def test_trees_by_chunks_of_cells(spark, monkeypatch, ends, most):
     from vigilog.operators import hierarchy
 
     _, cells, forest, whole = lattice(5)
-    monkeypatch.setattr(hierarchy, "ENDS", 60)
-    monkeypatch.setattr(hierarchy, "LINKS", 300)
+    monkeypatch.setattr(hierarchy, "ENDS", ends)
+    monkeypatch.setattr(hierarchy, "LINKS", most)
     df = spark.createDataFrame(list(forest), "a long, b long, w double")
     rows = hierarchy.trees(df, len(forest), spark.createDataFrame(cells, "id long, node long")).collect()
     assert len(rows) == len({r["node"] for r in rows})
@@ -325,6 +326,16 @@ def test_one_tree_grows_the_forest_once(spark, monkeypatch):
     assert {tuple(r) for r in forest.collect()} <= {tuple(r) for r in whole.collect()}
 
 
+def test_one_tree_ends_where_ids_repeat(spark):
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(c, 0.1, size=(30, 2)) for c in (0.0, 50.0)])
+    rows = [(i, r.tolist(), 1) for i, r in enumerate(x)] + [(3, [0.5, 0.5], 1), (40, [49.5, 50.5], 1)]
+    points = stored(spark.createDataFrame(rows, "id long, x array<double>, w long"))
+    core = stored(spark.createDataFrame([(i, 0.0) for i in range(60)], "id long, core double"))
+    forest = stored(spark.createDataFrame([(a, b, w) for (a, b), w in links_of(x, 40) if b == a + 1], "a long, b long, w double").filter("a <> 29"))
+    assert clusters._one_tree(points, 2, core, forest, points.selectExpr("id", "0L AS node")).count() == 59
+
+
 def chosen_clusters(links, weights, smallest):
     """The hierarchy from the top: groups are parted at their longest link, again and again."""
 

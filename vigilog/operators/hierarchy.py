@@ -78,7 +78,8 @@ def trees(forest: DataFrame, size: int, places: DataFrame | None = None) -> Data
     links = _chunked(forest, places, LINKS)[0].select("a", "b", F.coalesce("cu", "cv", F.pmod(F.xxhash64("a"), F.lit(1000)) - 1000).alias("chunk"))
     parts = stored(links.groupBy("chunk").applyInArrow(_trees, "node long, component long"))
     shared = parts.groupBy("node").count().filter("count > 1").select("node")
-    met = components(parts.join(shared, "node"), "node", "component").toDF("component", "whole")
+    pairs = stored(parts.join(shared, "node").toDF("a", "b"))
+    met = trees(pairs, pairs.count()).toDF("component", "whole")
     return stored(parts.join(met, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).distinct())
 
 

@@ -67,6 +67,27 @@ def test_passages(spark, monkeypatch, most):
     assert got(repeats.without_repeats(df)) == sorted(brute(docs))
 
 
+def test_groups_stay_whole_beside_a_large_one(spark, monkeypatch):
+    # Joins become broadcast joins at run time only, and small tables keep their partitions, as on large input.
+    monkeypatch.setattr(repeats, "GROUP_ROWS", 6)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = {n: spark.conf.get(n, None) for n in names}
+    for name, value in zip(names, ("-1", "10m", "false"), strict=True):
+        spark.conf.set(name, value)
+    rng = np.random.default_rng(21)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    common = text(300)
+    docs = [text(150) + common + text(150) for _ in range(9)]
+    for _ in range(40):
+        passage = text(300)
+        docs += [text(150) + passage + text(150), text(90) + passage + text(210)]
+    try:
+        assert got(repeats.without_repeats(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))) == sorted(brute(docs))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()

@@ -130,15 +130,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slabs(batch, "text"):
             chosen = part.column("chosen").to_pylist()
             keys = part.column("text_key").to_pylist()
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for i, wanted in enumerate(chosen):
                 own = data[offsets[i] : offsets[i + 1]].tobytes() if wanted else b""
                 for x in wanted or ():
                     begin = max(x["place"] - BEFORE, 0)
-                    for column, value in zip(rows, (x["gram"], keys[i], x["place"], x["open"], x["place"] - begin, own[begin : x["place"] + LENGTH]), strict=True):
+                    for column, value in zip(rows, (x["gram"], keys[i], x["place"], x["open"], x["large"], x["place"] - begin, own[begin : x["place"] + LENGTH]), strict=True):
                         column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["gram", "text_key", "place", "open", "before", "bytes"])
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["gram", "text_key", "place", "open", "large", "before", "bytes"])
 
 
 def _window_runs(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,21 +241,23 @@ def repeat_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = stored(kinds.groupBy("gram").agg(F.count("*").alias("members"), F.bool_or(~F.col("settled")).alias("open")).filter("members > 1 AND open"))
     whole = places.join(kinds.filter("settled").select("gram", "segment"), ["gram", "segment"]).select("text_key", F.greatest(F.col("place") - BEFORE, F.lit(0)).cast("long").alias("start"), F.col("place").cast("long").alias("at"))
 
-    wanted = kinds.join(groups.select("gram"), "gram").select(F.col("one.text_key").alias("text_key"), F.struct(F.col("one.place").alias("place"), "gram", (~F.col("settled")).alias("open")).alias("x"))
+    sized = groups.select("gram", (F.col("members") > GROUP_ROWS).alias("large"))
+    wanted = kinds.join(sized, "gram").select(F.col("one.text_key").alias("text_key"), F.struct(F.col("one.place").alias("place"), "gram", (~F.col("settled")).alias("open"), "large").alias("x"))
     chosen = wanted.groupBy("text_key").agg(F.collect_list("x").alias("chosen"))
     sure = whole.groupBy("text_key").agg(F.collect_set(F.struct("start", "at")).alias("sure"))
     asked = chosen.join(sure, "text_key", "full").join(copies, "text_key").filter("chosen IS NOT NULL OR copies = 1")
     held = stored(texts.drop("doc_id", "text_key").join(asked, "row_key").select("text_key", "copies", "text", "chosen", "sure"))
 
-    pieces = held.filter("chosen IS NOT NULL").select("text_key", "text", "chosen").mapInArrow(_cut, "gram long, text_key long, place int, open boolean, before int, bytes binary")
-    large = groups.filter(F.col("members") > GROUP_ROWS)
+    pieces = held.filter("chosen IS NOT NULL").select("text_key", "text", "chosen").mapInArrow(_cut, "gram long, text_key long, place int, open boolean, large boolean, before int, bytes binary")
     spans = []
-    if large.isEmpty():
+    if sized.filter("large").isEmpty():
         small = pieces
     else:
+        # Told apart by a column: after a join by gram Spark leaves the repartition below out, and where that join
+        # turns into a broadcast join at run time, the rows of a gram end up in several tasks.
         pieces = stored(pieces)
-        small = pieces.join(large.select("gram"), "gram", "left_anti")
-        strings = pieces.join(large.select("gram"), "gram").select("text_key", "place", "open", "before", "bytes").mapInArrow(_strings, "string long, text_key long, start long, open boolean")
+        small = pieces.filter("NOT large")
+        strings = pieces.filter("large").select("text_key", "place", "open", "before", "bytes").mapInArrow(_strings, "string long, text_key long, start long, open boolean")
         strings = stored(strings)
         twice = strings.groupBy("string").agg(F.min(F.struct("text_key", "start")).alias("one"), F.max(F.struct("text_key", "start")).alias("other")).filter("one <> other").select("string")
         spans.append(strings.filter("open").join(twice, "string").select("text_key", "start", (F.col("start") + LENGTH).alias("end")))

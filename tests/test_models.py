@@ -557,3 +557,45 @@ def test_points_with_equal_ids_are_joined_as_before(spark):
     points = stored(spark.createDataFrame([(1, [0.0], 1), (1, [1.0], 1), (2, [2.0], 1)], "id long, x array<double>, w long"))
     assert neighbours._held(points, [], 1) is None and neighbours._held(points.filter("id = 2"), [], 1) == []
     assert sorted(r["id"] for r in neighbours.at_home(points, [], 1, points.select("id", F.lit(0).alias("node"))).collect()) == [1] * 4 + [2]
+
+
+def test_variants_of_a_row_are_neither_stored_nor_sent(spark, monkeypatch):
+    """A row is stored once for each region that it needs, not once for each feature; the values are those of a search of every variant."""
+    from vigilog.operators import neighbours, regions, variants
+
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "CENTRES", 6)
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1150, 5))[np.r_[:1150, :70]]
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "record_id long, a double, b double, c double, d double, e double")
+    model = neighbours.fit_local_outliers(df, list("abcde"))
+    some = df.filter("record_id % 9 = 0").select("record_id", F.array(*"abcde").alias("x"))
+    some = stored(some.unionAll(spark.createDataFrame([(9999, [9.0] * 5)], some.schema)))
+    expected = {r["record_id"]: r["attributions"] for r in model._searched_attributions(some).collect()}
+    sizes = []
+    for module in (neighbours, variants):
+        monkeypatch.setattr(module, "stored", lambda rows: sizes.append((t := stored(rows)).count()) or t)
+    for leaf, region in ((100, 65536), (100, 300), (1, 1)):
+        monkeypatch.setattr(neighbours, "LEAF", leaf)
+        monkeypatch.setattr(regions, "REGION", region)
+        sizes.clear()
+        found = {r["record_id"]: r["attributions"] for r in model.attributions(some).collect()}
+        assert found.keys() == expected.keys() and len(found) == 137
+        assert all(np.allclose(found[i], expected[i], rtol=0, atol=1e-9) for i in found)
+        assert region == 1 or max(sizes) < 137 * 5
+
+
+def test_regions_hold_every_cell_once_and_the_nearest_ones_around():
+    from vigilog.operators import regions
+
+    draw = np.random.default_rng(1)
+    nodes, sizes, centres = np.arange(5, 405), draw.integers(1, 50, 400), draw.normal(size=(400, 3))
+    plan = regions.regions_of(nodes, sizes, centres, 800)
+    held = np.bincount(plan.region, sizes)
+    assert plan.count > 8 and held.max() <= 800 and (plan.cell(nodes) == np.arange(400)).all() and plan.cell(np.array([3, 900])).max() == -1
+    region, cell = np.divmod(plan.held, 400)
+    assert np.bincount(region, sizes[cell]).max() <= 1600 and plan.holds(plan.region, np.arange(400)).all()
+    own = np.flatnonzero(plan.region == 0)
+    gaps = ((centres[:, None] - centres[own]) ** 2).sum(2).min(1)
+    around = np.setdiff1d(cell[region == 0], own)
+    assert len(around) and gaps[around].max() < gaps[np.setdiff1d(np.arange(400), cell[region == 0])].min()

@@ -599,3 +599,53 @@ def test_regions_hold_every_cell_once_and_the_nearest_ones_around():
     gaps = ((centres[:, None] - centres[own]) ** 2).sum(2).min(1)
     around = np.setdiff1d(cell[region == 0], own)
     assert len(around) and gaps[around].max() < gaps[np.setdiff1d(np.arange(400), cell[region == 0])].min()
+
+
+def test_lists_by_regions_are_those_of_cells(spark, monkeypatch):
+    """A point is sent to a region once, whatever its cells; the factors are those of lists that were joined."""
+    from vigilog.operators import neighbours, region_lists, regions
+
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "CENTRES", 6)
+    x = np.random.default_rng(3).normal(size=(1200, 5))[np.r_[:1200, :80, :80]]
+    df = spark.createDataFrame([(i * 3, *map(float, row)) for i, row in enumerate(x)], "record_id long, a double, b double, c double, d double, e double")
+    homes, levels = neighbours.divided(points := neighbours.points_of(stored(df.select("record_id", F.array(*"abcde").alias("x"))))[0], 5)
+    joined = neighbours.compared(points, neighbours.probed(points, levels, 3, 5, homes), points, neighbours.at_home(points, levels, 5, homes), 11)
+    expected = {r["id"]: [tuple(e) for e in r["near"]] for r in joined.collect()}
+    factors = {r["id"]: tuple(r) for r in neighbours._factors_by_joins(stored(joined), 10).collect()}
+    held = neighbours._held(points, levels, 5)
+    for region, asked, block in ((65536, 65536, 4096), (300, 65536, 64), (300, 40, 4096)):
+        monkeypatch.setattr(regions, "REGION", region)
+        monkeypatch.setattr(region_lists, "ASKED", asked)
+        monkeypatch.setattr(region_lists, "BLOCK", block)
+        near = region_lists.lists_of(points, homes, held, 3, 11, True, 5)
+        assert near.select("region").distinct().count() > 1
+        assert {r["id"]: [tuple(e) for e in r["near"]] for r in near.collect()} == expected
+        found = {r["id"]: tuple(r) for r in region_lists.factors_of(near, 10).collect()}
+        assert found.keys() == factors.keys() and len(found) == 1200
+        assert all(np.allclose(found[i], factors[i], rtol=1e-12) for i in found)
+
+
+def test_local_outlier_fit_joins_no_entries_of_lists(spark, monkeypatch):
+    from vigilog.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "_factors_by_joins", None)
+    monkeypatch.setattr(neighbours, "compared", None)
+    _, df = points(spark)
+    detector, found = detection.fit_predict(stored(df), NAMES, "lof")
+    assert found.count() == 200 and detector.neighbours.reference.count() == 200
+    again = {r["record_id"]: r["AnomalyScore"] for r in detector.predict(df).collect()}
+    assert {r["record_id"]: r["AnomalyScore"] for r in found.collect()} == again
+
+
+def test_feature_columns_reach_python_as_they_are(spark):
+    from vigilog.operators.scaling import matrix_row, matrix_rows
+
+    rows = [(1, 1.0, 2), (2, None, 3), (3, float("nan"), None), (None, float("inf"), -1), (5, float("-inf"), 0)]
+    df = spark.createDataFrame(rows, "record_id long, a double, b int")
+    expected = {(r[0], tuple(r[1])) for r in df.select("record_id", matrix_row(["a", "b"])).collect()}
+    assert {(r[0], tuple(r[1])) for r in matrix_rows(df, ["a", "b"]).collect()} == expected
+    table = spark.createDataFrame([(i, float(i % 13), i % 7) for i in range(120)], df.schema)
+    forest = detection.fit_detector(table, ["a", "b"]).forest
+    both = df.select(forest.score().alias("a"), forest.score(matrix_row(["a", "b"])).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)

@@ -21,6 +21,8 @@ def analyse_features(table: DataFrame, algorithm: str = "isolation_forest", cont
     """The same from a stored feature table."""
     names = model_features(table)
     _, verdicts = detection.fit_predict(table, names, algorithm, contamination)
+    if algorithm != "isolation_forest":
+        verdicts = stored(verdicts)  # they come from a join, and all that follows reads them
     found = stored(labels.with_stage(reports.anomalies_of(verdicts)))
     grouped = clusters.grouped_anomalies(found, names)
     normal = verdicts.filter("Anomaly = 0")

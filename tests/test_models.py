@@ -649,3 +649,19 @@ def test_feature_columns_reach_python_as_they_are(spark):
     forest = detection.fit_detector(table, ["a", "b"]).forest
     both = df.select(forest.score().alias("a"), forest.score(matrix_row(["a", "b"])).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in both)
+
+
+def test_tables_of_a_fit_are_deleted_when_nothing_reads_them(spark):
+    from vigilog import session
+    from vigilog.operators import neighbours
+
+    kept, gone = stored(spark.range(5)), stored(spark.range(6))
+    session.discard(gone)
+    tables = session._stored[spark.sparkContext.applicationId]
+    assert kept.count() == 5 and gone.inputFiles()[0].rsplit("/", 2)[-2] not in {t.rsplit("/", 1)[-1] for t in tables}
+    before = len(tables)
+    _, df = points(spark)
+    model = neighbours.fit_local_outliers(df, NAMES)
+    columns = [set(spark.read.parquet(t).columns) for t in tables[before:]]
+    assert not any({"near"} <= c or {"_a", "_b"} <= c for c in columns)
+    assert model.own_scores().count() == model.reference.count() == 200
